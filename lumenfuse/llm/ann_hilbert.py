@@ -31,7 +31,7 @@ from lumenfuse.llm.common import checked_broadcast, materialize
 from lumenfuse.llm.vectors import hilbert_index, matrix, valid_vectors
 
 CURVES, DIMS, BITS = 8, 5, 8
-FRACTION, MIN_WINDOW, BLOCK, SEED = 0.14, 2000, 4096, 20240
+FRACTION, MIN_WINDOW, BLOCK, SEED = 0.11, 2000, 4096, 20240
 
 
 def curve_keys(x: np.ndarray, curves: int, dims: int, bits: int, seed: int) -> np.ndarray:
