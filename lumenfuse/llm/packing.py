@@ -14,8 +14,11 @@ pieces of the limit; repeated rows are packed each; an empty table gives no rows
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,58 +31,95 @@ from lumenfuse.llm.common import materialize
 LIMIT, END_ID, SHARD = 2048, 0, 50_000
 
 
+#: Where an ASCII letter meets punctuation, the tokenizer parts them.  Words kept by a worker.
+_EDGE, MAX_WORDS = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?%#$&*])"), 800_000
+#: Letters below this code point are their own NFC form.
+_PLAIN = chr(0x250)
+
+
 class WordIds(dict):
-    """Token ids of a word (bytes without ASCII white space), as the tokenizer gives them; keeps those of recent short words.
+    """Token ids, as little-endian uint32 bytes, of words (bytes without ASCII white space).
 
-    The tokenizer drops white space and its merges never cross it, so a text's ids are those of its words in
-    a row (tests compare with whole texts).
+    The tokenizer drops white space and case, its merges never cross white space, and it parts letters from
+    punctuation, so a text's ids are those of its parts in a row (tests compare with whole texts).  Parts are
+    kept for later batches and tasks of the same Python worker.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        from tokenizers import pre_tokenizers
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids)
-        if len(word) <= 48:
-            if len(self) >= 200_000:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.tokenizer = tokenizer
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, ord(_PLAIN))}
+
+    @staticmethod
+    def parts(text: bytes) -> list[bytes]:
+        if b"<|" in text:  # may hold a special token, whose case counts
+            return text.split()
+        return _EDGE.sub(b" ", text.lower()).split()
+
+    def learn(self, parts: set[bytes]) -> None:
+        new = [w for w in parts if w not in self]
+        if len(self) + len(new) > MAX_WORDS:
+            self.clear()
+            new = list(parts)
+        other, one_word = [], self.tokenizer.model.tokenize
+        for w in new:
+            s = w.decode(errors="replace")
+            low = s.lower()
+            if low.isalpha() and max(low) < _PLAIN:  # one run of letters: straight to the merges
+                self[w] = np.array([t.id for t in one_word(low if low.isascii() else low.translate(self.bytes_of))], "<u4").tobytes()
+            else:
+                other.append((w, s))
+        found = self.tokenizer.encode_batch([s for _, s in other], add_special_tokens=False)
+        self.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(other, found))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        parted = [self.parts(t) for t in texts]
+        self.learn(set(chain.from_iterable(parted)))
+        return [b"".join(map(self.__getitem__, t)) for t in parted]
+
+
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> WordIds:
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
+    return WordIds(Tokenizer.from_file(path))
 
 
 def tokenize(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False, by_word: bool = True) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of whole texts, end mark included.
 
-    ``by_word`` says that the tokenizer drops white space, so that ids can be kept by word.
+    ``by_word`` says that the tokenizer works as WordIds asks; otherwise whole texts are encoded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
-        words = WordIds(tok)
+        words, end = _word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            out: list[tuple] = []
-            ids_out: list = []
-            text = b.column(b.schema.get_field_index("text"))
-            for d, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), text):
-                t = t.as_py() or b""
-                ids = list(chain.from_iterable(map(words.__getitem__, t.split()))) if by_word else list(tok.encode(t.decode(errors="replace"), add_special_tokens=False).ids)
-                ids.append(end_id)
-                a = np.array(ids, "<u4")
-                for piece, start in enumerate(range(0, len(a), limit)):
-                    part = a[start : start + limit]
-                    out.append((d, piece, start, len(part), zlib.crc32(part.tobytes())))
-                    if with_ids:
-                        ids_out.append(part.astype(np.int64))
-            cols = list(zip(*out)) if out else [()] * 5
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                arrays.append(pa.array(ids_out, pa.list_(pa.int64())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            doc, text = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text"))
+            for first in range(0, b.num_rows, 500):
+                out: list[tuple] = []
+                ids_out: list = []
+                texts = [t or b"" for t in text.slice(first, 500).to_pylist()]
+                if by_word:
+                    all_ids = words.ids(texts)
+                else:
+                    all_ids = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
+                for d, ids in zip(doc.slice(first, 500).to_pylist(), all_ids):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids), 4 * limit)):
+                        part = ids[start : start + 4 * limit]
+                        out.append((d, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                        if with_ids:
+                            ids_out.append(np.frombuffer(part, "<u4").astype(np.int64))
+                arrays = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    arrays.append(pa.array(ids_out, pa.list_(pa.int64())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
