@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a one- or two-column table of numbers may be broadcast (at most 32 MB); above it a shuffle join runs.
 BROADCAST_ROWS = 1_000_000
 #: Words hashed at once in a task.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 300_000
 #: ASCII white space: words are runs of anything else.
 WHITE = " \t\n\x0b\f\r"
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenfuse.llm.common import materialize
 
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Counts above this may enter the list of frequent keys, which holds at most MAX_FREQUENT keys.
 FREQUENT_FROM, MAX_FREQUENT = 8, 1 << 20
 MIN_BITS, MAX_BITS = 20, 28
