@@ -12,8 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ROW = W.partitionBy("img", "r").orderBy("c")
-COL = W.partitionBy("img", "c").orderBy("r")
+
+def along_row() -> W:
+    return W.partitionBy("img", "r").orderBy("c")
+
+
+def along_column() -> W:
+    return W.partitionBy("img", "c").orderBy("r")
+
 
 
 def per(x: Column, y: Column) -> Column:
@@ -113,7 +119,7 @@ def correlations(trip: DataFrame) -> DataFrame:
 
 
 def spatial_frequency(trip: DataFrame) -> DataFrame:
-    d = trip.select("img", (F.col("f") - F.lag("f").over(COL)).alias("dr"), (F.col("f") - F.lag("f").over(ROW)).alias("dc"))
+    d = trip.select("img", (F.col("f") - F.lag("f").over(along_column())).alias("dr"), (F.col("f") - F.lag("f").over(along_row())).alias("dc"))
     return d.groupBy("img").agg(F.sqrt(F.coalesce(F.avg(F.expr("dr * dr")), F.lit(0.0)) + F.coalesce(F.avg(F.expr("dc * dc")), F.lit(0.0))).alias("SF"))
 
 
@@ -124,7 +130,7 @@ def central(w: W, x: str = "f") -> Column:
 
 
 def average_gradient(trip: DataFrame) -> DataFrame:
-    g = trip.select("img", "r", "c", central(ROW).alias("gx"), central(COL).alias("gy"))
+    g = trip.select("img", "r", "c", central(along_row()).alias("gx"), central(along_column()).alias("gy"))
     return g.groupBy("img").agg(per(F.sum(F.sqrt(F.expr("(gx * gx + gy * gy) / 2"))), F.max("r").cast("double") * F.max("c")).alias("AG"))
 
 
@@ -143,11 +149,11 @@ def sobel(trip: DataFrame, channels: str, border: str) -> DataFrame:
 
     one = trip
     for x in channels:
-        lo, hi = sides(x, ROW)
+        lo, hi = sides(x, along_row())
         one = one.withColumns({f"d_{x}": hi - lo, f"s_{x}": lo + 2 * F.col(x) + hi})
     for x in channels:
-        lo_d, hi_d = sides(f"d_{x}", COL)
-        lo_s, hi_s = sides(f"s_{x}", COL)
+        lo_d, hi_d = sides(f"d_{x}", along_column())
+        lo_s, hi_s = sides(f"s_{x}", along_column())
         one = one.withColumns({f"x_{x}": lo_d + 2 * F.col(f"d_{x}") + hi_d, f"y_{x}": hi_s - lo_s})
     return one.drop(*[f"{k}_{x}" for x in channels for k in "ds"])
 
@@ -158,7 +164,7 @@ def edge_intensity(trip: DataFrame) -> DataFrame:
 
 def ratio_spatial_frequency(trip: DataFrame) -> DataFrame:
     """rSFe: relative error of the four-direction spatial frequency; diagonals weigh sqrt(2) / 2."""
-    ways = {"h": ROW, "v": COL, "m": W.partitionBy("img", F.expr("c - r")).orderBy("r"), "s": W.partitionBy("img", F.expr("c + r")).orderBy("r")}
+    ways = {"h": along_row(), "v": along_column(), "m": W.partitionBy("img", F.expr("c - r")).orderBy("r"), "s": W.partitionBy("img", F.expr("c + r")).orderBy("r")}
     d = trip.select("img", *[(F.col(x) - F.lag(x).over(w)).alias(f"{x}{k}") for k, w in ways.items() for x in "abf"])
     weight = {"h": 1.0, "v": 1.0, "m": math.sqrt(2) / 2, "s": math.sqrt(2) / 2}
     fused = sum((F.coalesce(F.sum(F.col(f"f{k}") * F.col(f"f{k}")), F.lit(0.0)) * v for k, v in weight.items()), F.lit(0.0))
