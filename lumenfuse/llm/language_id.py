@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from lumenfuse.llm.common import lean
+
 PROFILE, TRAIN_DOCS, UNKNOWN = 300, 5000, "und"
+#: Rows of one language are counted together until they have this many n-grams.
+HELD_GRAMS = 1_000_000
 _BLANK = np.int64(32)
 _letters = np.array([c.isalpha() for c in map(chr, range(0x3000))])
 
@@ -79,11 +83,16 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE, train_docs: int = T
             lang = np.array(b.column(0).to_pylist(), object)
             text = b.column(1)
             for one in sorted(set(lang)):
-                held = [gram_codes(text[int(i)].as_py()) for i in np.flatnonzero(lang == one)]
-                g, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([one] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    summed = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                held, size_held, mine = [], 0, np.flatnonzero(lang == one)
+                for i in mine.tolist():
+                    held.append(gram_codes(text[i].as_py()))
+                    size_held += len(held[-1])
+                    if size_held >= HELD_GRAMS or i == mine[-1]:
+                        g, n = np.unique(np.concatenate(held), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([one] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                        held, size_held = [], 0
+
+    summed = picked.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = summed.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
     out: dict[str, list[int]] = {}
     for r in best.orderBy("lang", "r").collect():  # languages times size rows
@@ -127,7 +136,7 @@ def identify(documents: DataFrame, profiles: list[tuple[str, list[int]]], size:
 
     d = documents.select(*[F.col(f"`{c}`") for c in cols])
     schema = T.StructType([*d.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column, parts: int = 4, which: int = 2) -> Column:

@@ -81,7 +81,7 @@ def _signed_rows(rows: DataFrame, n: int, percent: int, known) -> DataFrame:
                 names=["doc_id", "n", "s1", "s2", "prefix", "at"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, at array<int>")
+    return rows.mapInArrow(C.lean(run), "doc_id long, n long, s1 long, s2 long, prefix array<long>, at array<int>")
 
 
 def _overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 nb.append(len(other))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(both, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], names=["a", "b", "both", "na", "nb"])
 
-    return C.materialize(joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, both long, na long, nb long"))
+    return C.materialize(joined.select("a", "b", "ta", "tb").mapInArrow(C.lean(run), "a long, b long, both long, na long, nb long"))
 
 
 def jaccard_components(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

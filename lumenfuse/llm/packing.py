@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfuse.llm.common import materialize
+from lumenfuse.llm.common import lean, materialize
 
 LIMIT, END_ID, SHARD = 2048, 0, 50_000
 
@@ -122,7 +122,7 @@ def tokenize(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), schema)
 
 
 def best_two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
