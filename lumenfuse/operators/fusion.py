@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfuse.functions import color
 from lumenfuse.functions.color import to_byte
 
 
@@ -26,14 +29,16 @@ def pca(pix: DataFrame) -> DataFrame:
     return pix.join(w, "img").select("img", "r", "c", to_byte(F.round(F.expr("wa * a + wb * b"), 9)).alias("fused"))
 
 
-def haar(pix: DataFrame) -> DataFrame:
+def haar(pix: DataFrame, cut: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One-level Haar wavelet fusion: mean of the approximations, the larger detail of each band (first on ties).
 
-    A 2 x 2 block is one group; odd sizes repeat the last row or column and are cropped again.
+    A 2 x 2 block is one group; odd sizes repeat the last row or column and are cropped again.  Without ``cut``
+    the result is clipped only; columns to ``keep`` travel with their pixel, so nothing is joined back.
     """
+    end: Callable[[Column], Column] = to_byte if cut else color.clip
     block = pix.groupBy("img", F.floor(F.col("r") / 2).cast("int").alias("R"), F.floor(F.col("c") / 2).cast("int").alias("C"))
     at = lambda x, i, j: F.any_value(F.when((F.col("r") % 2 == i) & (F.col("c") % 2 == j), F.col(x)), True)
-    b = block.agg(*[at(x, i, j).alias(f"{x}{i}{j}") for x in "ab" for i in (0, 1) for j in (0, 1)], F.max(F.col("r") % 2).alias("rr"), F.max(F.col("c") % 2).alias("cc"))
+    b = block.agg(*[at(x, i, j).alias(f"{x}{i}{j}") for x in ("a", "b", *keep) for i in (0, 1) for j in (0, 1)], F.max(F.col("r") % 2).alias("rr"), F.max(F.col("c") % 2).alias("cc"))
     for x in "ab":
         b = b.withColumns({f"{x}01": F.coalesce(f"{x}01", f"{x}00"), f"{x}10": F.coalesce(f"{x}10", f"{x}00")})
         b = b.withColumn(f"{x}11", F.coalesce(f"{x}11", F.when(F.col("rr") == 0, F.col(f"{x}01")).otherwise(F.col(f"{x}10"))))
@@ -42,9 +47,9 @@ def haar(pix: DataFrame) -> DataFrame:
     for k, s in signs.items():
         one, two = mixed("a", s), mixed("b", s)
         b = b.withColumn(k, (one + two) / 2 if k == "ll" else F.when(F.abs(one) >= F.abs(two), one).otherwise(two))
-    back = F.array(*[F.struct((2 * F.col("R") + i).alias("r"), (2 * F.col("C") + j).alias("c"), to_byte(sum((s[2 * i + j] * F.col(k) for k, s in signs.items()), F.lit(0.0)) / 2).alias("fused")) for i in (0, 1) for j in (0, 1)])
+    back = F.array(*[F.struct((2 * F.col("R") + i).alias("r"), (2 * F.col("C") + j).alias("c"), end(sum((s[2 * i + j] * F.col(k) for k, s in signs.items()), F.lit(0.0)) / 2).alias("fused"), *[F.col(f"{k}{i}{j}").alias(k) for k in keep]) for i in (0, 1) for j in (0, 1)])
     out = b.select("img", F.col("rr").alias("_rr"), F.col("cc").alias("_cc"), F.explode(back).alias("x"))
-    return out.where("(x.r % 2 <= _rr) and (x.c % 2 <= _cc)").select("img", "x.r", "x.c", "x.fused")
+    return out.where("(x.r % 2 <= _rr) and (x.c % 2 <= _cc)").select("img", "x.r", "x.c", "x.fused", *[f"x.{k}" for k in keep])
 
 
 FUSIONS = {"fuzzy": fuzzy, "pca": pca, "haar": haar}
@@ -54,3 +59,23 @@ def fuse(pix: DataFrame, mode: str) -> DataFrame:
     if mode not in FUSIONS:
         raise ValueError(f"unknown fusion {mode!r}; one of {sorted(FUSIONS)}")
     return FUSIONS[mode](pix)
+
+
+SPACES = {"ycbcr": (color.rgb_to_ycbcr, color.ycbcr_to_rgb), "hsi": (color.rgb_to_hsi, color.hsi_to_rgb)}
+
+
+def fuse_color(pix: DataFrame, space: str) -> DataFrame:
+    """Haar fusion of ``grey`` with the brightness of a colour image: (img, r, c, red, green, blue) in and out.
+
+    Brightness is Y of YCbCr or I of HSI (as 0..255); the two other channels stay.  They and the fused brightness are
+    rounded to 9 places before the way back, which cuts off to whole levels.
+    """
+    if space not in SPACES:
+        raise ValueError(f"unknown colour space {space!r}; one of {sorted(SPACES)}")
+    there, back = SPACES[space]
+    x = there(F.col("red").cast("double"), F.col("green").cast("double"), F.col("blue").cast("double"))
+    light, p, q = x if space == "ycbcr" else (x[2] * 255, x[0], x[1])
+    fused = haar(pix.select("img", "r", "c", F.col("grey").cast("double").alias("a"), light.alias("b"), p.alias("p"), q.alias("q")), cut=False, keep=("p", "q"))
+    v, p, q = (F.round(F.col(k), 9) for k in ("fused", "p", "q"))
+    rgb = back(v, p, q) if space == "ycbcr" else back(p, q, v / 255)
+    return fused.select("img", "r", "c", *[k.alias(n) for k, n in zip(rgb, ("red", "green", "blue"))])

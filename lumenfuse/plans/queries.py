@@ -204,6 +204,33 @@ with {_RGB}, n as (select img, p, r / 255 as r, g / 255 as g, b / 255 as b from
 f as (select img, p, {', '.join(f'{_f(f"({x} / {w})")} as f{i}' for i, (x, w) in enumerate(zip(_xyz, color.WHITE)))} from l)
 select img, p, {_r5('116 * f1 - 16', '"L"')}, {_r5('500 * (f0 - f1)', 'a')}, {_r5('200 * (f1 - f2)', 'b')} from f""")
 
+# ------------------------------------------------------------ fusion with a colour image
+
+
+def _grey_and_rgb(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles: vector 4k in grey, the three after it as red, green and blue."""
+    px = _embeddings(spark, d).select(F.floor(F.col("vec_id") / 4).alias("img"), (F.col("vec_id") % 4).alias("k"), raster.grey_levels(F.col("embedding")).alias("px"))
+    names = ("grey", "red", "green", "blue")
+    four = px.groupBy("img").agg(*[F.any_value(F.when(F.col("k") == k, F.col("px")), True).alias(n) for k, n in enumerate(names)]).dropna()
+    return raster.pixels(four.withColumn("w", F.lit(raster.TILE)), *names)
+
+
+def _ycbcr_fusion() -> str:
+    """Bands of each 2 x 2 block by signed sums over its places, joined back to the pixels."""
+    signs = {"lh": (1, 1, -1, -1), "hl": (1, -1, 1, -1), "hh": (1, -1, -1, 1)}
+    band = lambda x, s: "sum(" + x + " * [" + ", ".join(map(str, s)) + "][o]) / 2"
+    bands = ", ".join(f"case when abs({band('a', s)}) >= abs({band('y', s)}) then {band('a', s)} else {band('y', s)} end as {k}" for k, s in signs.items())
+    back = " + ".join(["ll"] + [f"{k} * [{', '.join(map(str, s))}][o]" for k, s in signs.items()])
+    return f"""with {_PX}, k as (select g.vec_id // 4 as img, (g.p // 8)::int as r, (g.p % 8)::int as c, g.v as a, x.v as r0, y.v as g0, z.v as b0 from px g join px x on x.vec_id = g.vec_id + 1 and x.p = g.p join px y on y.vec_id = g.vec_id + 2 and y.p = g.p join px z on z.vec_id = g.vec_id + 3 and z.p = g.p where g.vec_id % 4 = 0),
+n as (select img, r, c, (r % 2) * 2 + c % 2 + 1 as o, a, 0.299 * r0 + 0.587 * g0 + 0.114 * b0 as y, round(-0.168736 * r0 - 0.331264 * g0 + 0.5 * b0 + 128, 9) - 128 as u, round(0.5 * r0 - 0.418688 * g0 - 0.081312 * b0 + 128, 9) - 128 as v from k),
+b as (select img, r // 2 as i, c // 2 as j, (sum(a) / 2 + sum(y) / 2) / 2 as ll, {bands} from n group by all),
+f as (select n.*, round(greatest(0, least(255, ({back}) / 2)), 9) as l from n join b on b.img = n.img and b.i = n.r // 2 and b.j = n.c // 2)
+select img, r, c, {_byte('l + 1.402 * v')} as red, {_byte('l - 0.344136 * u - 0.714136 * v')} as green, {_byte('l + 1.772 * u')} as blue from f"""
+
+
+_add("fuse_color_ycbcr", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "ycbcr"), _ycbcr_fusion())
+_add("fuse_color_hsi", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "hsi"))
+
 # ------------------------------------------------------------ cohort and reports
 
 

@@ -55,6 +55,20 @@ def test_fusions(spark):
         fusion.fuse(pix, "none")
 
 
+def test_colour_fusion(spark):
+    grey = [[10, 20, 30], [40, 50, 60], [70, 80, 90]]
+    cells = [(1, r, c, float(grey[r][c]), float(grey[r][c]), float(grey[r][c]), float(grey[r][c])) for r in range(3) for c in range(3)]
+    pix = spark.createDataFrame(cells, "img int, r int, c int, grey double, red double, green double, blue double")
+    for space in fusion.SPACES:  # an image fused with itself stays, up to one level cut off on the way back
+        out = fusion.fuse_color(pix, space).collect()
+        assert len(out) == 9
+        for x in out:
+            assert all(grey[x["r"]][x["c"]] - x[k] in (0, 1) for k in ("red", "green", "blue")), (space, x)
+    assert fusion.fuse_color(pix.limit(0), "hsi").count() == 0
+    with pytest.raises(ValueError):
+        fusion.fuse_color(pix, "none")
+
+
 def test_average_row_skips_nan(spark):
     rows = spark.createDataFrame([("m", "1.png", 1.0), ("m", "2.png", float("nan")), ("m", "3.png", 3.0)], "Model string, ImageName string, SD double")
     got = {r["ImageName"]: r["SD"] for r in report.with_average(rows, ["SD"]).collect()}
@@ -73,7 +87,7 @@ def test_queries_match_duckdb(spark, tmp_path):
     con = duckdb.connect()
     for t in ("embeddings", "events"):
         con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet')")
-    for name in ("metric_information", "metric_qabf", "fuse_haar", "color_hsi", "cohort_band_join", "synth_sine"):
+    for name in ("metric_information", "metric_qabf", "fuse_haar", "fuse_color_ycbcr", "color_hsi", "cohort_band_join", "synth_sine"):
         want = con.execute(q.ORACLES[name]).df()
         got = q.QUERIES[name](spark, d)
         assert got.count() == len(want), name
