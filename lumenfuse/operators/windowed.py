@@ -12,6 +12,8 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
+from lumenfuse.operators import perceptual
+
 EPS = np.finfo(float).eps
 
 
@@ -178,7 +180,7 @@ def cvejic(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> float:
 
 
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], float]] = {
-    "SSIM": ssim, "MS_SSIM": ms_ssim, "VIF": vif, "VIFF": viff, "Q": piella, "Qw": lambda a, b, f: piella(a, b, f, 2), "Qe": lambda a, b, f: piella(a, b, f, 3), "QY": yang, "QC": cvejic,
+    "SSIM": ssim, "MS_SSIM": ms_ssim, "VIF": vif, "VIFF": viff, "Q": piella, "Qw": lambda a, b, f: piella(a, b, f, 2), "Qe": lambda a, b, f: piella(a, b, f, 3), "QY": yang, "QC": cvejic, **perceptual.METRICS,
 }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfuse.functions import color, synth
-from lumenfuse.operators import cohort, fusion, pyramid, report, stats, windowed
+from lumenfuse.operators import cohort, fusion, perceptual, pyramid, report, stats, wavelet, windowed
 from lumenfuse.operators import metrics as M
 from lumenfuse.sources import raster
 
@@ -135,7 +135,20 @@ def _qabf() -> str:
 
 
 _add("metric_qabf", lambda s, d: rounded(M.edge_transfer(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf())
-_add("metric_windowed", lambda s, d: rounded(windowed.score(_mosaics(s, d), *windowed.METRICS)))
+_add("metric_windowed", lambda s, d: rounded(windowed.score(_mosaics(s, d), *(n for n in windowed.METRICS if n not in perceptual.METRICS))))
+_add("metric_fmi", lambda s, d: rounded(windowed.score(_mosaics(s, d), "FMI", "FMI_none", "FMI_gradient", "FMI_dct")))
+_add("metric_contrast", lambda s, d: rounded(windowed.score(_mosaics(s, d), "QCB", "QCV")))
+
+
+def _loe() -> str:
+    """A tile's 100 x 100 samples are its pixels, weighted by how often the grid meets their row and column."""
+    met = [math.floor(1 + i * (raster.TILE - 1) / 99 + 0.5) - 1 for i in range(100)]
+    weight = lambda x: "case " + x + " ".join(f" when {k} then {met.count(k)}" for k in range(raster.TILE)) + " end"
+    side = lambda k: f"sum(case when (x.{k} >= y.{k}) <> (x.f >= y.f) then x.n * y.n else 0 end)::double / 10000"
+    return f"with {_T}, m as (select img, a, b, f, ({weight('r')}) * ({weight('c')}) as n from t) select x.img, {_r(side('a'), '\"LOE_A\"')}, {_r(side('b'), '\"LOE_B\"')} from m x join m y on x.img = y.img group by x.img"
+
+
+_add("metric_loe", lambda s, d: rounded(windowed.score(_tiles(s, d), "LOE_A", "LOE_B")), _loe())
 
 # ------------------------------------------------------------ fusion
 
@@ -157,6 +170,8 @@ def _haar() -> str:
 
 _add("fuse_haar", lambda s, d: fusion.fuse(raster.pixels(_tiles(s, d), "a", "b"), "haar"), _haar())
 _add("fuse_laplacian", lambda s, d: pyramid.fuse_laplacian(raster.tile_pairs(_embeddings(s, d)), 2))
+_add("fuse_wavelet_db1", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.tile_pairs(_embeddings(s, d)), 1, 1), "fused").withColumn("fused", F.col("fused").cast("int")), _haar())
+_add("fuse_wavelet_db4", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.mosaic_pairs(_embeddings(s, d))), "fused"))
 _add("pyramid_laplacian", lambda s, d: pyramid.laplacian_pyramid(raster.mosaic_pairs(_embeddings(s, d))))
 
 # ------------------------------------------------------------ colour
