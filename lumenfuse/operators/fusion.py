@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfuse.functions import color
 from lumenfuse.functions.color import to_byte
+from lumenfuse.operators import pyramid, wavelet
 
 
 def fuzzy(trip: DataFrame) -> DataFrame:
@@ -79,3 +80,34 @@ def fuse_color(pix: DataFrame, space: str) -> DataFrame:
     v, p, q = (F.round(F.col(k), 9) for k in ("fused", "p", "q"))
     rgb = back(v, p, q) if space == "ycbcr" else back(p, q, v / 255)
     return fused.select("img", "r", "c", *[k.alias(n) for k, n in zip(rgb, ("red", "green", "blue"))])
+
+
+def fuse_color_images(images: DataFrame, space: str, method: str = "laplacian", levels: int | None = None, order: int = 4) -> DataFrame:
+    """``fuse_color`` on image rows (img, h, w, grey, red, green, blue), for methods that need the whole image.
+
+    Methods: ``laplacian`` (4 levels), ``wavelet`` (Daubechies of ``order``, 2 levels), ``fuzzy``.  Colours travel
+    with their row, so nothing is joined back.
+    """
+    if space not in SPACES:
+        raise ValueError(f"unknown colour space {space!r}; one of {sorted(SPACES)}")
+    there, back = SPACES[space]
+    x = lambda z: there(*(z[k].cast("double") for k in ("red", "green", "blue")))
+    split = (lambda z: x(z)) if space == "ycbcr" else (lambda z: (x(z)[2] * 255, x(z)[0], x(z)[1]))
+    parts = F.transform(F.arrays_zip("red", "green", "blue"), lambda z: F.struct(*[k.alias(n) for k, n in zip(split(z), ("light", "p", "q"))]))
+    rows = images.select("img", "h", "w", F.transform("grey", lambda g: g.cast("double")).alias("a"), parts.alias("x")).select("img", "h", "w", "a", F.col("x.light").alias("b"), F.col("x.p").alias("p"), F.col("x.q").alias("q"))
+    if method == "laplacian":
+        fused = pyramid.fuse_laplacian(rows, levels or 4, cut=False, keep=("p", "q"))
+    elif method == "wavelet":
+        fused = wavelet.fuse_wavelet(rows, order, levels or 2, cut=False, keep=("p", "q"))
+    elif method == "fuzzy":
+        fused = rows.select("img", "h", "w", F.zip_with("a", "b", lambda p, q: F.greatest(p, q)).alias("fused"), "p", "q")
+    else:
+        raise ValueError(f"unknown method {method!r}")
+
+    def rgb(z: Column) -> Column:
+        v, p, q = (F.round(z[k], 9) for k in ("fused", "p", "q"))
+        out = back(v, p, q) if space == "ycbcr" else back(p, q, v / 255)
+        return F.struct(*[k.alias(n) for k, n in zip(out, ("red", "green", "blue"))])
+
+    done = fused.select("img", "h", "w", F.transform(F.arrays_zip("fused", "p", "q"), rgb).alias("x"))
+    return done.select("img", "h", "w", "x.red", "x.green", "x.blue")

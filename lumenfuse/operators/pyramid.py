@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,14 +66,32 @@ def laplacian_pyramid(images: DataFrame, channel: str = "a", levels: int = 4) ->
     return images.select("img", "h", "w", channel).mapInArrow(run, "img long, level int, h int, w int, px array<double>")
 
 
-def fuse_laplacian(images: DataFrame, levels: int = 4) -> DataFrame:
-    """Image rows with ``fused``: mean of the low-pass images, the larger detail of each band (first on ties)."""
+def map_pairs(images: DataFrame, fuse: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Image rows (img, h, w, fused, keep...) with ``fuse`` of channels a and b, one image at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b = (build(np.array(r[k], float).reshape(r["h"], r["w"]), levels) for k in "ab")
-                f = collapse([*(np.where(np.abs(x) >= np.abs(y), x, y) for x, y in zip(a[:-1], b[:-1])), (a[-1] + b[-1]) / 2])
-                yield pa.RecordBatch.from_arrays([pa.array([r["img"]], pa.int64()), pa.array([r["h"]], pa.int32()), pa.array([r["w"]], pa.int32()), pa.array([np.trunc(np.clip(f, 0, 255)).ravel()], pa.list_(pa.float64()))], names=["img", "h", "w", "fused"])
+            col = lambda k: batch.column(batch.schema.get_field_index(k))  # noqa: B023, E731
+            for i in range(batch.num_rows):
+                shape = col("h")[i].as_py(), col("w")[i].as_py()
+                f = fuse(*(np.array(col(k)[i].as_py(), float).reshape(shape) for k in "ab"))
+                out = [*(col(k).slice(i, 1) for k in ("img", "h", "w")), pa.array([f.ravel()], pa.list_(pa.float64())), *(col(k).slice(i, 1) for k in keep)]
+                yield pa.RecordBatch.from_arrays(out, names=["img", "h", "w", "fused", *keep])
+
+    some = images.select("img", "h", "w", "a", "b", *keep)
+    types = ", ".join(f"{k} {some.schema[k].dataType.simpleString()}" for k in ("img", "h", "w"))
+    return some.mapInArrow(run, types + ", fused array<double>" + "".join(f", {k} {some.schema[k].dataType.simpleString()}" for k in keep))
+
+
+def fuse_laplacian(images: DataFrame, levels: int = 4, cut: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Image rows with ``fused``: mean of the low-pass images, the larger detail of each band (first on ties), clipped to 0..255.
+
+    ``cut`` cuts off to whole levels; columns to ``keep`` travel with their row.
+    """
+
+    def one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = build(a, levels), build(b, levels)
+        f = np.clip(collapse([*(np.where(np.abs(p) >= np.abs(q), p, q) for p, q in zip(x[:-1], y[:-1])), (x[-1] + y[-1]) / 2]), 0, 255)
+        return np.trunc(f) if cut else f
 
-    return images.select("img", "h", "w", "a", "b").mapInArrow(run, "img long, h int, w int, fused array<double>")
+    return map_pairs(images, one, keep)

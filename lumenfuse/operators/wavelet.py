@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lumenfuse.operators.pyramid import map_pairs
+
 
 @functools.cache
 def daubechies(order: int) -> np.ndarray:
@@ -65,20 +65,17 @@ def compose(parts: list, order: int) -> np.ndarray:
     return x
 
 
-def fuse_wavelet(images: DataFrame, order: int = 4, levels: int = 2, cut: bool = True) -> DataFrame:
+def fuse_wavelet(images: DataFrame, order: int = 4, levels: int = 2, cut: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Image rows with ``fused``: mean of the low-pass images, the larger of each detail (first on ties), clipped to 0..255.
 
-    ``cut`` rounds to 9 places and cuts off to whole levels.  Odd sizes come back cropped.
+    ``cut`` rounds to 9 places and cuts off to whole levels; columns to ``keep`` travel with their row.  Odd sizes come back cropped.
     """
     daubechies(order)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                a, b = (decompose(np.array(r[k], float).reshape(r["h"], r["w"]), order, levels) for k in "ab")
-                details = [tuple(np.where(np.abs(np.round(p, 9)) >= np.abs(np.round(q, 9)), p, q) for p, q in zip(x, y)) for x, y in zip(a[1:], b[1:])]
-                f = np.clip(compose([(a[0] + b[0]) / 2, *details], order)[: r["h"], : r["w"]], 0, 255)
-                f = np.trunc(np.round(f, 9)) if cut else f
-                yield pa.RecordBatch.from_arrays([pa.array([r["img"]], pa.int64()), pa.array([r["h"]], pa.int32()), pa.array([r["w"]], pa.int32()), pa.array([f.ravel()], pa.list_(pa.float64()))], names=["img", "h", "w", "fused"])
+    def one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = decompose(a, order, levels), decompose(b, order, levels)
+        details = [tuple(np.where(np.abs(np.round(p, 9)) >= np.abs(np.round(q, 9)), p, q) for p, q in zip(k, m)) for k, m in zip(x[1:], y[1:])]
+        f = np.clip(compose([(x[0] + y[0]) / 2, *details], order)[: a.shape[0], : a.shape[1]], 0, 255)
+        return np.trunc(np.round(f, 9)) if cut else f
 
-    return images.select("img", "h", "w", "a", "b").mapInArrow(run, "img long, h int, w int, fused array<double>")
+    return map_pairs(images, one, keep)

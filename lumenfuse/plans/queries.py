@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfuse.functions import color, synth
-from lumenfuse.operators import cohort, fusion, perceptual, pyramid, report, stats, wavelet, windowed
+from lumenfuse.operators import cohort, fusion, perceptual, pyramid, report, stats, steerable, wavelet, windowed
 from lumenfuse.operators import metrics as M
 from lumenfuse.sources import raster
 
@@ -40,6 +40,11 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
         ORACLES[name] = sql
 
 
+def _band_energy(bands: DataFrame) -> DataFrame:
+    """Size and energy of each band."""
+    return bands.select("img", "level", "band", "h", "w", F.aggregate("px", F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
+
+
 # ------------------------------------------------------------ SQL building blocks
 
 _PX = "px as (select vec_id, generate_subscripts(embedding, 1) - 1 as p, least(255, greatest(0, cast(floor(cast(unnest(embedding) as double) * 240 + 128) as int)))::double as v from embeddings)"
@@ -172,6 +177,8 @@ _add("fuse_haar", lambda s, d: fusion.fuse(raster.pixels(_tiles(s, d), "a", "b")
 _add("fuse_laplacian", lambda s, d: pyramid.fuse_laplacian(raster.tile_pairs(_embeddings(s, d)), 2))
 _add("fuse_wavelet_db1", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.tile_pairs(_embeddings(s, d)), 1, 1), "fused").withColumn("fused", F.col("fused").cast("int")), _haar())
 _add("fuse_wavelet_db4", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.mosaic_pairs(_embeddings(s, d))), "fused"))
+_add("pyramid_steerable", lambda s, d: rounded(_band_energy(steerable.steerable_pyramid(raster.mosaic_pairs(_embeddings(s, d))))))
+_add("pyramid_steered", lambda s, d: rounded(_band_energy(steerable.steer(steerable.steerable_pyramid(raster.mosaic_pairs(_embeddings(s, d))), math.pi / 5).withColumn("band", F.lit(None).cast("int")))))
 _add("pyramid_laplacian", lambda s, d: pyramid.laplacian_pyramid(raster.mosaic_pairs(_embeddings(s, d))))
 
 # ------------------------------------------------------------ colour
@@ -222,12 +229,19 @@ select img, p, {_r5('116 * f1 - 16', '"L"')}, {_r5('500 * (f0 - f1)', 'a')}, {_r
 # ------------------------------------------------------------ fusion with a colour image
 
 
-def _grey_and_rgb(spark: SparkSession, d: str) -> DataFrame:
+def _color_images(spark: SparkSession, d: str) -> DataFrame:
     """Tiles: vector 4k in grey, the three after it as red, green and blue."""
     px = _embeddings(spark, d).select(F.floor(F.col("vec_id") / 4).alias("img"), (F.col("vec_id") % 4).alias("k"), raster.grey_levels(F.col("embedding")).alias("px"))
     names = ("grey", "red", "green", "blue")
     four = px.groupBy("img").agg(*[F.any_value(F.when(F.col("k") == k, F.col("px")), True).alias(n) for k, n in enumerate(names)]).dropna()
-    return raster.pixels(four.withColumn("w", F.lit(raster.TILE)), *names)
+    return four.withColumns({"h": F.lit(raster.TILE), "w": F.lit(raster.TILE)})
+
+
+def _grey_and_rgb(spark: SparkSession, d: str) -> DataFrame:
+    return raster.pixels(_color_images(spark, d), "grey", "red", "green", "blue")
+
+
+_GREY_RGB = f"{_PX}, k as (select g.vec_id // 4 as img, (g.p // 8)::int as r, (g.p % 8)::int as c, g.v as a, x.v as r0, y.v as g0, z.v as b0 from px g join px x on x.vec_id = g.vec_id + 1 and x.p = g.p join px y on y.vec_id = g.vec_id + 2 and y.p = g.p join px z on z.vec_id = g.vec_id + 3 and z.p = g.p where g.vec_id % 4 = 0)"
 
 
 def _ycbcr_fusion() -> str:
@@ -236,7 +250,7 @@ def _ycbcr_fusion() -> str:
     band = lambda x, s: "sum(" + x + " * [" + ", ".join(map(str, s)) + "][o]) / 2"
     bands = ", ".join(f"case when abs({band('a', s)}) >= abs({band('y', s)}) then {band('a', s)} else {band('y', s)} end as {k}" for k, s in signs.items())
     back = " + ".join(["ll"] + [f"{k} * [{', '.join(map(str, s))}][o]" for k, s in signs.items()])
-    return f"""with {_PX}, k as (select g.vec_id // 4 as img, (g.p // 8)::int as r, (g.p % 8)::int as c, g.v as a, x.v as r0, y.v as g0, z.v as b0 from px g join px x on x.vec_id = g.vec_id + 1 and x.p = g.p join px y on y.vec_id = g.vec_id + 2 and y.p = g.p join px z on z.vec_id = g.vec_id + 3 and z.p = g.p where g.vec_id % 4 = 0),
+    return f"""with {_GREY_RGB},
 n as (select img, r, c, (r % 2) * 2 + c % 2 + 1 as o, a, 0.299 * r0 + 0.587 * g0 + 0.114 * b0 as y, round(-0.168736 * r0 - 0.331264 * g0 + 0.5 * b0 + 128, 9) - 128 as u, round(0.5 * r0 - 0.418688 * g0 - 0.081312 * b0 + 128, 9) - 128 as v from k),
 b as (select img, r // 2 as i, c // 2 as j, (sum(a) / 2 + sum(y) / 2) / 2 as ll, {bands} from n group by all),
 f as (select n.*, round(greatest(0, least(255, ({back}) / 2)), 9) as l from n join b on b.img = n.img and b.i = n.r // 2 and b.j = n.c // 2)
@@ -246,6 +260,18 @@ select img, r, c, {_byte('l + 1.402 * v')} as red, {_byte('l - 0.344136 * u - 0.
 _add("fuse_color_ycbcr", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "ycbcr"), _ycbcr_fusion())
 _add("fuse_color_hsi", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "hsi"))
 
+
+
+def _ycbcr_maximum() -> str:
+    return f"""with {_GREY_RGB},
+n as (select img, r, c, round(greatest(a, 0.299 * r0 + 0.587 * g0 + 0.114 * b0), 9) as l, round(-0.168736 * r0 - 0.331264 * g0 + 0.5 * b0 + 128, 9) - 128 as u, round(0.5 * r0 - 0.418688 * g0 - 0.081312 * b0 + 128, 9) - 128 as v from k)
+select img, r, c, {_byte('l + 1.402 * v')} as red, {_byte('l - 0.344136 * u - 0.714136 * v')} as green, {_byte('l + 1.772 * u')} as blue from n"""
+
+
+for _space in fusion.SPACES:
+    for _method in ("laplacian", "wavelet", "fuzzy"):
+        _add(f"fuse_color_{_space}_{_method}", lambda s, d, x=_space, m=_method: raster.pixels(fusion.fuse_color_images(_color_images(s, d), x, m), "red", "green", "blue"), _ycbcr_maximum() if (_space, _method) == ("ycbcr", "fuzzy") else None)
+
 # ------------------------------------------------------------ cohort and reports
 
 

@@ -148,3 +148,23 @@ def test_odd_pgm_files():
     assert files.to_levels(np.full((2, 2), 9.0), "auto").tolist() == [[128, 128]] * 2
     assert files.to_levels(np.array([[0.0, 10.0]]), "auto").tolist() == [[0, 255]]
     assert files.level_range(np.array([[0.0, 2.0]]), "auto2") == pytest.approx((1 - 2 * math.sqrt(2), 1 + 2 * math.sqrt(2)))
+
+
+@pytest.mark.parametrize("space", ["ycbcr", "hsi"])
+def test_colour_fusion_of_image_rows(spark, space):
+    light = lambda r, g, b: 0.299 * r + 0.587 * g + 0.114 * b
+    r, g, b = (RNG.integers(60, 200, (12, 14)).astype(float) for _ in range(3))
+    img = spark.createDataFrame([(1, 12, 14, A.ravel().tolist(), *(x.ravel().tolist() for x in (r, g, b)))], "img long, h int, w int, grey array<double>, red array<double>, green array<double>, blue array<double>")
+    # one level of order one is the fusion on pixels
+    pix = {(x["r"], x["c"]): (x["red"], x["green"], x["blue"]) for x in fusion.fuse_color(raster.pixels(img, "grey", "red", "green", "blue"), space).collect()}
+    row = fusion.fuse_color_images(img, space, "wavelet", 1, 1).first()
+    assert [pix[i // 14, i % 14] for i in range(168)] == list(zip(row["red"], row["green"], row["blue"]))
+    if space == "ycbcr":
+        for method in ("laplacian", "fuzzy"):
+            out = fusion.fuse_color_images(img, space, method).first()
+            assert len(out["red"]) == 168 and all(0 <= x <= 255 for x in out["red"])
+        y = np.maximum(A, light(r, g, b))
+        cr = np.round(0.5 * r - 0.418688 * g - 0.081312 * b + 128, 9) - 128
+        assert out["red"] == np.trunc(np.clip(np.round(y, 9) + 1.402 * cr, 0, 255)).ravel().tolist()
+    with pytest.raises(ValueError):
+        fusion.fuse_color_images(img, space, "none")
