@@ -14,9 +14,8 @@ X = np.random.default_rng(3).random((64, 48))
 @pytest.mark.parametrize("shape", [(64, 48), (33, 40), (64, 64)])
 def test_the_image_comes_back(order, shape):
     x = np.random.default_rng(3).random(shape)
-    x = np.fft.ifft2(np.fft.fft2(x) * (np.hypot(*np.meshgrid(np.fft.fftfreq(shape[1]), np.fft.fftfreq(shape[0]))) < 0.45)).real
     parts = steerable.decompose(x, steerable.max_height(shape), order)
-    assert np.allclose(steerable.compose(parts, order), x, atol=5e-3)
+    assert np.allclose(steerable.compose(parts, order), x, atol=5e-4 if shape[0] % 2 else 1e-12)
     # levels add up
     top = steerable.max_height(shape) + 1
     assert np.allclose(steerable.compose(parts, order, levels={0, top}) + steerable.compose(parts, order, levels=set(range(1, top))), steerable.compose(parts, order))
