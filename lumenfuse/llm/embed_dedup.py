@@ -4,13 +4,15 @@ Unit vectors are projected on many random lines.  Two vectors collide on a line
 HALF of each other (a window centred on the query).  Pairs that collide on enough lines are verified by their exact
 cosine.  The count asked for is calibrated: the difference of two unit vectors of cosine c projects to a
 normal variable of deviation sqrt(2 - 2c), so a pair just at the threshold collides on a line with a known
-probability, and the binomial tail gives the largest count that such a pair reaches with probability RECALL.
+probability p, and the binomial tail gives the largest count that such a pair reaches with a wanted probability.
 
 Spark sorts vectors into cells of the first few lines (the anchors), each vector at home in one cell and
 asking in the cells that its windows touch; inside a cell collisions are counted block by block.  The number
 of anchors grows with the logarithm of the largest label, and a cell of more than CELL vectors is split by a
-salt, with the asking side copied to each part.  TABLES sets of anchors cover each other's losses; a pair
-that an earlier set has found is left out of the next.
+salt, with the asking side copied to each part.  Several sets of anchors cover each other's losses: a pair at the
+threshold falls through T sets of a anchors with probability (1 - p**a)**T, so T (TABLES at least) grows with a until
+that is at most half of 1 - RECALL, and the count is calibrated to the rest.  Sets and count together find such a
+pair with probability RECALL for labels of any size.  A pair that an earlier set has found is left out of the next.
 
 Equal vectors are one point with a multiplicity, so copies make no pairs.  A block returns sums of links
 and edges that join its components, at most a few per vector, never all pairs of a group.
@@ -36,8 +38,13 @@ from lumenfuse.llm.vectors import matrix, valid_vectors
 COSINE, LINES, HALF, TABLES, CELL, RECALL, SEED = 0.98, 24, 0.5, 2, 6000, 0.9999, 99
 
 
+def collision(cosine: float, half: float = HALF) -> float:
+    """Probability that a pair of this cosine collides on a line."""
+    return math.erf(half / math.sqrt(2 - 2 * cosine) / math.sqrt(2)) if cosine < 1 else 1.0
+
+
 def needed_collisions(cosine: float, lines: int = LINES, half: float = HALF, recall: float = RECALL) -> int:
-    p = math.erf(half / math.sqrt(2 - 2 * cosine) / math.sqrt(2)) if cosine < 1 else 1.0
+    p = collision(cosine, half)
     tail, need = 0.0, lines
     for c in range(lines, -1, -1):
         tail += math.comb(lines, c) * p**c * (1 - p) ** (lines - c)
@@ -47,6 +54,22 @@ def needed_collisions(cosine: float, lines: int = LINES, half: float = HALF, rec
     return need
 
 
+def plan(largest: int, cosine: float, lines: int = LINES, half: float = HALF, tables: int = TABLES, recall: float = RECALL) -> tuple[int, int, int]:
+    """(anchors, tables, collisions asked for) for labels of up to ``largest`` vectors.
+
+    All sets need lines of their own; where ``lines`` are too few for that, fewer anchors are used.
+    """
+    anchors = min(6, max(1, math.ceil(math.log(max(1, largest / CELL)) / math.log(1 / 0.38))))
+    for a in range(anchors, 0, -1):
+        miss = 1 - collision(cosine, half) ** a
+        sets = tables
+        while sets * a <= lines and miss**sets > (1 - recall) / 2:
+            sets += 1
+        if sets * a <= lines:
+            return a, sets, needed_collisions(cosine, lines, half, recall + miss**sets)
+    raise ValueError(f"{lines} lines are too few for a recall of {recall} at cosine {cosine}")
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, lines: int = LINES, half: float = HALF, tables: int = TABLES, seed: int = SEED) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     rows = valid_vectors(embeddings, F.col("label").cast("string").alias("label")).where(F.col("label").isNotNull()).withColumn("dim", F.size("v"))
@@ -54,8 +77,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, lines: int =
     # a point's id may stand in two labels (repeated ids); the place in the written table cannot
     points = materialize(points.withColumn("row", F.monotonically_increasing_id()))
     largest = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    anchors = min(6, max(1, math.ceil(math.log(max(1, largest / CELL)) / math.log(1 / 0.38))))
-    need = needed_collisions(cosine, lines, half)
+    anchors, tables, need = plan(largest, cosine, lines, half, tables)
     width = 2 * half
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

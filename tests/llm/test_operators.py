@@ -229,6 +229,31 @@ def test_embedding_dedup(spark):
     assert embed_dedup.near_duplicates(vectors(spark, x, labels).limit(0)).count() == 0
 
 
+def pairs_at(n, cosine, dim=64, seed=5):
+    """n pairs of just this cosine, far from each other; a pair's rows are i and n + i."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return [*a, *(cosine * a + math.sqrt(1 - cosine**2) * b)]
+
+
+def test_embedding_dedup_keeps_links_with_several_anchors(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL", 300)  # 6,000 vectors: 4 anchors
+    got = embed_dedup.near_duplicates(vectors(spark, pairs_at(3000, 0.98001), [0] * 6000)).collect()
+    assert sum(r["n_links"] for r in got) == 6000
+    assert all(r["component_id"] == r["vec_id"] % 3000 for r in got)
+
+
+def test_embedding_dedup_recall_is_that_of_sets_and_count_together():
+    p = embed_dedup.collision(0.98)
+    for largest in (10, 6_000, 20_000, 50_000, 200_000, 400_000, 10_000_000):
+        anchors, tables, need = embed_dedup.plan(largest, 0.98)
+        fewer = sum(math.comb(24, c) * p**c * (1 - p) ** (24 - c) for c in range(need))
+        assert anchors * tables <= 24 and (1 - p**anchors) ** tables + fewer <= 1e-4
+
+
 def test_nearest_neighbours(spark):
     x, labels = some_vectors(seed=1)
     got = defaultdict(list)
