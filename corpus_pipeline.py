@@ -44,9 +44,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their token ids and their place: a sequence is the ids of its pieces by offset."""
     import public_tokenizers
 
-    return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -113,18 +113,34 @@ def tokenize(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_
                         part = ids[start : start + 4 * limit]
                         out.append((d, piece, start // 4, len(part) // 4, zlib.crc32(part)))
                         if with_ids:
-                            ids_out.append(np.frombuffer(part, "<u4").astype(np.int64))
+                            ids_out.append(np.frombuffer(part, "<i4"))
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    arrays.append(pa.array(ids_out, pa.list_(pa.int64())))
+                    arrays.append(pa.array(ids_out, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), schema)
 
 
+def digests(packed: DataFrame) -> DataFrame:
+    """``packed`` with length and ids_crc32 (of the little-endian uint32 bytes) taken from its ``ids``, which it gives up."""
+    names = [c for c in packed.columns if c not in ("ids", "length", "ids_crc32")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(b.schema.get_field_index("ids"))
+            ids, ends = col.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))
+            crc = [zlib.crc32(p) for p in np.split(ids, ends[:-1])] if b.num_rows else []
+            arrays = [b.column(b.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*arrays, col.value_lengths().cast(pa.int64()), pa.array(crc, pa.int64())], names=[*names, "length", "ids_crc32"])
+
+    schema = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in names) + ", length long, ids_crc32 long"
+    return packed.select(*names, "ids").mapInArrow(lean(run), schema)
+
+
 def best_two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(bin, offset) of each piece, and the number of bins."""
     n = np.bincount(lengths, minlength=limit + 1)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import chain
 
@@ -199,6 +200,33 @@ def test_packed_pieces(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
 
 
+def test_pipeline_packs_the_tokens(spark):
+    import corpus_pipeline
+
+    P = pytest.importorskip("public_tokenizers")
+    texts = ["word " * 2100, "a b c", "", "no more, no less"]
+    w, seqs, texts_back = packing._word_ids(P.path("word_bpe_49k.json")), defaultdict(list), defaultdict(list)
+    for r in sorted(corpus_pipeline.pack_sequences(spark, docs(spark, texts), "").collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == len(seqs[r["sequence_id"]]) and r["length"] == len(r["ids"])
+        seqs[r["sequence_id"]] += r["ids"]
+        texts_back[r["doc_id"]].append((r["start"], r["ids"]))
+    assert max(map(len, seqs.values())) == packing.LIMIT
+    for d, t in enumerate(texts):
+        assert list(chain.from_iterable(ids for _, ids in sorted(texts_back[d]))) == [*w.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_op4_digests_come_from_the_packed_ids(spark, monkeypatch, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from lumenfuse.llm import queries
+
+    docs(spark, ["a b c", None, "word " * 2100]).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: sorted(map(tuple, queries.op4_best_fit_packing(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert run() == sorted(map(tuple, packing.tokenize(spark.read.parquet(f"{tmp_path}/documents.parquet"), P.path("word_bpe_49k.json")).collect()))
+    real = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda pieces: real(pieces).withColumn("ids", F.array(F.lit(7))))
+    assert {(n, crc) for _, _, _, n, crc in run()} == {(1, zlib.crc32(bytes([7, 0, 0, 0])))}
+
+
 def vectors(spark, x, labels):
     return spark.createDataFrame([(i, None if v is None else [None if c is None else float(c) for c in v], l) for i, (v, l) in enumerate(zip(x, labels))], "vec_id long, embedding array<float>, label int")
 
