@@ -8,8 +8,9 @@ probability p, and the binomial tail gives the largest count that such a pair re
 
 Spark sorts vectors into cells of the first few lines (the anchors), each vector at home in one cell and
 asking in the cells that its windows touch; inside a cell collisions are counted block by block.  The number
-of anchors grows with the logarithm of the largest label, and a cell of more than CELL vectors is split by a
-salt, with the asking side copied to each part.  Several sets of anchors cover each other's losses: a pair at the
+of anchors grows with the logarithm of the largest label.  A cell of more than CELL vectors at home is split by a
+salt, one that more than ASKS vectors ask in by a second: each task compares one part of the one side with one part
+of the other, so what it holds is bounded whatever the cell, and links are summed over the parts.  Several sets of anchors cover each other's losses: a pair at the
 threshold falls through T sets of a anchors with probability (1 - p**a)**T, so T (TABLES at least) grows with a until
 that is at most half of 1 - RECALL, and the count is calibrated to the rest.  Sets and count together find such a
 pair with probability RECALL for labels of any size.  A pair that an earlier set has found is left out of the next.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenfuse.llm.common import checked_broadcast, connected_components, materialize
 from lumenfuse.llm.vectors import matrix, valid_vectors
 
-COSINE, LINES, HALF, TABLES, CELL, RECALL, SEED = 0.98, 24, 0.5, 2, 6000, 0.9999, 99
+COSINE, LINES, HALF, TABLES, CELL, ASKS, RECALL, SEED = 0.98, 24, 0.5, 2, 6000, 18_000, 0.9999, 99
 
 
 def collision(cosine: float, half: float = HALF) -> float:
@@ -102,11 +103,13 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, lines: int =
         homes = home if homes is None else homes.union(home)
         asks = ask.drop("p") if asks is None else asks.union(ask.drop("p"))
     keys = ["tab", "label", "dim", "cell"]
-    salts = materialize(homes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts")))
-    small = checked_broadcast(salts)
-    homes = homes.join(small, keys).withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).withColumn("asks", F.lit(False))
-    asks = asks.join(small, keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("asks", F.lit(True))
-    cols = [*keys, "salt", "asks", "row"]
+    parts = lambda side, most, name: side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    small = checked_broadcast(materialize(parts(homes, CELL, "salts").join(parts(asks, ASKS, "chunks"), keys)))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    homes = homes.join(small, keys).withColumn("salt", dealt("salts", 0)).withColumn("chunk", each("chunks")).withColumn("asks", F.lit(False))
+    asks = asks.join(small, keys).withColumn("salt", each("salts")).withColumn("chunk", dealt("chunks", 1)).withColumn("asks", F.lit(True))
+    cols = [*keys, "salt", "chunk", "asks", "row"]
     jobs = homes.select(*cols).union(asks.select(*cols)).join(on_lines.select("row", "point", "many", "v", "p"), "row")
 
     def count(t: pa.Table) -> pa.Table:
@@ -156,7 +159,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, lines: int =
         kind = [0] * len(row) + [1] * len(src)
         return pa.table({"kind": pa.array(kind, pa.int32()), "row": pa.array(row + src, pa.int64()), "other": pa.array(total + dst, pa.int64())})
 
-    found = materialize(jobs.groupBy(*keys, "salt").applyInArrow(count, "kind int, row long, other long"))
+    found = materialize(jobs.groupBy(*keys, "salt", "chunk").applyInArrow(count, "kind int, row long, other long"))
     links = found.where("kind = 0").groupBy("row").agg(F.sum("other").alias("links"))
     edges = found.where("kind = 1").select(F.col("row").alias("src"), F.col("other").alias("dst"))
     comp = materialize(connected_components(edges).withColumnRenamed("node", "row"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,6 +275,24 @@ def test_embedding_dedup_keeps_links_with_several_anchors(spark, monkeypatch):
     assert all(r["component_id"] == r["vec_id"] % 3000 for r in got)
 
 
+def test_embedding_dedup_tasks_of_a_large_cluster_are_bounded(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    real, rows = GroupedData.applyInArrow, []
+
+    def spied(self, func, schema):
+        rows.append(max(r[0] for r in real(self, lambda t: pa.table({"n": [t.num_rows]}), "n long").collect()))
+        return real(self, func, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", spied)
+    monkeypatch.setattr(embed_dedup, "CELL", 100)
+    monkeypatch.setattr(embed_dedup, "ASKS", 100, raising=False)
+    x = 1 + 1e-4 * np.random.default_rng(0).standard_normal((1000, 16))  # all near each other, none equal
+    got = embed_dedup.near_duplicates(vectors(spark, x, [0] * 1000)).collect()
+    assert all(r["n_links"] == 999 and r["component_id"] == 0 for r in got)
+    assert max(rows) <= 2 * 2 * 100  # parts dealt by a hash: twice the mean at most
+
+
 def test_embedding_dedup_recall_is_that_of_sets_and_count_together():
     p = embed_dedup.collision(0.98)
     for largest in (10, 6_000, 20_000, 50_000, 200_000, 400_000, 10_000_000):
