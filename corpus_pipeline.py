@@ -17,10 +17,10 @@ ORACLE_SQL = None
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which no profile can name, go."""
+    """Documents without a letter, which no profile can name, go; with no profile to name them, those with a letter stay."""
     profiles = language_id.learn_profiles(docs.select("text", "lang"))
     named = language_id.identify(docs, profiles)
-    return named.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return named.where((F.col("lang_pred") != language_id.UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

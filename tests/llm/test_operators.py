@@ -216,6 +216,14 @@ def test_pipeline_packs_the_tokens(spark):
         assert list(chain.from_iterable(ids for _, ids in sorted(texts_back[d]))) == [*w.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID]
 
 
+def test_pipeline_keeps_unlabelled_documents_with_a_letter(spark):
+    import corpus_pipeline
+
+    texts = ["plain words here", "тоже слова", None, "", "12 !?", "x1"]
+    for langs in (None, ["und"] * len(texts)):
+        assert sorted(r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, docs(spark, texts, langs=langs), "").collect()) == [0, 1, 5]
+
+
 def test_op4_digests_come_from_the_packed_ids(spark, monkeypatch, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     from lumenfuse.llm import queries
