@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,8 +21,12 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a one- or two-column table of numbers may be broadcast (at most 32 MB); above it a shuffle join runs.
 BROADCAST_ROWS = 1_000_000
+#: Bytes up to which the strings and arrays (16 bytes an entry) of such a table may be broadcast.
+BROADCAST_BYTES = 32_000_000
 #: Words hashed at once in a task.
 CHUNK_WORDS = 300_000
+#: Bytes of a text that are split into words at once; longer texts go piece by piece.
+PIECE_BYTES = 2_000_000
 #: ASCII white space: words are runs of anything else.
 WHITE = " \t\n\x0b\f\r"
 
@@ -46,9 +51,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the (written) table has at most ``limit`` rows; otherwise Spark shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the (written) table has at most ``limit`` rows and, where it has columns of open length, their values at most ``most_bytes``; otherwise Spark shuffles."""
+    if df.limit(limit + 1).count() > limit:
+        return df
+    size = F.lit(0)
+    for c, t in df.dtypes:
+        if t in ("string", "binary"):
+            size += F.coalesce(F.octet_length(f"`{c}`"), F.lit(0))
+        elif t.startswith("array"):
+            size += 16 * F.greatest(F.size(f"`{c}`"), F.lit(0))
+    if any(t in ("string", "binary") or t.startswith("array") for _, t in df.dtypes) and (df.agg(F.sum(size)).first()[0] or 0) > most_bytes:
+        return df
+    return F.broadcast(df)
 
 
 def give_back() -> None:
@@ -114,16 +129,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 class WordHash(dict):
-    """Hash of a word's bytes; keeps those of recent short words."""
+    """The 128-bit hash of a word's bytes; keeps those of recent short words."""
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+    def __missing__(self, word: bytes) -> bytes:
+        h = xxhash.xxh3_128_digest(word)
         if len(word) <= 48:
             if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h
 
+    def of(self, text: bytes | None) -> np.ndarray:
+        """(words, 2): both halves of the hash of each word of a text, which is split piece by piece."""
+        if not text:
+            return np.empty((0, 2), np.uint64)
+        parts = [b"".join(map(self.__getitem__, piece.split())) for piece in pieces_of(text)]
+        return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+
+
+_GAP = re.compile(rb"[ \t\n\r\x0b\f]")
+
+
+def pieces_of(text: bytes, most: int = PIECE_BYTES) -> Iterator[bytes]:
+    """The text in pieces of about ``most`` bytes that end at white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > most and (gap := _GAP.search(text, at + most)):
+            end = gap.start()
+        yield text[at:end] if at or end < len(text) else text
+        at = end
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (in place)."""
@@ -155,22 +191,39 @@ def window_hashes(w: np.ndarray, k: int) -> np.ndarray:
     return acc
 
 
+def word_slices(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    """The words of each span (first, end), in order of their start, joined by one space; the text is split piece by piece."""
+    held: list[list[bytes]] = [[] for _ in spans]
+    at, lo = 0, 0
+    for piece in pieces_of(text):
+        words = piece.split()
+        end, i = at + len(words), lo
+        while i < len(spans) and spans[i][0] < end:
+            a, b = spans[i]
+            if b > at:
+                held[i].append(b" ".join(words[max(a - at, 0) : b - at]))
+            elif i == lo:
+                lo += 1
+            i += 1
+        at = end
+    return [b" ".join(x for x in parts if x) for parts in held]
+
+
 def chunks_of_words(batches: Iterator[pa.RecordBatch], text: str = "text", lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, hashes of all their words, words of each row); a chunk ends after CHUNK_WORDS words.
+    """(rows, (words, 2) hashes of all their words, words of each row); a chunk ends after CHUNK_WORDS words.
 
-    ``text`` is a binary column; a null has no words.
+    ``text`` is a binary column; a null has no words.  A row of more words is a chunk of its own.
     """
     cache = WordHash()
     for batch in batches:
-        col, first, words, lens = batch.column(batch.schema.get_field_index(text)), 0, [], []
+        col, first, held, lens = batch.column(batch.schema.get_field_index(text)), 0, [], []
         for i in range(batch.num_rows):
             t = col[i].as_py()
-            ws = [] if t is None else (t.lower() if lower else t).split()
-            words += ws
-            lens.append(len(ws))
-            if len(words) >= CHUNK_WORDS or i + 1 == batch.num_rows:
-                yield batch.slice(first, i + 1 - first), np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), np.array(lens, np.int64)
-                first, words, lens = i + 1, [], []
+            held.append(cache.of(t.lower() if lower and t is not None else t))
+            lens.append(len(held[-1]))
+            if sum(lens) >= CHUNK_WORDS or i + 1 == batch.num_rows:
+                yield batch.slice(first, i + 1 - first), np.concatenate(held), np.array(lens, np.int64)
+                first, held, lens = i + 1, [], []
 
 
 def starts_of(lens: np.ndarray) -> np.ndarray:
