@@ -2,21 +2,27 @@
 
 The sparse product of the document by n-gram incidence matrix with its transpose is never formed whole.
 
-1. Rows that are equal as sets are one class (an aggregation by a 128-bit signature of the set).
+1. Rows that are equal as sets are one class (an aggregation by a 128-bit signature of the set); classes are the rows of
+   the matrix.
 2. Size-derived bounds thin the matrix: two sets of Jaccard t or more overlap in t * max(size), so they share an
    entry among the first ``size - ceil(t * size) + 1`` of each, in any order that all rows agree on.  The
    order puts n-grams that occur once first (they can match nothing and are not even emitted), then rare
    ones, then frequent ones by their count.
 3. What is left are the columns of the thinned product.  In a first block each column is multiplied with
-   one of its rows only, its smallest class: work linear in the column.  Exact overlaps are accumulated from
-   whole texts and links joined into components.  A column whose rows are then all in one component is
-   done: copies of one text never make all pairs.
+   one of its rows only, its smallest class: work linear in the column.  Links are joined into components.  A
+   column whose rows are then all in one component is done: copies of one text never make all pairs.
 4. In the second block the remaining columns give those pairs whose components differ and which the bounds
-   (sizes, positions, and the triangle inequality of the Jaccard distance to the column's first row) allow.
+   (sizes, positions, and the triangle inequality of the Jaccard distance to the column's first row) allow.  A long column
+   is dealt into parts of COLUMN_PART rows that meet part by part in tasks of their own.
+
+The overlap of a pair that is left is accumulated from blocks of the full incidence: the sets of the classes in
+question are written once, cut into ranges of hashes (a set of more than BLOCK_GRAMS n-grams has several), a pair meets
+range by range, and the counts of the ranges are added up.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing; fewer than n words make one
 n-gram of the whole; repeated rows are one class; rows with a null id are returned with a null component
-and link with nothing; rows that share an id but not a text are one node of the graph.
+and link with nothing; rows that share an id but not a text are one node of the graph: what links with any of them is in
+its component; a long text is split piece by piece, and its distinct n-grams (8 bytes each) are what a task holds of it.
 """
 
 from __future__ import annotations
@@ -32,11 +38,14 @@ from lumenfuse.llm import common as C
 from lumenfuse.llm.keycount import KeyCounts, count_keys
 
 SHINGLE, PERCENT = 5, 80
+#: N-grams of a set in one range of hashes, about; rows of a column that meet in one task.
+BLOCK_GRAMS, COLUMN_PART = 2048, 512
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """(rows, the sorted distinct n-gram hashes of each)."""
-    for rows, w, lens in C.chunks_of_words(batches, text, lower=True):
+    for rows, words, lens in C.chunks_of_words(batches, text, lower=True):
+        w = np.ascontiguousarray(words[:, 0])
         h, sets = C.window_hashes(w, n), []
         for a, k in zip(C.starts_of(lens).tolist(), lens.tolist()):
             if k >= n:
@@ -46,6 +55,13 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, text: str = "text") -> Iter
         yield rows, sets
 
 
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit sums over a set."""
+    if not len(s):
+        return 0, 0
+    return int(np.sum(s, dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(C.mix(s + np.uint64(0x51ED))).astype(np.int64))
+
+
 def _need(size: int, percent: int) -> int:
     """Overlap that a set of this size has at least with any set that it links with."""
     return -(-size * percent // 100)
@@ -64,8 +80,8 @@ def _signed_rows(rows: DataFrame, n: int, percent: int, known) -> DataFrame:
             for s, k in zip(sets, sizes.tolist()):
                 r = rank[a : a + k]
                 a += k
-                s1.append(int(np.sum(s, dtype=np.uint64).astype(np.int64)))
-                s2.append(int(np.bitwise_xor.reduce(C.mix(s + np.uint64(0x51ED))).astype(np.int64)) if k else 0)
+                for x, y in zip((s1, s2), _signature(s)):
+                    x.append(y)
                 keep = k - _need(k, percent) + 1 if k else 0
                 once = int(np.count_nonzero(r == 0))
                 if once >= keep:
@@ -84,34 +100,43 @@ def _signed_rows(rows: DataFrame, n: int, percent: int, known) -> DataFrame:
     return rows.mapInArrow(C.lean(run), "doc_id long, n long, s1 long, s2 long, prefix array<long>, at array<int>")
 
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(a, b, both, na, nb): exact overlap and sizes for each pair, from whole texts; written."""
-    involved = C.materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    some = C.materialize(texts.join(C.checked_broadcast(involved), texts["doc_id"] == involved["id"], "left_semi").dropDuplicates(["doc_id"]))
-    joined = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+def _level(size: str):
+    """Level of cutting of a set: 2**level ranges of hashes."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.expr(f"{size} / {BLOCK_GRAMS}")))).cast("int")
+
+
+def _blocks(ids: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cls, level, part, grams): the sets of the classes ``ids(cls)`` in ranges of hashes, at each level that a partner may ask for; written."""
+    wanted = C.materialize(ids.join(classes, "cls"))
+    some = rows.join(C.checked_broadcast(C.materialize(wanted.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.empty(0, np.uint64)
-        cache = C.WordHash()
+        for _, sets in _sets(batches, n):
+            out: list[tuple] = []
+            for s in sets:
+                if not len(s):
+                    continue
+                low = max(0, int(np.ceil(np.log2(len(s) / BLOCK_GRAMS))))
+                high = max(0, int(np.ceil(np.log2(len(s) * 100 / percent / BLOCK_GRAMS))))
+                s1, s2 = _signature(s)
+                for level in range(low, high + 1):
+                    at = (s >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(s), np.int64)
+                    cut = np.searchsorted(at, np.arange((1 << level) + 1))
+                    out += [(s1, s2, len(s), level, p, C.signed(s[cut[p] : cut[p + 1]])) for p in range(1 << level) if cut[p] < cut[p + 1]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=["s1", "s2", "n", "level", "part", "grams"])
 
-        def grams(t: bytes) -> np.ndarray:
-            ws = t.lower().split()
-            w = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-            return np.unique(C.window_hashes(w, n)) if len(ws) >= n else C.mix(C.window_hashes(w, len(ws)) + np.uint64(len(ws)))
+    sets = some.select("text").mapInArrow(C.lean(run), "s1 long, s2 long, n long, level int, part int, grams array<long>")
+    return C.materialize(sets.join(C.checked_broadcast(wanted.select("cls", "s1", "s2", "n")), ["s1", "s2", "n"]).select("cls", "level", "part", "grams").dropDuplicates(["cls", "level", "part"]))
 
-        for batch in batches:
-            a, b, ta, tb = (batch.column(batch.schema.get_field_index(x)) for x in ("a", "b", "ta", "tb"))
-            both, na, nb = [], [], []
-            for i in range(batch.num_rows):
-                if (x := a[i].as_py()) != last:
-                    last, held = x, grams(ta[i].as_py())
-                other = grams(tb[i].as_py())
-                both.append(len(np.intersect1d(held, other, assume_unique=True)))
-                na.append(len(held))
-                nb.append(len(other))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(both, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], names=["a", "b", "both", "na", "nb"])
 
-    return C.materialize(joined.select("a", "b", "ta", "tb").mapInArrow(C.lean(run), "a long, b long, both long, na long, nb long"))
+def _overlaps(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, na, nb, both): exact overlap and sizes of each pair of classes (a, b, na, nb); written."""
+    sets = _blocks(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), rows, classes, n, percent)
+    asked = pairs.withColumn("level", F.greatest(_level("na"), _level("nb")))
+    one = asked.join(sets.select(F.col("cls").alias("a"), "level", "part", F.col("grams").alias("x")), ["a", "level"])
+    two = one.join(sets.select(F.col("cls").alias("b"), "level", "part", F.col("grams").alias("y")), ["b", "level", "part"])
+    return C.materialize(two.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("k")).groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("both")))
 
 
 def jaccard_components(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -127,44 +152,50 @@ def jaccard_components(documents: DataFrame, n: int = SHINGLE, percent: int = PE
         for _, sets in _sets(batches, n):
             yield [np.concatenate(sets) if sets else np.empty(0, np.uint64)]
 
-    known = spark.sparkContext.broadcast(count_keys(rows, hashes))
+    known = spark.sparkContext.broadcast(count_keys(rows.select("text"), hashes))
     signed = C.materialize(_signed_rows(rows, n, percent, known))
     # classes of equal sets; those with nothing to probe are alone
-    classes = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    classes = C.materialize(classes)
-    probing = signed.where(F.col("prefix").isNotNull() & (F.col("n") > 0)).join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where(F.col("doc_id") == F.col("rep"))
-    probing = probing.dropDuplicates(["rep", "s1", "s2", "n"])
-    cells = C.materialize(probing.select("rep", F.col("n").alias("size"), F.explode(F.arrays_zip("prefix", "at")).alias("z")).select("rep", "size", F.col("z.prefix").alias("h"), F.col("z.at").alias("at")))
-    first = cells.groupBy("h").agg(F.min(F.struct("rep", "size", "at")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    columns = C.materialize(cells.join(first.select("h", "f"), "h").select("h", "rep", "size", "at", F.col("f.rep").alias("rep0"), F.col("f.size").alias("size0"), F.col("f.at").alias("at0")))
+    members = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = members.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    classes = C.materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
+    probing = members.where(F.col("prefix").isNotNull()).join(classes.select("s1", "s2", "n", "rep", "cls"), ["s1", "s2", "n"]).where(F.col("doc_id") == F.col("rep"))
+    probing = probing.dropDuplicates(["cls"])
+    cells = C.materialize(probing.select("cls", F.col("n").alias("size"), F.explode(F.arrays_zip("prefix", "at")).alias("z")).select("cls", "size", F.col("z.prefix").alias("h"), F.col("z.at").alias("at")))
+    first = cells.groupBy("h").agg(F.min(F.struct("cls", "size", "at")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    columns = C.materialize(cells.join(first.select("h", "f"), "h").select("h", "cls", "size", "at", F.col("f.cls").alias("cls0"), F.col("f.size").alias("size0"), F.col("f.at").alias("at0")))
 
     def allowed(x: str, nx: str, ax: str, y: str, ny: str, ay: str):
         """Size-derived bounds of a pair that meets in a column."""
         least = F.ceil(F.expr(f"({nx} + {ny}) * {percent} / {100 + percent}.0D - 1e-9"))
         return (F.expr(f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) and {x} <> {y}")) & (F.expr(f"least({nx} - {ax}, {ny} - {ay})") >= least)
 
-    texts = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     hit = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
-    pairs = C.materialize(columns.where(allowed("rep0", "size0", "at0", "rep", "size", "at")).select(F.col("rep0").alias("a"), F.col("rep").alias("b")).distinct())
-    measured = _overlaps(pairs, texts, n)
-    links = measured.where(hit).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = C.materialize(C.connected_components(links))
+    linked = lambda m: m.where(hit).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    pairs = C.materialize(columns.where(allowed("cls0", "size0", "at0", "cls", "size", "at")).select(F.col("cls0").alias("a"), F.col("cls").alias("b"), F.col("size0").alias("na"), F.col("size").alias("nb")).distinct())
+    measured = _overlaps(pairs, rows, classes, n, percent)
+    # an id on rows of several classes joins them
+    twice = C.checked_broadcast(C.materialize(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")))
+    shared = C.materialize(members.join(twice, "doc_id", "left_semi").join(classes.select("s1", "s2", "n", "cls"), ["s1", "s2", "n"]).select("doc_id", "cls").distinct())
+    same_id = shared.join(shared.groupBy("doc_id").agg(F.min("cls").alias("lo")), "doc_id").where("cls > lo").select(F.col("cls").alias("src"), F.col("lo").alias("dst"))
+    comp = C.materialize(C.connected_components(linked(measured).union(same_id)))
     # second block: columns whose rows are not in one component yet
-    distance = measured.select(F.col("a").alias("rep0"), F.col("b").alias("rep"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    named = columns.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    named = named.join(open_, "h", "left_semi").join(distance, ["rep0", "rep"], "left").withColumn("d", F.when(F.col("rep") == F.col("rep0"), 0.0).otherwise(F.col("d")))
-    named = C.materialize(named.select("h", "rep", "size", "at", "component", "rep0", "d"))
-    left, right = (named.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "size", "at", "component", "d")], *([F.col("rep0")] if s == "x" else [])) for s in "xy")
-    more = left.join(right, "h").where(
-        (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("rep_x") != F.col("rep0")) & (F.col("rep_y") != F.col("rep0"))
-        & allowed("rep_x", "size_x", "at_x", "rep_y", "size_y", "at_y")
+    distance = measured.select(F.col("a").alias("cls0"), F.col("b").alias("cls"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
+    named = columns.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    open_ = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / COLUMN_PART).cast("int").alias("parts")).where("lo <> hi").select("h", "parts")
+    named = named.join(C.checked_broadcast(C.materialize(open_)), "h").join(distance, ["cls0", "cls"], "left").withColumn("d", F.when(F.col("cls") == F.col("cls0"), 0.0).otherwise(F.col("d")))
+    named = C.materialize(named.where("cls <> cls0").select("h", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls", "size", "at", "component", "d"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left, right = (named.select("h", *([F.col("part").alias("px"), every.alias("py")] if s == "x" else [every.alias("px"), F.col("part").alias("py")]), *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "size", "at", "component", "d")]) for s in "xy")
+    more = left.join(right, ["h", "px", "py"]).where(
+        (F.col("cls_x") < F.col("cls_y")) & (F.col("component_x") != F.col("component_y")) & allowed("cls_x", "size_x", "at_x", "cls_y", "size_y", "at_y")
         & F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
     )
-    more = C.materialize(more.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct())
-    again = _overlaps(more, texts, n).where(hit).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = C.connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(again))
-    named_classes = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", "n_copies", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "s1", "s2").join(named_classes, ["s1", "s2", "n"], "left")
+    more = more.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"), F.col("size_x").alias("na"), F.col("size_y").alias("nb")).distinct()
+    more = C.materialize(more.join(measured, ["a", "b"], "left_anti"))
+    again = linked(_overlaps(more, rows, classes, n, percent))
+    comp = C.materialize(C.connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(again)).withColumnRenamed("node", "cls"))
+    small = classes.select("cls", "rep").join(comp, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = classes.join(comp, "cls", "left").join(small, "component", "left").select("s1", "s2", "n", "n_copies", F.coalesce("component_id", "rep").alias("component_id"))
+    out = signed.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfuse.llm import line_dedup, mixing, substring_dedup
+from lumenfuse.llm import line_dedup, mixing, ngram_join, substring_dedup
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -53,13 +53,26 @@ select c.page_id, c.fetched_at, coalesce(b.action, 'keep') as verdict, b.key as
 """
 
 _REPEATS = rf"""
-with d as (select doc_id, {_WORDS} as w from documents),
-r as (select doc_id, i, md5(array_to_string(w[i:i + {substring_dedup.WINDOW - 1}], ' ')) as h from d, lateral (select unnest(range(1, len(w) - {substring_dedup.WINDOW - 2})) as i)),
-f as (select h, min(doc_id) as first from r group by h having min(doc_id) < max(doc_id)),
-g as (select distinct r.doc_id, i + j as p from r join f on r.h = f.h and r.doc_id > f.first, lateral (select unnest(range(0, {substring_dedup.WINDOW})) as j)),
-u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
-k as (select u.doc_id, string_agg(word, ' ' order by u.p) as kept, count(*) as n from u anti join g on u.doc_id = g.doc_id and u.p = g.p group by u.doc_id)
-select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
+with d as (select row_number() over () as row, doc_id, coalesce(doc_id, -9223372036854775808) as id, {_WORDS} as w from documents),
+r as (select row, id, i, md5(array_to_string(w[i:i + {substring_dedup.WINDOW - 1}], ' ')) as h from d, lateral (select unnest(range(1, len(w) - {substring_dedup.WINDOW - 2})) as i)),
+f as (select h, min(id) as first from r group by h having min(id) < max(id)),
+g as (select distinct r.row, i + j as p from r join f on r.h = f.h and r.id > f.first, lateral (select unnest(range(0, {substring_dedup.WINDOW})) as j)),
+u as (select row, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+k as (select u.row, string_agg(word, ' ' order by u.p) as kept, count(*) as n from u anti join g on u.row = g.row and u.p = g.p group by u.row)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (row)
+"""
+
+_JACCARD = rf"""
+with recursive d as (select row_number() over () as row, doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+g as (select distinct row, array_to_string(w[i:i + {ngram_join.SHINGLE - 1}], ' ') as gram from d, lateral (select unnest(range(1, greatest(len(w) - {ngram_join.SHINGLE - 2}, least(len(w), 1) + 1))) as i)),
+n as (select row, count(*) as n, md5(string_agg(gram, '|' order by gram)) as signature from g group by row),
+c as (select row, count(*) over (partition by signature) as n_copies from n join d using (row) where doc_id is not null),
+p as (select x.row as a, y.row as b, count(*) as shared from g x join g y on x.gram = y.gram and x.row <> y.row group by x.row, y.row),
+e as (select distinct da.doc_id as x, db.doc_id as y from p join n na on na.row = a join n nb on nb.row = b join d da on da.row = a join d db on db.row = b where 100 * shared >= {ngram_join.PERCENT} * (na.n + nb.n - shared)),
+r as (select distinct doc_id as x, doc_id as y from d where doc_id is not null union select r.x, e.y from r join e on r.y = e.x),
+m as (select x, min(y) as component_id from r group by x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id, coalesce(c.n_copies, 1)::bigint as n_copies
+from d left join n using (row) left join c using (row) left join m on m.x = d.doc_id
 """
 
 _LINES = rf"""
@@ -71,4 +84,4 @@ y as (select doc_id, count(*) filter (not stays) as gone, coalesce(string_agg(li
 select d.doc_id, coalesce(gone, 0)::bigint as n_lines_removed, length(t)::bigint as kept_chars, md5(t) as kept_md5 from documents d left join y using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": _MIX, "op3_chat_format": _CHAT, "op6_url_filter": _URL, "op8_substring_dedup": _REPEATS, "op10_line_dedup": _LINES}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD, "op2_mix_sources": _MIX, "op3_chat_format": _CHAT, "op6_url_filter": _URL, "op8_substring_dedup": _REPEATS, "op10_line_dedup": _LINES}
