@@ -6,21 +6,23 @@ cosine.  The count asked for is calibrated: the difference of two unit vectors o
 normal variable of deviation sqrt(2 - 2c), so a pair just at the threshold collides on a line with a known
 probability p, and the binomial tail gives the largest count that such a pair reaches with a wanted probability.
 
-Spark sorts vectors into cells of the first few lines (the anchors), each vector at home in one cell and
-asking in the cells that its windows touch; inside a cell collisions are counted block by block.  The number
-of anchors grows with the logarithm of the largest label.  A cell of more than CELL vectors at home is split by a
-salt, one that more than ASKS vectors ask in by a second: each task compares one part of the one side with one part
-of the other, so what it holds is bounded whatever the cell, and links are summed over the parts.  Several sets of anchors cover each other's losses: a pair at the
-threshold falls through T sets of a anchors with probability (1 - p**a)**T, so T (TABLES at least) grows with a until
-that is at most half of 1 - RECALL, and the count is calibrated to the rest.  Sets and count together find such a
-pair with probability RECALL for labels of any size.  A pair that an earlier set has found is left out of the next.
-
-Equal vectors are one point with a multiplicity, so copies make no pairs.  A block returns sums of links
+Only vectors of one cell are compared: a cell is an interval of WIDTH, randomly shifted, on each of some further lines, the
+anchors.  Their number grows with the logarithm of the largest label, without an end, so that a cell holds about CELL
+vectors whatever the label; up to CELL a label is one cell.  A pair at the threshold falls into different cells with a known
+probability, so several sets of anchors are used, as many as make the probability to miss it in all of them at most
+half of 1 - RECALL; the count is calibrated to the other half.  Sets and count together find such a pair with probability
+RECALL for labels of any size.  A pair that shares a cell of an earlier set is left to that set.
+
+A cell of more than PART vectors is dealt into parts, and each task compares two parts (or one with itself): what it
+holds is bounded whatever the cell, a hot label or cluster is spread over many tasks, and links are summed over them.
+
+Equal vectors are one point with a multiplicity, so copies make no pairs.  A task returns sums of links
 and edges that join its components, at most a few per vector, never all pairs of a group.
 
 Edge cases: a null label, or a vector that is null, zero or holds null or non-finite components, links with
 nothing (n_links 0, component its own id); vectors of different length do not link; repeated rows are links
-of each other; a null id gives null component and kept; an empty table gives no rows.
+of each other; a row with a null id links with nothing (n_links 0, null component and kept), even beside equal vectors; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfuse.llm.common import checked_broadcast, connected_components, materialize
+from lumenfuse.llm.common import checked_broadcast, connected_components, materialize, mix
 from lumenfuse.llm.vectors import matrix, valid_vectors
 
-COSINE, LINES, HALF, TABLES, CELL, ASKS, RECALL, SEED = 0.98, 24, 0.5, 2, 6000, 18_000, 0.9999, 99
+COSINE, LINES, HALF, WIDTH, CELL, PART, RECALL, SEED = 0.98, 24, 0.5, 2.0, 6000, 1000, 0.9999, 99
+#: Lines on which all pairs are counted before those that cannot reach the count are dropped.
+FIRST_LINES = 12
 
 
 def collision(cosine: float, half: float = HALF) -> float:
@@ -44,6 +48,14 @@ def collision(cosine: float, half: float = HALF) -> float:
     return math.erf(half / math.sqrt(2 - 2 * cosine) / math.sqrt(2)) if cosine < 1 else 1.0
 
 
+def same_interval(deviation: float, width: float = WIDTH) -> float:
+    """Probability that two numbers, a normal variable of this deviation apart, share an interval of a randomly shifted grid."""
+    if not deviation:
+        return 1.0
+    r = width / deviation
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
 def needed_collisions(cosine: float, lines: int = LINES, half: float = HALF, recall: float = RECALL) -> int:
     p = collision(cosine, half)
     tail, need = 0.0, lines
@@ -55,31 +67,23 @@ def needed_collisions(cosine: float, lines: int = LINES, half: float = HALF, rec
     return need
 
 
-def plan(largest: int, cosine: float, lines: int = LINES, half: float = HALF, tables: int = TABLES, recall: float = RECALL) -> tuple[int, int, int]:
-    """(anchors, tables, collisions asked for) for labels of up to ``largest`` vectors.
-
-    All sets need lines of their own; where ``lines`` are too few for that, fewer anchors are used.
-    """
-    anchors = min(6, max(1, math.ceil(math.log(max(1, largest / CELL)) / math.log(1 / 0.38))))
-    for a in range(anchors, 0, -1):
-        miss = 1 - collision(cosine, half) ** a
-        sets = tables
-        while sets * a <= lines and miss**sets > (1 - recall) / 2:
-            sets += 1
-        if sets * a <= lines:
-            return a, sets, needed_collisions(cosine, lines, half, recall + miss**sets)
-    raise ValueError(f"{lines} lines are too few for a recall of {recall} at cosine {cosine}")
+def plan(largest: int, cosine: float, lines: int = LINES, half: float = HALF, recall: float = RECALL) -> tuple[int, int, int]:
+    """(anchors of a set, sets, collisions asked for) for labels of up to ``largest`` vectors."""
+    share = same_interval(math.sqrt(2))  # of a label's vectors in the cell of one of them, by one anchor
+    anchors = max(0, math.ceil(math.log(max(1, largest / CELL)) / -math.log(share)))
+    miss = 1 - same_interval(math.sqrt(2 - 2 * cosine)) ** anchors
+    sets = max(1, math.ceil(math.log((1 - recall) / 2) / math.log(miss))) if miss > 0 else 1
+    return anchors, sets, needed_collisions(cosine, lines, half, recall + miss**sets)
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, lines: int = LINES, half: float = HALF, tables: int = TABLES, seed: int = SEED) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, lines: int = LINES, half: float = HALF, seed: int = SEED) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     rows = valid_vectors(embeddings, F.col("label").cast("string").alias("label")).where(F.col("label").isNotNull()).withColumn("dim", F.size("v"))
     points = materialize(rows.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("many")))
     # a point's id may stand in two labels (repeated ids); the place in the written table cannot
     points = materialize(points.withColumn("row", F.monotonically_increasing_id()))
     largest = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    anchors, tables, need = plan(largest, cosine, lines, half, tables)
-    width = 2 * half
+    anchors, sets, need = plan(largest, cosine, lines, half)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,79 +91,72 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, lines: int =
             for d in np.unique(dims):
                 part = b.filter(pa.array(dims == d))
                 x = matrix(part.column(part.schema.get_field_index("v")))
-                g = np.random.default_rng([seed, int(d)]).standard_normal((int(d), lines))
-                p = x / np.linalg.norm(x, axis=1, keepdims=True) @ g
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns)] + [pa.array(list(p), pa.list_(pa.float64()))], names=[*part.schema.names, "p"])
-
-    on_lines = materialize(points.mapInArrow(project, "label string, dim int, v array<double>, point long, many long, row long, p array<double>"))
-    cell_of = lambda t: F.array(*[F.floor(F.col("p")[t * anchors + i] / width) for i in range(anchors)])
-    homes, asks = None, None
-    for t in range(tables):
-        home = on_lines.select(F.lit(t).alias("tab"), "label", "dim", cell_of(t).alias("cell"), "row")
-        ask = on_lines.select(F.lit(t).alias("tab"), "label", "dim", F.array().cast("array<bigint>").alias("cell"), "row", "p")
-        for i in range(anchors):
-            x = F.col("p")[t * anchors + i]
-            ask = ask.select("tab", "label", "dim", "cell", "row", "p", F.explode(F.sequence(F.floor((x - half) / width), F.floor((x + half) / width))).alias("_c")).select("tab", "label", "dim", F.concat("cell", F.array("_c")).alias("cell"), "row", "p")
-        homes = home if homes is None else homes.union(home)
-        asks = ask.drop("p") if asks is None else asks.union(ask.drop("p"))
+                rng = np.random.default_rng([seed, int(d)])
+                g, far = rng.standard_normal((int(d), lines)), rng.standard_normal((int(d), anchors * sets))
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                at = np.floor((unit @ far) / WIDTH + rng.uniform(0, 1, anchors * sets)).astype(np.int64).view(np.uint64)
+                cells = np.zeros((len(x), sets), np.uint64)
+                for i in range(anchors):
+                    cells = mix(cells * np.uint64(0x9E3779B97F4A7C15) + at[:, i::anchors] + np.uint64(1))
+                arrays = [pa.array(list((unit @ g).astype(np.float32)), pa.list_(pa.float32())), pa.array(list(cells.view(np.int64)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, "p", "cells"])
+
+    on_lines = materialize(points.mapInArrow(project, "label string, dim int, v array<double>, point long, many long, row long, p array<float>, cells array<long>"))
     keys = ["tab", "label", "dim", "cell"]
-    parts = lambda side, most, name: side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    small = checked_broadcast(materialize(parts(homes, CELL, "salts").join(parts(asks, ASKS, "chunks"), keys)))
-    dealt = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    homes = homes.join(small, keys).withColumn("salt", dealt("salts", 0)).withColumn("chunk", each("chunks")).withColumn("asks", F.lit(False))
-    asks = asks.join(small, keys).withColumn("salt", each("salts")).withColumn("chunk", dealt("chunks", 1)).withColumn("asks", F.lit(True))
-    cols = [*keys, "salt", "chunk", "asks", "row"]
-    jobs = homes.select(*cols).union(asks.select(*cols)).join(on_lines.select("row", "point", "many", "v", "p"), "row")
+    homes = on_lines.select("label", "dim", "row", F.posexplode("cells").alias("tab", "cell"))
+    sizes = homes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    dealt = homes.join(checked_broadcast(materialize(sizes)), keys).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    jobs = dealt.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("asks"), "row")
+    jobs = jobs.join(on_lines.select("row", "many", "v", "p", "cells"), "row")
 
     def count(t: pa.Table) -> pa.Table:
-        tab = t.column("tab")[0].as_py()
+        tab, alone = t.column("tab")[0].as_py(), t.column("low")[0].as_py() == t.column("high")[0].as_py()
         asking = t.column("asks").to_numpy()
-        h, q = t.filter(pa.array(~asking)), t.filter(pa.array(asking))
+        h = t.filter(pa.array(~asking))
+        q = h if alone else t.filter(pa.array(asking))
         row, total, src, dst = [], [], [], []
         if h.num_rows and q.num_rows:
+            read = lambda s: [matrix(s.column("v")), matrix(s.column("p")), matrix(s.column("cells"))[:, :tab], s.column("row").to_numpy(), s.column("many").to_numpy()]
             unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-            hv, qv = unit(matrix(h.column("v"))), unit(matrix(q.column("v")))
-            hp, qp = matrix(h.column("p")), matrix(q.column("p"))
-            hrow, qrow, many = h.column("row").to_numpy(), q.column("row").to_numpy(), h.column("many").to_numpy()
-            root = np.arange(len(hrow))
-            step = max(1, 1_000_000 // len(hrow))
+            hx, hp, hc, hrow, hmany = read(h)
+            qx, qp, qc, qrow, qmany = (hx, hp, hc, hrow, hmany) if alone else read(q)
+            hu, qu = unit(hx), unit(qx)
+            root, seen = np.arange(len(hrow)), np.zeros(len(hrow), np.int64)
+            step = max(1, 250_000 // len(hrow))
             for a in range(0, len(qrow), step):
                 hits = np.zeros((len(qp[a : a + step]), len(hp)), np.int8)
-                own, earlier = np.ones(hits.shape, bool), np.zeros(hits.shape, bool)
-                before = np.ones(hits.shape, bool)
-                for j in range(lines):
-                    near = np.abs(qp[a : a + step, j, None] - hp[None, :, j]) <= half
-                    hits += near
-                    if tab * anchors <= j < (tab + 1) * anchors:
-                        own &= near
-                    if j < tab * anchors:
-                        before &= near
-                        if (j + 1) % anchors == 0:
-                            earlier |= before
-                            before[:] = True
-                ask = own & ~earlier & (hits >= need) & (qrow[a : a + step, None] != hrow[None, :])
-                if not ask.any():
-                    continue
-                cos = qv[a : a + step] @ hv.T
-                edge = np.argwhere(ask & (np.abs(cos - cosine) < 1e-9))
-                for i, j in edge:  # so near the threshold that the order of summation could matter
-                    cos[i, j] = float(np.dot(q["v"][a + int(i)].values.to_numpy(), h["v"][int(j)].values.to_numpy()) / (math.sqrt((q["v"][a + int(i)].values.to_numpy() ** 2).sum()) * math.sqrt((h["v"][int(j)].values.to_numpy() ** 2).sum())))
-                linked = ask & (cos >= cosine)
-                for i in np.flatnonzero(linked.any(1)):
-                    at = np.flatnonzero(linked[i])
-                    row.append(qrow[a + i])
-                    total.append(int(many[at].sum()))
+                for j in range(min(FIRST_LINES, lines)):
+                    hits += np.abs(qp[a : a + step, j, None] - hp[None, :, j]) <= half
+                possible = hits >= need - max(0, lines - FIRST_LINES)
+                if alone:  # each pair once
+                    possible &= np.arange(len(hp))[None, :] > np.arange(a, a + len(hits))[:, None]
+                qi, hi = np.nonzero(possible)
+                n = hits[qi, hi] + (np.abs(qp[a + qi, FIRST_LINES:] - hp[hi, FIRST_LINES:]) <= half).sum(1)
+                ok = (n >= need) & ~(qc[a + qi] == hc[hi]).any(1)
+                qi, hi = qi[ok] + a, hi[ok]
+                cos = (qu[a : a + step] @ hu.T)[qi - a, hi]
+                for i in np.flatnonzero(np.abs(cos - cosine) < 1e-9).tolist():  # so near the threshold that the order of summation could matter
+                    x, y = qx[qi[i]], hx[hi[i]]
+                    cos[i] = float(np.dot(x, y) / (math.sqrt((x**2).sum()) * math.sqrt((y**2).sum())))
+                qi, hi = qi[cos >= cosine], hi[cos >= cosine]
+                np.add.at(seen, hi, qmany[qi])
+                new = np.flatnonzero(np.diff(qi, prepend=-1))
+                for i, at in zip(qi[new].tolist(), np.split(hi, new[1:]) if len(new) else []):
+                    row.append(qrow[i])
+                    total.append(int(hmany[at].sum()))
                     groups, first = np.unique(root[at], return_index=True)
-                    for f in first:
-                        src.append(qrow[a + i])
-                        dst.append(hrow[at[f]])
+                    src += [qrow[i]] * len(first)
+                    dst += hrow[at[first]].tolist()
                     if len(groups) > 1:
                         root[np.isin(root, groups)] = groups[0]
+            some = np.flatnonzero(seen)
+            row += hrow[some].tolist()
+            total += seen[some].tolist()
         kind = [0] * len(row) + [1] * len(src)
         return pa.table({"kind": pa.array(kind, pa.int32()), "row": pa.array(row + src, pa.int64()), "other": pa.array(total + dst, pa.int64())})
 
-    found = materialize(jobs.groupBy(*keys, "salt", "chunk").applyInArrow(count, "kind int, row long, other long"))
+    found = materialize(jobs.groupBy(*keys, "low", "high").applyInArrow(count, "kind int, row long, other long"))
     links = found.where("kind = 0").groupBy("row").agg(F.sum("other").alias("links"))
     edges = found.where("kind = 1").select(F.col("row").alias("src"), F.col("other").alias("dst"))
     comp = materialize(connected_components(edges).withColumnRenamed("node", "row"))
