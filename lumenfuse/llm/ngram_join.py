@@ -9,10 +9,12 @@ The sparse product of the document by n-gram incidence matrix with its transpose
    order puts n-grams that occur once first (they can match nothing and are not even emitted), then rare
    ones, then frequent ones by their count.
 3. What is left are the columns of the thinned product.  In a first block each column is multiplied with
-   one of its rows only, its smallest class: work linear in the column.  Links are joined into components.  A
-   column whose rows are then all in one component is done: copies of one text never make all pairs.
-4. In the second block the remaining columns give those pairs whose components differ and which the bounds
-   (sizes, positions, and the triangle inequality of the Jaccard distance to the column's first row) allow.  A long column
+   one of its rows only, its pivot, the class of the smallest doc_id: work linear in the column.  Links are joined into
+   components.  A column whose rows are then all in one component is done: copies of one text never make all pairs.
+   Columns that are still open are multiplied with a second pivot, the row nearest to the first: of a group around a common
+   text that row is the most central one.
+4. In the last block the columns still open give those pairs whose components differ and which the bounds
+   (sizes, positions, and the triangle inequality of the Jaccard distance to each pivot) allow.  A long column
    is dealt into parts of COLUMN_PART rows that meet part by part in tasks of their own.
 
 The overlap of a pair that is left is accumulated from blocks of the full incidence: the sets of the classes in
@@ -27,6 +29,7 @@ its component; a long text is split piece by piece, and its distinct n-grams (8
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from lumenfuse.llm import common as C
 from lumenfuse.llm.keycount import KeyCounts, count_keys
 
-SHINGLE, PERCENT = 5, 80
+SHINGLE, PERCENT, PIVOTS = 5, 80, 2
 #: N-grams of a set in one range of hashes, about; rows of a column that meet in one task.
 BLOCK_GRAMS, COLUMN_PART = 2048, 512
 
@@ -160,40 +163,54 @@ def jaccard_components(documents: DataFrame, n: int = SHINGLE, percent: int = PE
     classes = C.materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
     probing = members.where(F.col("prefix").isNotNull()).join(classes.select("s1", "s2", "n", "rep", "cls"), ["s1", "s2", "n"]).where(F.col("doc_id") == F.col("rep"))
     probing = probing.dropDuplicates(["cls"])
-    cells = C.materialize(probing.select("cls", F.col("n").alias("size"), F.explode(F.arrays_zip("prefix", "at")).alias("z")).select("cls", "size", F.col("z.prefix").alias("h"), F.col("z.at").alias("at")))
-    first = cells.groupBy("h").agg(F.min(F.struct("cls", "size", "at")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    columns = C.materialize(cells.join(first.select("h", "f"), "h").select("h", "cls", "size", "at", F.col("f.cls").alias("cls0"), F.col("f.size").alias("size0"), F.col("f.at").alias("at0")))
+    cells = C.materialize(probing.select("cls", "rep", F.col("n").alias("size"), F.explode(F.arrays_zip("prefix", "at")).alias("z")).select("cls", "rep", "size", F.col("z.prefix").alias("h"), F.col("z.at").alias("at")))
+    first = cells.groupBy("h").agg(F.min(F.struct("rep", "cls", "size", "at")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    columns = C.materialize(cells.join(first.select("h", F.struct("p.cls", "p.size", "p.at").alias("p")), "h").select("h", "cls", "size", "at", "p", F.lit(-1).cast("long").alias("component"), F.lit(-2).cast("long").alias("p_component")))
 
     def allowed(x: str, nx: str, ax: str, y: str, ny: str, ay: str):
         """Size-derived bounds of a pair that meets in a column."""
         least = F.ceil(F.expr(f"({nx} + {ny}) * {percent} / {100 + percent}.0D - 1e-9"))
         return (F.expr(f"100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) and {x} <> {y}")) & (F.expr(f"least({nx} - {ax}, {ny} - {ay})") >= least)
 
-    hit = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
-    linked = lambda m: m.where(hit).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    pairs = C.materialize(columns.where(allowed("cls0", "size0", "at0", "cls", "size", "at")).select(F.col("cls0").alias("a"), F.col("cls").alias("b"), F.col("size0").alias("na"), F.col("size").alias("nb")).distinct())
-    measured = _overlaps(pairs, rows, classes, n, percent)
     # an id on rows of several classes joins them
     twice = C.checked_broadcast(C.materialize(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")))
     shared = C.materialize(members.join(twice, "doc_id", "left_semi").join(classes.select("s1", "s2", "n", "cls"), ["s1", "s2", "n"]).select("doc_id", "cls").distinct())
-    same_id = shared.join(shared.groupBy("doc_id").agg(F.min("cls").alias("lo")), "doc_id").where("cls > lo").select(F.col("cls").alias("src"), F.col("lo").alias("dst"))
-    comp = C.materialize(C.connected_components(linked(measured).union(same_id)))
-    # second block: columns whose rows are not in one component yet
-    distance = measured.select(F.col("a").alias("cls0"), F.col("b").alias("cls"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    named = columns.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_ = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / COLUMN_PART).cast("int").alias("parts")).where("lo <> hi").select("h", "parts")
-    named = named.join(C.checked_broadcast(C.materialize(open_)), "h").join(distance, ["cls0", "cls"], "left").withColumn("d", F.when(F.col("cls") == F.col("cls0"), 0.0).otherwise(F.col("d")))
-    named = C.materialize(named.where("cls <> cls0").select("h", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), "cls", "size", "at", "component", "d"))
+    links = shared.join(shared.groupBy("doc_id").agg(F.min("cls").alias("lo")), "doc_id").where("cls > lo").select(F.col("cls").alias("src"), F.col("lo").alias("dst"))
+    hit = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
+    linked = lambda m: m.where(hit).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    measured, away = [], []
+    for i in range(PIVOTS):
+        # every open column times its pivot
+        pairs = columns.where(allowed("p.cls", "p.size", "p.at", "cls", "size", "at") & (F.col("component") != F.col("p_component")))
+        pairs = pairs.select(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b"), F.when(F.col("p.cls") < F.col("cls"), F.col("p.size")).otherwise(F.col("size")).alias("na"), F.when(F.col("p.cls") < F.col("cls"), F.col("size")).otherwise(F.col("p.size")).alias("nb")).distinct()
+        for m in measured:
+            pairs = pairs.join(m.select("a", "b"), ["a", "b"], "left_anti")
+        measured.append(_overlaps(C.materialize(pairs), rows, classes, n, percent))
+        links = links.union(linked(measured[-1]))
+        comp = C.materialize(C.connected_components(links))
+        links = comp.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        # columns whose rows are not in one component yet, and how far from the pivot each row is
+        named = columns.drop("component", "p_component", "parts").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        open_ = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+        distance = functools.reduce(DataFrame.union, measured).select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias(f"d{i}"))
+        named = named.join(C.checked_broadcast(C.materialize(open_)), "h", "left_semi").withColumns({"a": F.least("p.cls", "cls"), "b": F.greatest("p.cls", "cls")}).join(distance, ["a", "b"], "left").drop("a", "b")
+        away.append(f"d{i}")
+        named = C.materialize(named.where("cls <> p.cls").drop("p"))
+        near = named.groupBy("h").agg(F.min(F.struct(F.coalesce(away[-1], F.lit(2.0)).alias("d"), "cls", "size", "at", "component")).alias("p"), F.ceil(F.count(F.lit(1)) / COLUMN_PART).cast("int").alias("parts"))
+        columns = named.join(near.select("h", F.struct("p.cls", "p.size", "p.at").alias("p"), F.col("p.component").alias("p_component"), "parts"), "h")
+        columns = C.materialize(columns)
+    # all that is left of the open columns, part by part
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left, right = (named.select("h", *([F.col("part").alias("px"), every.alias("py")] if s == "x" else [every.alias("px"), F.col("part").alias("py")]), *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "size", "at", "component", "d")]) for s in "xy")
-    more = left.join(right, ["h", "px", "py"]).where(
-        (F.col("cls_x") < F.col("cls_y")) & (F.col("component_x") != F.col("component_y")) & allowed("cls_x", "size_x", "at_x", "cls_y", "size_y", "at_y")
-        & F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    )
+    columns = columns.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    left, right = (columns.select("h", *([F.col("part").alias("px"), every.alias("py")] if s == "x" else [every.alias("px"), F.col("part").alias("py")]), *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "size", "at", "component", *away)]) for s in "xy")
+    more = left.join(right, ["h", "px", "py"]).where((F.col("cls_x") < F.col("cls_y")) & (F.col("component_x") != F.col("component_y")) & allowed("cls_x", "size_x", "at_x", "cls_y", "size_y", "at_y"))
+    for d in away:
+        more = more.where(F.coalesce(F.abs(F.col(f"{d}_x") - F.col(f"{d}_y")) <= (100 - percent) / 100 + 1e-9, F.lit(True)))
     more = more.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"), F.col("size_x").alias("na"), F.col("size_y").alias("nb")).distinct()
-    more = C.materialize(more.join(measured, ["a", "b"], "left_anti"))
-    again = linked(_overlaps(more, rows, classes, n, percent))
-    comp = C.materialize(C.connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(again)).withColumnRenamed("node", "cls"))
+    for m in measured:
+        more = more.join(m.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.union(linked(_overlaps(C.materialize(more), rows, classes, n, percent)))
+    comp = C.materialize(C.connected_components(links).withColumnRenamed("node", "cls"))
     small = classes.select("cls", "rep").join(comp, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(comp, "cls", "left").join(small, "component", "left").select("s1", "s2", "n", "n_copies", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
