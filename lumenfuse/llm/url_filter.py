@@ -6,7 +6,8 @@ host's parent domains, and host plus leading path segments; an equi-join on the
 inside the interval is the as-of join.  The most specific active entry decides; 'drop' ends an entry.
 
 The captures' side of the join may have one host on a third of the rows: it is a plain equi-join whose large
-partitions AQE splits, and the list side is broadcast only after a check of its size.  Verdicts meet again
+partitions AQE splits, and the list side is broadcast only after a check of its rows and bytes.  Paths are looked
+up as deep as the deepest entry of the list.  Verdicts meet again
 by capture through an aggregation with map-side combine.
 
 DataFrame functions only.  Edge cases: a null or unparsable URL, a null fetch time and a key without
@@ -22,9 +23,6 @@ from pyspark.sql import Window as W
 
 from lumenfuse.llm.common import checked_broadcast, materialize
 
-PATH_DEPTH = 3
-
-
 def host_of(url) -> F.Column:
     """Lower-case host without user, port and leading www; null if there is none."""
     h = F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -36,7 +34,7 @@ def path_of(url) -> F.Column:
     return F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def lookup_keys(url, depth: int = PATH_DEPTH) -> F.Column:
+def lookup_keys(url, depth: int) -> F.Column:
     """array<struct<key, weight>>: host and parent domains (weight: number of labels), then host + path prefixes (weight: 1000 + segments)."""
     host, segments = host_of(url), F.filter(F.split(path_of(url), "/"), lambda s: s != "")
     labels = F.split(host, r"\.")
@@ -55,14 +53,20 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return one.select("key", "action", F.col("listed_at").alias("valid_from"), F.lead("listed_at").over(w).alias("valid_to")).where(F.col("action") != "drop")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at", depth: int = PATH_DEPTH) -> DataFrame:
-    """``captures`` with verdict ('keep', 'block', 'allow') and rule (the key that decided) for each row."""
-    cols = [c for c in captures.columns if c not in ("verdict", "rule")]
+def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at", names: tuple[str, str] = ("verdict", "rule")) -> DataFrame:
+    """``captures`` with verdict ('keep', 'block', 'allow') and rule (the key that decided) for each row, under ``names``.
+
+    Columns of these names must not be there yet.
+    """
+    if clash := {c.lower() for c in captures.columns} & {c.lower() for c in names}:
+        raise ValueError(f"there are columns {sorted(clash)} already")
     spans = materialize(validity_intervals(entries))
+    # paths are looked up as deep as the deepest entry of the list
+    depth = spans.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     # judged once for each distinct (url, time): copies of a capture cost nothing
     seen = captures.select(F.col(url).alias("u"), F.col(fetched).alias("t")).where("u is not null and t is not null").distinct()
     probe = seen.select("u", "t", F.explode(lookup_keys(F.col("u"), depth)).alias("k")).select("u", "t", F.col("k.key").alias("key"), F.col("k.weight").alias("weight"))
     hits = probe.join(checked_broadcast(spans), "key").where((F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
     best = hits.groupBy("u", "t").agg(F.max(F.struct("weight", "key", "action")).alias("b")).select("u", "t", F.col("b.action").alias("_action"), F.col("b.key").alias("_key"))
     out = captures.alias("c").join(best.alias("b"), (F.col(f"c.`{url}`") == F.col("b.u")) & (F.col(f"c.`{fetched}`") == F.col("b.t")), "left")
-    return out.select(*[F.col(f"c.`{c}`") for c in cols], F.coalesce("b._action", F.lit("keep")).alias("verdict"), F.col("b._key").alias("rule"))
+    return out.select(*[F.col(f"c.`{c}`") for c in captures.columns], F.coalesce("b._action", F.lit("keep")).alias(names[0]), F.col("b._key").alias(names[1]))
