@@ -7,23 +7,27 @@ have received tokens in proportion to their weights.
 
 Nothing is ordered in one task: a source's running count is summed in two levels (hash buckets, then inside a bucket),
 and so is the global order (ranges of finish time, then inside a range); only the sums of the buckets,
-whose number is fixed, meet in one place.  A source of a third of all rows is spread over its buckets.
+whose number is fixed, meet in one place.  A source of a third of all rows is spread over its buckets.  The range that the
+budget cuts is parted again into ranges until at most EDGE_ROWS rows are left to be sorted.
 
 Edge cases: null or blank text has size 0 and is taken 0 words; a null source is a source of its own,
-last; a null id sorts first; repeated rows each count; an empty table gives no rows; sources without words get target 0.
+last; a null id sorts first (such rows are shuffled by their texts' hash); repeated rows each count; ties go by the texts' hash; a text
+of any length is one number here; an empty table gives no rows; sources without words get target 0.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenfuse.llm.common import WHITE, materialize
+from lumenfuse.llm.common import WHITE, checked_broadcast, materialize
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Buckets of a source's order (three hex digits of the hash), ranges of finish time per unit, and latest range.
-BUCKET_DIGITS, RANGES, LAST = 3, 2048, 4
+BUCKET_DIGITS, RANGES, LAST, EDGE_ROWS = 3, 2048, 4, 100_000
 
 
 def word_count(text) -> F.Column:
@@ -51,10 +55,11 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per row of documents: doc_id, source, size, source_size, target, copies (how often taken), taken (words)."""
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
+def _plan(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """``mix`` for rows (row, doc_id, source, text) with a number of their own."""
+    spark, tie = rows.sparkSession, F.xxhash64("text")
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), tie.cast("string")))
+    docs = rows.select("row", "doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order"), tie.alias("tie"))
     docs = materialize(docs.withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS)))
     # one row per source and bucket; 4096 buckets a source
     sums = materialize(docs.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
@@ -63,40 +68,47 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     known = spark.createDataFrame([(s, n, float(goal[s])) for s, n in by_source], "source string, source_size long, target double")
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     before = sums.select("source", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before"))
-    inside = W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
     ran = docs.withColumn("ran", F.sum("size").over(inside)).alias("d")
     same = lambda x: F.col("d.source").eqNullSafe(F.col(f"{x}.source"))
     placed = ran.join(before.alias("b"), same("b") & (F.col("d.bucket") == F.col("b.bucket"))).join(F.broadcast(known).alias("k"), same("k"))
-    placed = placed.select("d.doc_id", "d.source", "d.order", "d.size", "k.source_size", "k.target", (F.col("d.ran") + F.col("b.before")).alias("ran"))
-    placed = materialize(placed.withColumn("row", F.monotonically_increasing_id()))
+    placed = materialize(placed.select("d.row", "d.doc_id", "d.source", "d.order", "d.tie", "d.size", "k.source_size", "k.target", (F.col("d.ran") + F.col("b.before")).alias("ran")))
     # every copy with its finish time; words of no document are not queued
-    queue = placed.where("size > 0 and target > 0").select("row", "source", "order", "doc_id", "size", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), ((F.col("ran") + e * F.col("source_size")) / F.col("target")).alias("finish")) for e in range(most)])).alias("c"))
-    queue = queue.select("row", "source", "order", "doc_id", "size", "c.epoch", "c.finish").withColumn("range", F.floor(F.least("finish", F.lit(float(LAST))) * RANGES))
-    budget = float(sum(goal.values()))
-    total = queue.groupBy("range").agg(F.sum("size").alias("words"))  # at most RANGES * LAST + 1 rows
-    ends = total.select("range", "words", F.sum("words").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)).alias("end"))
-    ends = [(r["range"], r["end"] - r["words"], r["end"]) for r in ends.collect()]
-    whole = max((r for r, _, end in ends if end <= budget), default=-1)
-    cut = next(((r, start) for r, start, end in ends if end > budget), (None, 0))
-    taken = queue.where(F.col("range") <= whole).select("row", "epoch")
-    if cut[0] is not None:  # one range, a 2048th of the mix, is sorted
-        edge = queue.where(F.col("range") == cut[0])
-        w = W.partitionBy("range").orderBy("finish", F.col("source").asc_nulls_last(), "order", "doc_id", "epoch").rowsBetween(W.unboundedPreceding, 0)
-        taken = taken.union(edge.withColumn("end", F.sum("size").over(w) + F.lit(cut[1])).where(F.col("end") <= budget).select("row", "epoch"))
-    copies = taken.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    out = placed.join(copies, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("int"))
+    copies = F.array(*[F.struct(F.lit(e).alias("epoch"), ((F.col("ran") + e * F.col("source_size")) / F.col("target")).alias("finish")) for e in range(most)])
+    queue = placed.where("size > 0 and target > 0").select("row", "source", "order", "doc_id", "size", "tie", F.explode(copies).alias("c")).select("row", "source", "order", "doc_id", "size", "tie", "c.epoch", "c.finish")
+    budget, taken, spent, low, width = float(sum(goal.values())), [], 0, 0.0, 1.0 / RANGES
+    edge, last = queue, RANGES * LAST
+    while True:
+        # at most ``last`` + 1 rows are collected
+        part = F.least(F.floor((F.col("finish") - low) / width), F.lit(last)).cast("long")
+        sums_of = sorted((r["part"], r["words"], r["n"]) for r in edge.groupBy(part.alias("part")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect())
+        cut = None
+        for p, words, n in sums_of:
+            if spent + words > budget:
+                cut = p
+                break
+            spent += words
+        taken.append((edge if cut is None else edge.where(part < cut)).select("row", "epoch"))
+        if cut is None:
+            break
+        edge = edge.where(part == cut)
+        if n <= EDGE_ROWS or cut == last or width < 1e-12:
+            w = W.partitionBy(F.lit(0)).orderBy("finish", F.col("source").asc_nulls_last(), "order", "doc_id", "epoch", "tie").rowsBetween(W.unboundedPreceding, 0)
+            taken.append(edge.withColumn("end", F.sum("size").over(w) + F.lit(spent)).where(F.col("end") <= budget).select("row", "epoch"))
+            break
+        low, width, last = low + cut * width, width / RANGES, RANGES - 1
+    often = functools.reduce(DataFrame.union, taken).groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    out = placed.join(often, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("int"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "row")
 
 
-def mixed_documents(documents: DataFrame, **kw) -> DataFrame:
-    """The mix itself: documents as often as taken, with the columns of ``documents``.
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row per row of documents: doc_id, source, size, source_size, target, copies (how often taken), taken (words)."""
+    return _plan(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text"), weights, share, most)
+
 
-    Rows that share id, source and size are numbered on both sides, so each finds its own count.
-    """
-    keys = ("doc_id", "source", "size")
-    plan = mix(documents, **kw)
-    plan = plan.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("copies")))).where("copies > 0").alias("t")
-    d = documents.withColumn("_size", word_count(F.col("text")))
-    d = d.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "source", "_size").orderBy("text"))).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size")) & (F.col("d._nth") == F.col("t.nth"))
-    return d.join(plan, on).select(*[F.col(f"d.`{c}`") for c in documents.columns], F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("_copy")).drop("_copy")
+def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: documents as often as taken, with the columns of ``documents``, whatever their names."""
+    rows = materialize(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    often = materialize(_plan(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), weights, share, most).where("copies > 0").select("row", "copies"))
+    return rows.join(checked_broadcast(often), "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
