@@ -1,11 +1,12 @@
 """Shared pieces: tables in the cluster's shared folder, checked broadcasts, components, word hashes.
 
 Lineage is cut by writing a Parquet table to the folder in ``spark.checkpoint.dir``; a lost executor then
-costs a re-read.  Only where that setting is absent (tests) a temporary folder stands in.
+costs a re-read.  Only in a local session without that setting (tests) a temporary folder stands in.
 """
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
@@ -31,26 +32,55 @@ PIECE_BYTES = 2_000_000
 WHITE = " \t\n\x0b\f\r"
 
 _own_dir: list[str] = []
+_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; a local session without one gets a temporary folder, a cluster an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-llm-"))
     return _own_dir[0]
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized within is deleted at its end; what is to stay must be written before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove_folder(spark, path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only if the (written) table has at most ``limit`` rows and, where it has columns of open length, their values at most ``most_bytes``; otherwise Spark shuffles."""
     if df.limit(limit + 1).count() > limit:

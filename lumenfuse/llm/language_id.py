@@ -122,9 +122,13 @@ class Profiles:
         return self.names[i], float(1 - distance[i] / (self.size * len(own)))
 
 
-def identify(documents: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PROFILE) -> DataFrame:
-    """``documents`` with lang_pred and score; only ``text`` is looked at."""
-    cols = [c for c in documents.columns if c not in ("lang_pred", "score")]
+def identify(documents: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``documents`` with the predicted language and its score under ``names``; only ``text`` is looked at.
+
+    Columns of these names must not be there yet.
+    """
+    if clash := {c.lower() for c in documents.columns} & {c.lower() for c in names}:
+        raise ValueError(f"there are columns {sorted(clash)} already")
     known = documents.sparkSession.sparkContext.broadcast(Profiles(profiles, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +136,10 @@ def identify(documents: DataFrame, profiles: list[tuple[str, list[int]]], size:
         for b in batches:
             text = b.column(b.schema.get_field_index("text"))
             got = [p.nearest(text[i].as_py()) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*b.schema.names, *names])
 
-    d = documents.select(*[F.col(f"`{c}`") for c in cols])
-    schema = T.StructType([*d.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return d.mapInArrow(lean(run), schema)
+    schema = T.StructType([*documents.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return documents.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column, parts: int = 4, which: int = 2) -> Column:

@@ -83,6 +83,35 @@ def test_ngram_join_nulls_and_empty(spark):
     assert ngram_join.jaccard_components(d.limit(0)).count() == 0
 
 
+def test_ngram_join_rows_that_share_an_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    d = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, b + " z"), (None, b)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(d).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (None, None)]
+
+
+def test_ngram_join_in_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 16)
+    monkeypatch.setattr(ngram_join, "COLUMN_PART", 3)
+    monkeypatch.setattr(common, "PIECE_BYTES", 50)
+    monkeypatch.setattr(common, "CHUNK_WORDS", 300)
+    test_ngram_join_equals_brute_force(spark, 11)
+
+
+def test_long_texts_go_piece_by_piece():
+    text = b" ".join(b"w%d" % (i % 977) for i in range(20_000)) + b" \n "
+    assert b"".join(common.pieces_of(text, 100)) == text
+    whole = common.WordHash().of(text)
+    old, common.PIECE_BYTES = common.PIECE_BYTES, 100
+    try:
+        assert (common.WordHash().of(text) == whole).all() and len(whole) == 20_000
+    finally:
+        common.PIECE_BYTES = old
+    words = text.split()
+    spans = [(0, 3), (2, 700), (650, 660), (5000, 20_000)]
+    assert common.word_slices(text, spans) == [b" ".join(words[a:b]) for a, b in spans]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
@@ -108,6 +137,24 @@ def test_substrings_equal_brute_force(spark, seed):
     assert substring_dedup.remove_repeats(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    p, u = " ".join(f"p{i}" for i in range(60)), " ".join(f"u{i}" for i in range(80))
+    rows = [(1, p, "a"), (2, p, "b"), (2, u, "c"), (None, u, "d"), (None, p + " q", "e"), (7, u, "f"), (7, u, "f"), (8, None, "g"), (9, "", "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(d).collect()), key=str)
+    # a null id comes first: its rows keep everything, and so they take p and u from all others
+    assert got == sorted([(1, 60, 60), (2, 60, 60), (2, 80, 80), (None, 80, 0), (None, 61, 0), (7, 80, 80), (7, 80, 80), (8, 0, 0), (9, 0, 0)], key=str)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(d.where("doc_id <= 2")).collect())
+    assert got == [(1, 60, 0), (2, 60, 60), (2, 80, 0)]
+
+
+def test_substrings_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(common, "PIECE_BYTES", 60)
+    monkeypatch.setattr(common, "CHUNK_WORDS", 200)
+    monkeypatch.setattr(substring_dedup, "_SENT", 2)
+    test_substrings_equal_brute_force(spark, 12)
+
+
 def test_lines(spark):
     rnd = random.Random(2)
     common_lines = ["all rights reserved", "click to accept cookies", "single"]
@@ -259,9 +306,8 @@ def test_embedding_dedup(spark):
     got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(vectors(spark, x, labels)).collect()}
     assert pairs and len(got) == len(x)
     found = sum(r["n_links"] for r in got.values())
-    assert found >= 0.95 * sum(n.values()) and all(got[i]["n_links"] <= n[i] for i in got)
-    if found == sum(n.values()):
-        assert [got[i]["component_id"] for i in range(len(x))] == root
+    assert found == sum(n.values()) and all(got[i]["n_links"] == n[i] for i in got)
+    assert [got[i]["component_id"] for i in range(len(x))] == root
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     assert embed_dedup.near_duplicates(vectors(spark, x, labels).limit(0)).count() == 0
 
@@ -277,7 +323,8 @@ def pairs_at(n, cosine, dim=64, seed=5):
 
 
 def test_embedding_dedup_keeps_links_with_several_anchors(spark, monkeypatch):
-    monkeypatch.setattr(embed_dedup, "CELL", 300)  # 6,000 vectors: 4 anchors
+    monkeypatch.setattr(embed_dedup, "CELL", 300)  # 6,000 vectors: 5 anchors
+    assert embed_dedup.plan(6000, 0.98)[0] == 5
     got = embed_dedup.near_duplicates(vectors(spark, pairs_at(3000, 0.98001), [0] * 6000)).collect()
     assert sum(r["n_links"] for r in got) == 6000
     assert all(r["component_id"] == r["vec_id"] % 3000 for r in got)
@@ -294,7 +341,7 @@ def test_embedding_dedup_tasks_of_a_large_cluster_are_bounded(spark, monkeypatch
 
     monkeypatch.setattr(GroupedData, "applyInArrow", spied)
     monkeypatch.setattr(embed_dedup, "CELL", 100)
-    monkeypatch.setattr(embed_dedup, "ASKS", 100, raising=False)
+    monkeypatch.setattr(embed_dedup, "PART", 100)
     x = 1 + 1e-4 * np.random.default_rng(0).standard_normal((1000, 16))  # all near each other, none equal
     got = embed_dedup.near_duplicates(vectors(spark, x, [0] * 1000)).collect()
     assert all(r["n_links"] == 999 and r["component_id"] == 0 for r in got)
@@ -302,11 +349,23 @@ def test_embedding_dedup_tasks_of_a_large_cluster_are_bounded(spark, monkeypatch
 
 
 def test_embedding_dedup_recall_is_that_of_sets_and_count_together():
-    p = embed_dedup.collision(0.98)
-    for largest in (10, 6_000, 20_000, 50_000, 200_000, 400_000, 10_000_000):
-        anchors, tables, need = embed_dedup.plan(largest, 0.98)
+    p, same = embed_dedup.collision(0.98), embed_dedup.same_interval(math.sqrt(0.04))
+    assert same == pytest.approx(np.clip(1 - np.abs(0.2 * np.random.default_rng(0).standard_normal(1_000_000)) / embed_dedup.WIDTH, 0, 1).mean(), abs=1e-3)
+    before = 0
+    for largest in (10, 6_000, 20_000, 50_000, 200_000, 400_000, 10_000_000, 10**9):
+        anchors, sets, need = embed_dedup.plan(largest, 0.98)
         fewer = sum(math.comb(24, c) * p**c * (1 - p) ** (24 - c) for c in range(need))
-        assert anchors * tables <= 24 and (1 - p**anchors) ** tables + fewer <= 1e-4
+        assert (1 - same**anchors) ** sets * (anchors > 0) + fewer <= 1e-4
+        assert largest * embed_dedup.same_interval(math.sqrt(2)) ** anchors <= embed_dedup.CELL and anchors >= before
+        before = anchors
+
+
+def test_embedding_dedup_null_and_repeated_ids(spark):
+    a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(None, a, 1, "x"), (4, a, 1, "y"), (4, a, 1, "y"), (2, b, 1, "z"), (2, a, 2, "z"), (9, b, 1, "w"), (7, a, 2, "v")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, row string")
+    got = sorted(map(tuple, embed_dedup.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(None, 0, None, None), (4, 1, 4, True), (4, 1, 4, True), (2, 1, 2, True), (2, 1, 2, True), (9, 1, 2, False), (7, 1, 2, False)], key=str)
 
 
 def test_nearest_neighbours(spark):
@@ -322,6 +381,38 @@ def test_nearest_neighbours(spark):
     assert ann_hilbert.nearest(vectors(spark, x, labels).limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_search_a_share_of_the_table(spark, monkeypatch):
+    n, dim = 4000, 32
+    x = np.random.default_rng(3).standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    real, pairs = ann_hilbert._distances, []
+
+    def counted(asked, points, queries):
+        out = real(asked, points, queries)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann_hilbert, "_distances", counted)
+    got = defaultdict(set)
+    for r in ann_hilbert.nearest(vectors(spark, list(x.astype(np.float32)), [0] * n), F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 10 * n / 100
+    assert sum(pairs) <= 0.3 * n * n / 100  # exact distances: less than 0.3 of a full scan
+
+
+def test_nearest_neighbours_ties_nulls_and_few(spark):
+    a, b = [1.0, 2.0], [2.0, 1.0]
+    rows = [(20, a, "p"), (20, a, "p"), (3, a, "q"), (5, a, "q"), (4, b, "q"), (None, a, "q"), (0, b, "q"), (40, [1.0, 2.0, 3.0], "q"), (60, None, "q")]
+    got = sorted(tuple(r) for r in ann_hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("vec_id") % 20 == 0, 3).collect())
+    far = math.sqrt(2)
+    assert got == [(0, 1, 4, 0.0), (0, 2, 3, far), (0, 3, 5, far), (20, 1, 3, 0.0), (20, 2, 5, 0.0), (20, 3, 0, far)]
+
+
 def test_hilbert_steps_are_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = np.argsort(hilbert_index(cells, 3))
@@ -353,22 +444,204 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(d.limit(0), entries).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+CLASH = ["n_lines_removed", "lang_pred", "score", "verdict", "rule", "_size", "_nth", "_copy", "_pos", "row", "copies", "doc", "stays", "keeper", "spans", "k1", "h1", "t1"]
+
+
+def mixed(texts, ids, sources):
+    """How often each row is taken, by one queue."""
+    sizes = [len(WORD.findall(t or "")) for t in texts]
+    total = Counter()
+    for s, n in zip(sources, sizes):
+        total[s] += n
+    goal = mixing.targets(list(total.items()))
+    ran, queue = Counter(), []
+    for i in sorted(range(len(texts)), key=lambda i: (hashlib.md5(str(ids[i]).encode()).hexdigest(), ids[i])):
+        s = sources[i]
+        ran[s] += sizes[i]
+        if sizes[i] and goal[s]:
+            queue += [((ran[s] + e * total[s]) / goal[s], s is None, s or "", hashlib.md5(str(ids[i]).encode()).hexdigest(), e, i) for e in range(2)]
+    spent, taken = 0, Counter()
+    for *_, i in sorted(queue):
+        spent += sizes[i]
+        if spent <= sum(goal.values()):
+            taken[i] += 1
+    return taken
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     import corpus_pipeline as P
 
-    texts, sources = copies(9), None
-    sources = [f"s{i % 5}" for i in range(len(texts))]
+    rnd = random.Random(5)
+    texts = copies(9)
+    texts = [t and t.replace(" a", "\nall rights reserved\na", 1) for t in texts]
+    sources = [f"s{rnd.randrange(12)}" for _ in texts]
     texts[0] = "123 456"
-    d = docs(spark, texts, sources, langs=["aa" if t else None for t in texts])
-    d.write.parquet(f"{tmp_path}/documents.parquet")
-    one = P.keep_known_languages(spark, d, str(tmp_path))
-    assert one.columns == d.columns and 0 not in {r["doc_id"] for r in one.collect()}
-    three = P.keep_one_of_each_group(spark, d, str(tmp_path))
-    groups = {r["component_id"] for r in ngram_join.jaccard_components(d).collect()}
-    assert {r["doc_id"] for r in three.collect()} == groups
-    out = P.run(spark, str(tmp_path)).collect()
-    load = Counter()
-    for r in out:
-        load[r["sequence_id"]] += r["length"]
-    assert out and max(load.values()) <= 2048
-    assert hashlib.sha256(b"").hexdigest()
+    frame = docs(spark, texts, sources, langs=["aa" if t else None for t in texts]).withColumns({c: F.lit(9.5) for c in CLASH})
+    ids = list(range(len(texts)))
+
+    def rows(df):
+        got = df.collect()
+        assert df.columns == frame.columns and all(r[c] == 9.5 for r in got for c in CLASH)
+        return sorted((r["doc_id"], r["text"], r["source"]) for r in got)
+
+    assert rows(P.keep_known_languages(spark, frame, "")) == sorted((i, t, s) for i, t, s in zip(ids, texts, sources) if t and re.search("[a-z]", t))
+    sites, keeper = defaultdict(set), {}
+    for i, (t, s) in enumerate(zip(texts, sources)):
+        for x in (t or "").split("\n"):
+            sites[x].add(s)
+            keeper.setdefault(x, i)
+    bad = {x for x, s in sites.items() if len(s) >= 8 and len(x.split()) >= 2}
+    assert bad == {"all rights reserved"}
+
+    def cut(i, t):
+        parts = t.split("\n")
+        return "\n".join(x for k, x in enumerate(parts) if x not in bad or (keeper[x] == i and parts.index(x) == k))
+
+    key = lambda r: (r[0], r[1] or "", r[2])
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in P.drop_boilerplate_lines(spark, frame, "").collect()), key=key)
+    assert got == sorted(((i, None if t is None else cut(i, t), s) for i, t, s in zip(ids, texts, sources)), key=key)
+    groups = {r["component_id"] for r in ngram_join.jaccard_components(frame).collect()}
+    got = P.keep_one_of_each_group(spark, frame, "")
+    assert got.columns == frame.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(groups)
+    want = mixed(texts, ids, sources)
+    got = P.mix_sources(spark, frame, "")
+    assert got.columns == frame.columns and Counter(r["doc_id"] for r in got.collect()) == want
+
+
+def test_pipeline_runs_whole_and_empty(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = copies(9)
+    d = docs(spark, texts, [f"s{i % 5}" for i in range(len(texts))], langs=["aa" if t else None for t in texts])
+    for name, frame in (("some", d), ("none", d.limit(0))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = P.run(spark, f"{tmp_path}/{name}").collect()
+        load = Counter()
+        for r in out:
+            load[r["sequence_id"]] += r["length"]
+        assert bool(out) == (name == "some") and max(load.values(), default=0) <= 2048
+
+
+def test_pipeline_rejects_what_is_not_in_its_language(spark):
+    import corpus_pipeline as P
+
+    rnd = random.Random(0)
+    make = lambda parts: " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(40))
+    langs = {"aa": ["the", "ing", "ed", "on"], "bb": ["der", "sch", "ein"]}
+    rows = [(make(p), k) for k, p in langs.items() for _ in range(30)] + [(make(langs["aa"]), "bb"), (make(langs["bb"]), None)]
+    d = docs(spark, [t for t, _ in rows], langs=[k for _, k in rows])
+    assert sorted(r["doc_id"] for r in P.keep_known_languages(spark, d, "").collect()) == [*range(60), 61]
+    assert {r["lang"] for r in P.keep_known_languages(spark, d, "", wanted=("aa",)).collect()} == {"aa"}
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    with common.scratch(spark):
+        d = common.materialize(spark.range(3))
+        path = d.inputFiles()[0].removeprefix("file://")
+        assert d.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_language_distance_is_out_of_place_by_definition(spark):
+    def ranked(text):
+        line = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        grams = Counter(line[i : i + k] for k in (1, 2, 3) for i in range(len(line) - k + 1))
+        for g in [g for g in grams if g == " " or (len(g) == 3 and g[1] == " ")]:
+            del grams[g]
+        return sorted(grams, key=lambda g: (-grams[g], len(g), g))
+
+    texts = [t for t in copies(4) if t and t.strip()] + ["Ñandú, ¿qué? 12 AbC", "a", "über ß ﬁ"]
+    langs = ["aa", "bb", None] * len(texts)
+    profiles = {}
+    for lang in ("aa", "bb"):
+        mine, counts = [t for t, k in zip(texts, langs) if k == lang], Counter()
+        for t in mine:
+            line = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+            counts.update(g for k in (1, 2, 3) for g in (line[i : i + k] for i in range(len(line) - k + 1)) if g != " " and not (len(g) == 3 and g[1] == " "))
+        profiles[lang] = sorted(counts, key=lambda g: (-counts[g], len(g), g))[:300]
+    learned = language_id.learn_profiles(spark.createDataFrame(list(zip(texts, langs)), "text string, lang string"))
+    assert [(k, len(g)) for k, g in learned] == [(k, len(g)) for k, g in sorted(profiles.items())]
+    for r in language_id.identify(docs(spark, texts), learned).collect():
+        own = ranked(texts[r["doc_id"]])[:300]
+        away = {k: sum(abs(g.index(x) - i) if x in g else 300 for i, x in enumerate(own)) for k, g in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert (r["lang_pred"], r["score"]) == (best, pytest.approx(1 - away[best] / (300 * len(own))))
+
+
+def test_language_id_nulls_and_clashes(spark):
+    d = spark.createDataFrame([(None, "abc abc", "x"), (1, None, "x"), (1, None, "x")], "doc_id long, text string, score string")
+    with pytest.raises(ValueError):
+        language_id.identify(d, [])
+    assert [r["s"] for r in language_id.identify(d, [("k", [97])], names=("l", "s")).orderBy("doc_id").collect()][1:] == [0.0, 0.0]
+    assert language_id.identify(d.drop("score").limit(0), []).count() == 0
+
+
+def test_packing_is_near_the_bound():
+    rng = np.random.default_rng(1)
+    texts = [np.minimum(rng.lognormal(m, d, 20_000).astype(int) + 1, 2047) for m, d in ((5, 1.2), (6.3, 0.8))]
+    for lengths, most in (*((x, 1.0) for x in texts), (rng.integers(300, 1500, 5000), 1.01)):
+        _, _, count = packing.best_two_fit(lengths.astype(np.int64), 2048)
+        # first fit decreasing, and what no packing can go below
+        room = np.zeros(0, int)
+        for x in np.sort(lengths)[::-1]:
+            at = int(np.argmax(room >= x)) if len(room) else 0
+            if len(room) and room[at] >= x:
+                room[at] -= x
+            else:
+                room = np.append(room, 2048 - x)
+        plain, least = len(room), max(-(-lengths.sum() // 2048), (lengths > 1024).sum())
+        assert least <= count <= most * plain, (count, plain, least)
+
+
+def test_packing_null_and_repeated_ids(spark):
+    P = pytest.importorskip("public_tokenizers")
+    d = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (3, None, 2), (3, "", 2)], "doc_id long, text string, length long")
+    got = packing.pack(packing.tokenize(d, P.path("word_bpe_49k.json"))).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in got) == Counter({(None, 3): 2, (3, 1): 2})
+    assert sorted(r["offset"] for r in got) == [0, 3, 6, 7] or len({(r["sequence_id"], r["offset"]) for r in got}) == 4
+    assert packing.pack(packing.tokenize(d.limit(0), P.path("word_bpe_49k.json"))).count() == 0
+
+
+def test_mixing_null_repeated_and_tied(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 5)
+    rows = [(None, "a b c", "s", 1)] * 40 + [(7, "a b", "s", 2), (7, "c d", "s", 3), (7, "c d", "s", 3)] * 10 + [(i, "w " * (i % 9), None, 4) for i in range(60)] + [(5, None, "t", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long")
+    plan = mixing.mix(d).collect()
+    assert len(plan) == len(rows)
+    by = defaultdict(int)
+    for r in plan:
+        by[r["source"]] += r["taken"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    goal = {r["source"]: r["target"] for r in plan}
+    assert all(abs(by[s] - goal[s]) <= 16 for s in goal)
+    got = mixing.mixed_documents(d)
+    assert got.columns == d.columns and got.count() == sum(r["copies"] for r in plan)
+    assert mixing.mixed_documents(d.limit(0)).count() == 0
+
+
+def test_lines_null_ids_and_repeated_rows(spark):
+    line = "all rights reserved"
+    rows = [(None, f"{line}\nx {i}", f"s{i}", "own") for i in range(6)] + [(5, f"a b\n{line}", f"t{i}", "own") for i in range(3)] + [(5, None, "u", "own"), (6, "", None, "own")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, keeper string")
+    got = Counter((r["doc_id"], r["text"], r["n_lines_removed"], r["keeper"]) for r in line_dedup.dedup_lines(d).collect())
+    # a null id comes first and keeps the line, in each row where it stands in the same place
+    assert got == Counter({**{(None, f"{line}\nx {i}", 0, "own"): 1 for i in range(6)}, (5, "a b", 1, "own"): 3, (5, None, 0, "own"): 1, (6, "", 0, "own"): 1})
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(d.withColumn("n_lines_removed", F.lit(1)))
+
+
+def test_url_filter_deep_entries(spark):
+    entries = spark.createDataFrame([("x.com/a/b/c/d/e", "2024-01-01", "block")], "key string, d string, action string").select("key", F.to_date("d").alias("listed_at"), "action")
+    d = spark.createDataFrame([(1, "http://x.com/a/b/c/d/e/f?q"), (1, "http://x.com/a/b/c/d/e/f?q"), (2, "http://x.com/a/b/c/d"), (None, "http://x.com/a/b/c/d/e")], "page_id long, url string").withColumn("fetched_at", F.to_date(F.lit("2024-02-01")))
+    assert sorted(((r["page_id"], r["verdict"]) for r in url_filter.filter_urls(d, entries).collect()), key=str) == [(1, "block"), (1, "block"), (2, "keep"), (None, "block")]
+    assert {r["verdict"] for r in url_filter.filter_urls(d, entries.limit(0)).collect()} == {"keep"}
+
+
+def test_chats_null_tied_and_empty(spark):
+    rows = [(None, 1, "user", "b"), (None, 1, "user", "a"), (None, None, "user", "c"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.read_chats(chat_format.format_chats(d)).collect()}
+    assert [t["text"] for t in got[None]["turns"]] == ["c", "a", "b"] and got[1]["loss_text"] == "xx"
+    assert chat_format.read_chats(chat_format.format_chats(d.limit(0))).count() == 0
