@@ -42,8 +42,8 @@ def _oriented(angle: np.ndarray, band: int, order: int, analytic: bool) -> np.nd
 
 def _half(a: np.ndarray) -> tuple[slice, slice]:
     """The lower half of the frequencies: half the size, its own middle on this one's middle."""
-    start = [n // 2 - n // 2 // 2 for n in a.shape]
-    return tuple(slice(s, s + n // 2) for s, n in zip(start, a.shape))
+    start = [n // 2 - (n + 1) // 2 // 2 for n in a.shape]
+    return tuple(slice(s, s + (n + 1) // 2) for s, n in zip(start, a.shape))
 
 
 def decompose(x: np.ndarray, height: int, order: int = 3, width: float = 1.0, analytic: bool = False) -> list[tuple[int, int, np.ndarray]]:
