@@ -6,8 +6,8 @@
    images in those halving planes that it lies nearest to, where a neighbour is most likely to be on the other side.
    Ranks are cut into buckets of one window's length, so windows and curve meet in an equi-join that Spark splits
    like any other; no group is gathered.
-3. The windows of all curves merge.  Exact distances to the query's own windows bound its k-th distance from above; of the
-   others those go on whose angle to the query, estimated from 256 sign bits, may be within that bound (a vector
+3. The windows of all curves merge.  Exact distances to the NEAR_PROBES first windows bound a query's k-th distance from
+   above; of the other windows those vectors go on whose angle to the query, estimated from 512 sign bits, may be within that bound (a vector
    just at the bound passes with a probability of 99.4 %, a nearer one with more).
 4. What is left is reranked by exact distance on the original vectors.
 
@@ -39,10 +39,10 @@ from pyspark.sql import Window as W
 from lumenfuse.llm.common import checked_broadcast, materialize
 from lumenfuse.llm.vectors import hilbert_index, matrix, valid_vectors
 
-CURVES, DIMS, BITS, PROBES = 32, 12, 4, 32
+CURVES, DIMS, BITS, PROBES, NEAR_PROBES = 32, 12, 4, 32, 4
 FACTOR, POWER, SLACK, SEED = 0.0025, 0.75, 2.5, 20240
 #: Halving planes of which sets are mirrored; 64-bit words of a sketch.
-PLANES, WORDS = 8, 4
+PLANES, WORDS = 8, 8
 
 
 def projections(dim: int, curves: int, dims: int, seed: int) -> np.ndarray:
@@ -127,21 +127,21 @@ def _ranked(places: DataFrame, parts: int) -> DataFrame:
 
 
 def windows(points: DataFrame, queries: DataFrame, k: int, factor: float, curves: int, dims: int, probes: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The curves, (found, rank) by bucket, and the windows on them, (asked, own, low, high) by bucket; ``own`` marks those around a query's own place."""
+    """The curves, (found, rank) by bucket, and the windows on them, (asked, first, low, high) by bucket; ``first`` marks the NEAR_PROBES first of a query."""
     parts = max(8, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranks = _ranked(_places(points, queries, curves, dims, probes, seed), parts)
     ranks = materialize(ranks.withColumn("width", F.ceil(F.pow(F.col("points"), F.lit(POWER)) * factor)))
     bucket = F.greatest(F.col("width"), F.lit(k + 1))
     half = F.when(F.col("probe") == 0, bucket).otherwise(F.col("width"))
     homes = ranks.where("probe < 0").select("dim", "curve", F.floor(F.col("rank") / bucket).alias("bucket"), "rank", F.col("point").alias("found"))
-    asks = ranks.where("probe >= 0").select("dim", "curve", F.col("point").alias("asked"), (F.col("probe") == 0).alias("own"), (F.col("rank") - half).alias("low"), (F.col("rank") + half).alias("high"), bucket.alias("_b"), "points")
+    asks = ranks.where("probe >= 0").select("dim", "curve", F.col("point").alias("asked"), (F.col("probe") < NEAR_PROBES).alias("first"), (F.col("rank") - half).alias("low"), (F.col("rank") + half).alias("high"), bucket.alias("_b"), "points")
     reach = F.sequence(F.floor(F.greatest(F.col("low"), F.lit(0)) / F.col("_b")), F.floor((F.least("high", "points") - 1) / F.col("_b")))
-    return homes, asks.select("dim", "curve", "asked", "own", "low", "high", F.explode(reach).alias("bucket"))
+    return homes, asks.select("dim", "curve", "asked", "first", "low", "high", F.explode(reach).alias("bucket"))
 
 
 def members(homes: DataFrame, asks: DataFrame) -> DataFrame:
     """Who is in which window: (asked, found, ...), once for each window."""
-    return homes.join(asks, ["dim", "curve", "bucket"]).where("rank >= low and rank < high and found <> asked").drop("dim", "curve", "bucket", "rank", "low", "high", "own")
+    return homes.join(asks, ["dim", "curve", "bucket"]).where("rank >= low and rank < high and found <> asked").drop("dim", "curve", "bucket", "rank", "low", "high", "first")
 
 
 def _distances(pairs: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, factor: float
     scaled = points.join(checked_broadcast(scale), "dim")
     queries = materialize(scaled.join(checked_broadcast(materialize(asked.select("point").distinct())), "point", "left_semi"))
     homes, asks = windows(scaled, queries, k, factor, curves, dims, probes, seed)
-    own = materialize(_distances(members(homes, asks.where("own")), points, queries))
+    own = materialize(_distances(members(homes, asks.where("first")), points, queries))
     kth = own.withColumn("_r", F.row_number().over(W.partitionBy("asked").orderBy("score"))).where(F.col("_r") <= k).groupBy("asked").agg(F.max("score").alias("bound"), F.count(F.lit(1)).alias("n"))
     about = queries.select(F.col("point").alias("asked"), F.col("norm").alias("qn"), F.col("sketch").alias("qs")).join(kth.where(F.col("n") == k).select("asked", "bound"), "asked", "left")
     cosine = (F.col("qn") * F.col("qn") + F.col("norm") * F.col("norm") - F.col("bound") * F.col("bound")) / (2 * F.col("qn") * F.col("norm"))
@@ -185,7 +185,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, factor: float
     most = bits * share + SLACK * F.sqrt(bits * share * (1 - share))
     apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("qs")[i])) for i in range(WORDS)), F.lit(0))
     sketched_homes = homes.join(points.select(F.col("point").alias("found"), "norm", "sketch"), "found")
-    rest = members(sketched_homes, asks.where("not own")).join(checked_broadcast(materialize(about)), "asked").where(F.col("bound").isNull() | ((cosine <= 1) & (apart <= most)))
+    rest = members(sketched_homes, asks.where("not first")).join(checked_broadcast(materialize(about)), "asked").where(F.col("bound").isNull() | ((cosine <= 1) & (apart <= most)))
     rest = materialize(rest.select("asked", "found").distinct()).join(own.select("asked", "found"), ["asked", "found"], "left_anti")
     best = own.union(_distances(rest, points, queries)).union(queries.select(F.col("point").alias("asked"), F.col("point").alias("found"), F.lit(0.0)))
     best = best.withColumn("_r", F.row_number().over(W.partitionBy("asked").orderBy("score", "found"))).where(F.col("_r") <= k + 1)
