@@ -102,3 +102,28 @@ def lab_to_rgb(l: Column, a: Column, b: Column) -> tuple[Column, ...]:  # noqa:
 def false_colour(cb: Column, cr: Column) -> tuple[Column, Column, Column]:
     """Chroma at constant luma 128."""
     return ycbcr_to_rgb(F.lit(128.0), cb, cr)
+
+
+def hsv8_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Eight-bit HSV with hue in half degrees (0..179) to red, green and blue in 0..1."""
+    turn, s, v = h.cast("double") / 30, s / 255.0, v / 255.0
+    sector, part = F.floor(turn).cast("int") % 6, turn - F.floor(turn)
+    p, q, t = v * (1 - s), v * (1 - part * s), v * (1 - (1 - part) * s)
+    pick = lambda *x: F.element_at(F.array(*x), sector + 1)
+    return pick(v, q, p, p, t, v), pick(t, v, v, q, p, p), pick(p, p, t, v, v, q)
+
+
+def chroma_colour(a: Column, b: Column, base_hue: float = 0.0, full: float = 100.0, least: float = 0.0, brightness: int = 210) -> tuple[Column, Column, Column]:
+    """Display colour of the chroma (a, b) of Lab: its angle as hue, turned by ``base_hue`` degrees, its length over ``full`` as saturation.
+
+    Hue and saturation are cut off to eight bits.
+    """
+    turn = (F.atan2(b, a) + math.pi) / (2 * math.pi)
+    turn = F.pmod(turn + base_hue / 360.0, F.lit(1.0)) if base_hue else turn
+    length = clip(F.sqrt(a * a + b * b) / full, least, 1.0)
+    return hsv8_to_rgb(F.floor(turn * 179), F.floor(length * 255), F.lit(brightness))
+
+
+def stretched(x: Column, low: Column, high: Column) -> Column:
+    """0..255 between two values, cut off; a constant becomes 0.  What colour tables are applied to."""
+    return F.coalesce(to_byte((x - low) / F.nullif(high - low, F.lit(0.0)) * 255), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,14 @@ def match_by_date(mri: DataFrame, pet: DataFrame, days: int = 7, same_visit: boo
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
+
+
+def read_cohort(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A cohort table from CSV with a header; ``image_date`` becomes a date.  Without a schema types are inferred."""
+    reader = spark.read.option("header", True)
+    rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    return rows.withColumn("image_date", F.to_date("image_date")) if "image_date" in rows.columns else rows
+
+
+def write_cohort(matched: DataFrame, path: str) -> None:
+    matched.write.option("header", True).csv(path)

@@ -33,7 +33,7 @@ def pca(pix: DataFrame) -> DataFrame:
 def haar(pix: DataFrame, cut: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One-level Haar wavelet fusion: mean of the approximations, the larger detail of each band (first on ties).
 
-    A 2 x 2 block is one group; odd sizes repeat the last row or column and are cropped again.  Without ``cut``
+    Details are compared to 9 places, so that equal ones tie.  A 2 x 2 block is one group; odd sizes repeat the last row or column and are cropped again.  Without ``cut``
     the result is clipped only; columns to ``keep`` travel with their pixel, so nothing is joined back.
     """
     end: Callable[[Column], Column] = to_byte if cut else color.clip
@@ -47,7 +47,7 @@ def haar(pix: DataFrame, cut: bool = True, keep: tuple[str, ...] = ()) -> DataFr
     mixed = lambda x, s: sum((k * F.col(f"{x}{i}{j}") for k, (i, j) in zip(s, ((0, 0), (0, 1), (1, 0), (1, 1)))), F.lit(0.0)) / 2
     for k, s in signs.items():
         one, two = mixed("a", s), mixed("b", s)
-        b = b.withColumn(k, (one + two) / 2 if k == "ll" else F.when(F.abs(one) >= F.abs(two), one).otherwise(two))
+        b = b.withColumn(k, (one + two) / 2 if k == "ll" else F.when(F.abs(F.round(one, 9)) >= F.abs(F.round(two, 9)), one).otherwise(two))
     back = F.array(*[F.struct((2 * F.col("R") + i).alias("r"), (2 * F.col("C") + j).alias("c"), end(sum((s[2 * i + j] * F.col(k) for k, s in signs.items()), F.lit(0.0)) / 2).alias("fused"), *[F.col(f"{k}{i}{j}").alias(k) for k in keep]) for i in (0, 1) for j in (0, 1)])
     out = b.select("img", F.col("rr").alias("_rr"), F.col("cc").alias("_cc"), F.explode(back).alias("x"))
     return out.where("(x.r % 2 <= _rr) and (x.c % 2 <= _cc)").select("img", "x.r", "x.c", "x.fused", *[f"x.{k}" for k in keep])

@@ -97,30 +97,46 @@ def ncie(trip: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ moments and correlation
 
 
-def moments(trip: DataFrame) -> DataFrame:
-    """SD, MLI, MSE (on 0..1) and PSNR (peak 255 over that MSE)."""
+def _moment_columns() -> list[Column]:
     half = (F.avg("a") + F.avg("b")) / 2
     mse = (F.avg(F.expr("(f - a) * (f - a)")) + F.avg(F.expr("(f - b) * (f - b)"))) / 2 / 65025
-    out = trip.groupBy("img").agg(F.stddev_pop("f").alias("SD"), per(F.abs(F.avg("f") - half), half).alias("MLI"), mse.alias("MSE"))
-    return out.withColumn("PSNR", 20 * F.log10(255 / F.nullif(F.sqrt("MSE"), F.lit(0.0))))
+    psnr = 20 * F.log10(255 / F.nullif(F.sqrt(mse), F.lit(0.0)))
+    return [F.stddev_pop("f").alias("SD"), per(F.abs(F.avg("f") - half), half).alias("MLI"), mse.alias("MSE"), psnr.alias("PSNR")]
+
+
+def moments(trip: DataFrame) -> DataFrame:
+    """SD, MLI, MSE (on 0..1) and PSNR (peak 255 over that MSE)."""
+    return trip.groupBy("img").agg(*_moment_columns())
 
 
 def pearson(x: Column, y: Column) -> Column:
     return per(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _correlation_columns() -> list[Column]:
+    a, b, f = (F.col(x) for x in "abf")
+    return [((pearson(a, f) + pearson(b, f)) / 2).alias("CC"), (pearson(f - b, a) + pearson(f - a, b)).alias("SCD")]
+
+
 def correlations(trip: DataFrame) -> DataFrame:
     """CC: mean correlation of f with the sources; SCD: sum of correlations of differences."""
-    a, b, f = (F.col(x) for x in "abf")
-    return trip.groupBy("img").agg(((pearson(a, f) + pearson(b, f)) / 2).alias("CC"), (pearson(f - b, a) + pearson(f - a, b)).alias("SCD"))
+    return trip.groupBy("img").agg(*_correlation_columns())
 
 
 # ------------------------------------------------------------ neighbours
 
 
+def _steps(trip: DataFrame) -> DataFrame:
+    """dr, dc: first differences of f."""
+    return trip.withColumns({"dr": F.col("f") - F.lag("f").over(along_column()), "dc": F.col("f") - F.lag("f").over(along_row())})
+
+
+def _frequency_column() -> Column:
+    return F.sqrt(F.coalesce(F.avg(F.expr("dr * dr")), F.lit(0.0)) + F.coalesce(F.avg(F.expr("dc * dc")), F.lit(0.0))).alias("SF")
+
+
 def spatial_frequency(trip: DataFrame) -> DataFrame:
-    d = trip.select("img", (F.col("f") - F.lag("f").over(along_column())).alias("dr"), (F.col("f") - F.lag("f").over(along_row())).alias("dc"))
-    return d.groupBy("img").agg(F.sqrt(F.coalesce(F.avg(F.expr("dr * dr")), F.lit(0.0)) + F.coalesce(F.avg(F.expr("dc * dc")), F.lit(0.0))).alias("SF"))
+    return _steps(trip).groupBy("img").agg(_frequency_column())
 
 
 def central(w: W, x: str = "f") -> Column:
@@ -129,9 +145,16 @@ def central(w: W, x: str = "f") -> Column:
     return F.coalesce((after - before) / 2, after - F.col(x), F.col(x) - before, F.lit(0.0))
 
 
+def _gradients(trip: DataFrame) -> DataFrame:
+    return trip.withColumns({"gx": central(along_row()), "gy": central(along_column())})
+
+
+def _gradient_column() -> Column:
+    return per(F.sum(F.sqrt(F.expr("(gx * gx + gy * gy) / 2"))), F.max("r").cast("double") * F.max("c")).alias("AG")
+
+
 def average_gradient(trip: DataFrame) -> DataFrame:
-    g = trip.select("img", "r", "c", central(along_row()).alias("gx"), central(along_column()).alias("gy"))
-    return g.groupBy("img").agg(per(F.sum(F.sqrt(F.expr("(gx * gx + gy * gy) / 2"))), F.max("r").cast("double") * F.max("c")).alias("AG"))
+    return _gradients(trip).groupBy("img").agg(_gradient_column())
 
 
 def sobel(trip: DataFrame, channels: str, border: str) -> DataFrame:
@@ -177,8 +200,8 @@ def ratio_spatial_frequency(trip: DataFrame) -> DataFrame:
 NRG, KG, SG, NRA, KA, SA, LG, TD, WT_MIN = 0.9999, 19, 0.5, 0.9995, 22, 0.5, 1.5, 2, 0.001
 
 
-def edge_transfer(trip: DataFrame) -> DataFrame:
-    """QABF (edge information kept), LABF (lost), NABF and NABF1 (artefacts, two definitions)."""
+def _edges(trip: DataFrame) -> DataFrame:
+    """q_a, q_b: edge information of each source that f keeps at a pixel; w_a, w_b: their weights; g_*: edge strengths."""
     s = sobel(trip, "abf", "mirror")
     s = s.withColumns({k: v for x in "abf" for k, v in {f"g_{x}": F.sqrt(F.expr(f"x_{x} * x_{x} + y_{x} * y_{x}")) / 8, f"o_{x}": F.when(F.col(f"y_{x}") == 0, F.when(F.col(f"x_{x}") == 0, 0.0).otherwise(F.signum(F.col(f"x_{x}")) * math.pi / 2)).otherwise(F.atan(F.col(f"x_{x}") / F.nullif(F.col(f"y_{x}"), F.lit(0.0))))}.items()})
     for x in "ab":
@@ -186,8 +209,47 @@ def edge_transfer(trip: DataFrame) -> DataFrame:
         angle = F.abs(F.abs(F.col(f"o_{x}") - F.col("o_f")) - math.pi / 2) * 2 / math.pi
         kept = F.sqrt(NRG / (1 + F.exp(-KG * (strength - SG))) * (NRA / (1 + F.exp(-KA * (angle - SA)))))
         s = s.withColumns({f"q_{x}": kept, f"w_{x}": F.when(F.col(f"g_{x}") >= TD, F.pow(F.col(f"g_{x}"), F.lit(LG))).otherwise(WT_MIN)})
+    return s
+
+
+def _edge_columns() -> list[Column]:
     total, lost = F.sum(F.expr("w_a + w_b")), F.expr("(1 - q_a) * w_a + (1 - q_b) * w_b")
     new = (F.col("g_f") > F.col("g_a")) & (F.col("g_f") > F.col("g_b"))
     both = F.expr("(2 - q_a - q_b) * (w_a + w_b)")
     some = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0.0)) / total
-    return s.groupBy("img").agg((F.sum(F.expr("q_a * w_a + q_b * w_b")) / total).alias("QABF"), some(~new, lost).alias("LABF"), some(new, lost).alias("NABF"), some(new, both).alias("NABF1"))
+    return [(F.sum(F.expr("q_a * w_a + q_b * w_b")) / total).alias("QABF"), some(~new, lost).alias("LABF"), some(new, lost).alias("NABF"), some(new, both).alias("NABF1")]
+
+
+def edge_transfer(trip: DataFrame) -> DataFrame:
+    """QABF (edge information kept), LABF (lost), NABF and NABF1 (artefacts, two definitions)."""
+    return _edges(trip).groupBy("img").agg(*_edge_columns())
+
+
+def fusion_gain(trip: DataFrame) -> DataFrame:
+    """QDELTA: what f keeps of one source only; QCOMMON: what it keeps of both.  They add up to QABF."""
+    s = _edges(trip).withColumn("both", F.least("q_a", "q_b"))
+    total = F.sum(F.expr("w_a + w_b"))
+    return s.groupBy("img").agg((F.sum(F.expr("(q_a - both) * w_a + (q_b - both) * w_b")) / total).alias("QDELTA"), (F.sum(F.expr("both * (w_a + w_b)")) / total).alias("QCOMMON"))
+
+
+# Fixed values of the first form of the edge-transfer metric: gain, slope and centre of both sigmoids.
+TG, KG1, DG, TA, KA1, DA = 0.9994, -15, 0.5, 0.9879, -22, 0.8
+
+
+def edge_transfer_first(trip: DataFrame) -> DataFrame:
+    """QABF in its first form: zero border, plain weights, product of both sigmoids; equal strengths enter as they are."""
+    s = sobel(trip, "abf", "zero")
+    s = s.withColumns({k: v for x in "abf" for k, v in {f"g_{x}": F.sqrt(F.expr(f"x_{x} * x_{x} + y_{x} * y_{x}")), f"o_{x}": F.when(F.col(f"x_{x}") == 0, math.pi / 2).otherwise(F.atan(-F.col(f"y_{x}") / F.nullif(F.col(f"x_{x}"), F.lit(0.0))))}.items()})
+    for x in "ab":
+        g, f = F.col(f"g_{x}"), F.col("g_f")
+        strength = F.when(g > f, f / F.nullif(g, F.lit(0.0))).when(g == f, f).otherwise(g / F.nullif(f, F.lit(0.0)))
+        angle = 1 - F.abs(F.col(f"o_{x}") - F.col("o_f")) / (math.pi / 2)
+        s = s.withColumn(f"q_{x}", TG / (1 + F.exp(KG1 * (strength - DG))) * (TA / (1 + F.exp(KA1 * (angle - DA)))))
+    return s.groupBy("img").agg(per(F.sum(F.expr("q_a * g_a + q_b * g_b")), F.sum(F.expr("g_a + g_b"))).alias("QABF_first"))
+
+
+def native_scores(trip: DataFrame) -> DataFrame:
+    """All scores of a batch evaluation that aggregates and windows can express: one pass over windows, one over histograms."""
+    wide = _edges(_gradients(_steps(trip)))
+    scores = wide.groupBy("img").agg(*_moment_columns(), *_correlation_columns(), _frequency_column(), _gradient_column(), *_edge_columns())
+    return information(trip).join(scores, "img")

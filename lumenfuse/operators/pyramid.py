@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lumenfuse.operators import arrays
+
 TAPS = np.array([1, 4, 6, 4, 1]) / 16
 
 
@@ -58,12 +60,13 @@ def laplacian_pyramid(images: DataFrame, channel: str = "a", levels: int = 4) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                bands = build(np.array(r[channel], float).reshape(r["h"], r["w"]), levels)
-                n = len(bands)
-                yield pa.RecordBatch.from_arrays([pa.array([r["img"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([b.shape[0] for b in bands], pa.int32()), pa.array([b.shape[1] for b in bands], pa.int32()), pa.array([b.ravel() for b in bands], pa.list_(pa.float64()))], names=["img", "level", "h", "w", "px"])
+            many = [build(x, levels) for (x,) in arrays.images(batch, channel)]
+            bands = [v for image in many for v in image]
+            img = batch.column(batch.schema.get_field_index("img")).take(pa.array(np.repeat(np.arange(len(many)), [len(x) for x in many])))
+            size = [pa.array([v.shape[k] for v in bands], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([img, pa.array([k for x in many for k in range(len(x))], pa.int32()), *size, arrays.list_column(bands)], names=["img", "level", "h", "w", "px"])
 
-    return images.select("img", "h", "w", channel).mapInArrow(run, "img long, level int, h int, w int, px array<double>")
+    return images.select("img", "h", "w", channel).mapInArrow(run, f"img {images.schema['img'].dataType.simpleString()}, level int, h int, w int, px array<double>")
 
 
 def map_pairs(images: DataFrame, fuse: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -72,11 +75,8 @@ def map_pairs(images: DataFrame, fuse: Callable[[np.ndarray, np.ndarray], np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = lambda k: batch.column(batch.schema.get_field_index(k))  # noqa: B023, E731
-            for i in range(batch.num_rows):
-                shape = col("h")[i].as_py(), col("w")[i].as_py()
-                f = fuse(*(np.array(col(k)[i].as_py(), float).reshape(shape) for k in "ab"))
-                out = [*(col(k).slice(i, 1) for k in ("img", "h", "w")), pa.array([f.ravel()], pa.list_(pa.float64())), *(col(k).slice(i, 1) for k in keep)]
-                yield pa.RecordBatch.from_arrays(out, names=["img", "h", "w", "fused", *keep])
+            fused = arrays.list_column([fuse(a, b) for a, b in arrays.images(batch, "a", "b")])
+            yield pa.RecordBatch.from_arrays([*(col(k) for k in ("img", "h", "w")), fused, *(col(k) for k in keep)], names=["img", "h", "w", "fused", *keep])
 
     some = images.select("img", "h", "w", "a", "b", *keep)
     types = ", ".join(f"{k} {some.schema[k].dataType.simpleString()}" for k in ("img", "h", "w"))

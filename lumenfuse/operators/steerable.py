@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfuse.operators import arrays
+
 
 def max_height(shape: tuple[int, int]) -> int:
     return max(0, int(math.floor(math.log2(min(shape)))) - 2)
@@ -99,15 +101,15 @@ def steerable_pyramid(images: DataFrame, channel: str = "a", height: int | None
     """One row per band; ``imag`` is null for plain bands and residuals.  Without ``height`` as high as each image allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("img", pa.int64()), ("level", pa.int32()), ("band", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("px", pa.list_(pa.float64())), ("imag", pa.list_(pa.float64()))])
         for batch in batches:
-            for r in batch.to_pylist():
-                x = np.array(r[channel], float).reshape(r["h"], r["w"])
-                parts = decompose(x, max_height(x.shape) if height is None else min(height, max_height(x.shape)), order, analytic=analytic)
-                rows = [{"img": r["img"], "level": k, "band": b, "h": v.shape[0], "w": v.shape[1], "px": v.real.ravel(), "imag": v.imag.ravel() if np.iscomplexobj(v) else None} for k, b, v in parts]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return images.select("img", "h", "w", channel).mapInArrow(run, "img long, level int, band int, h int, w int, px array<double>, imag array<double>")
+            many = [decompose(x, max_height(x.shape) if height is None else min(height, max_height(x.shape)), order, analytic=analytic) for (x,) in arrays.images(batch, channel)]
+            parts = [p for image in many for p in image]
+            img = batch.column(batch.schema.get_field_index("img")).take(pa.array(np.repeat(np.arange(len(many)), [len(x) for x in many])))
+            whole = [pa.array(x, pa.int32()) for x in ([k for k, _, _ in parts], [b for _, b, _ in parts], [v.shape[0] for _, _, v in parts], [v.shape[1] for _, _, v in parts])]
+            imag = pa.array([v.imag.ravel() if np.iscomplexobj(v) else None for _, _, v in parts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([img, *whole, arrays.list_column([v.real for _, _, v in parts]), imag], names=["img", "level", "band", "h", "w", "px", "imag"])
+
+    return images.select("img", "h", "w", channel).mapInArrow(run, f"img {images.schema['img'].dataType.simpleString()}, level int, band int, h int, w int, px array<double>, imag array<double>")
 
 
 def steering_weights(order: int, angle: float) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
-from lumenfuse.operators import perceptual
+from lumenfuse.operators import arrays, perceptual
 
 EPS = np.finfo(float).eps
 
@@ -84,6 +84,7 @@ def vif(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> float:
 
 def viff(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> float:
     """Visual information fidelity for fusion: per pixel the source of smaller gain, weighted over scales."""
+    # fixed values of the metric: noise variance, guard, weights of the scales
     noise, small, weights = 0.005 * 255 * 255, 1e-7, np.array([1, 0, 0.15, 1]) / 2.15
     score = []
     for (ga, ra, va), (gb, rb, vb) in zip(_scales(a, f), _scales(b, f)):
@@ -93,20 +94,21 @@ def viff(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> float:
     return float(np.array(score) @ weights)
 
 
-def _exposure_quality(a: np.ndarray, b: np.ndarray, f: np.ndarray, size: int = 11, k: float = 0.03) -> float:
-    """Structure agreement of f with the weighted, normalised patches of both sources."""
+def _exposure_quality(a: np.ndarray, b: np.ndarray, f: np.ndarray, size: int = 11, k: float = 0.03, loose: bool = False) -> float:
+    """Structure agreement of f with the weighted, normalised patches of both sources; ``loose`` has other guards against division by zero."""
     stack = np.stack([sliding_window_view(x, (size, size)).reshape(-1, size * size) for x in (a, b)])
     fused, taps = sliding_window_view(f, (size, size)).reshape(-1, size * size), np.outer(gaussian_taps(size, 1.5), gaussian_taps(size, 1.5)).ravel()
     mu = stack.mean(2, keepdims=True)
     centred = stack - mu
     ed = np.sqrt(np.maximum(size * size * ((stack * stack).mean(2) - mu[..., 0] ** 2), 0)) + 0.001
     both = stack.sum(0)
-    ratio = (np.linalg.norm(both - both.mean(1, keepdims=True), axis=1) + EPS) / (np.linalg.norm(centred, axis=2).sum(0) + EPS)
-    ratio = np.where(ratio > 1, 1 - EPS, ratio)
+    small = 1e-10 if loose else EPS
+    ratio = (np.linalg.norm(both - both.mean(1, keepdims=True), axis=1) + small) / (np.linalg.norm(centred, axis=2).sum(0) + small)
+    ratio = np.clip(ratio, small, 1 - small) if loose else np.where(ratio > 1, 1 - EPS, ratio)
     power = np.minimum(np.tan(np.pi / 2 * ratio), 10)
-    weight = (ed / size) ** power + EPS
-    weight /= weight.sum(0)
-    want = ((weight / ed)[..., None] * centred).sum(0)
+    weight = (ed / size) ** power + (0 if loose else EPS)
+    weight /= weight.sum(0) + (small if loose else 0)
+    want = ((weight / (ed + small if loose else ed))[..., None] * centred).sum(0)
     norm = np.linalg.norm(want, axis=1)
     want *= np.where(norm > 0, ed.max(0) / np.where(norm > 0, norm, 1), 1)[:, None]
     x, y = want - (want @ taps)[:, None], fused - (fused @ taps)[:, None]
@@ -114,9 +116,10 @@ def _exposure_quality(a: np.ndarray, b: np.ndarray, f: np.ndarray, size: int = 1
     return float(((2 * (x * y) @ taps + c) / ((x * x) @ taps + (y * y) @ taps + c)).mean())
 
 
-def _half(x: np.ndarray) -> np.ndarray:
-    """2 x 2 mean with a symmetric border, every second pixel."""
-    p = np.pad(x, ((0, 1), (0, 1)), mode="symmetric")
+def _half(x: np.ndarray, before: bool = False) -> np.ndarray:
+    """2 x 2 mean with a symmetric border, every second pixel; with the next pixel, or with the one ``before``."""
+    side = (1, 0) if before else (0, 1)
+    p = np.pad(x, (side, side), mode="symmetric")
     return ((p[:-1, :-1] + p[1:, :-1] + p[:-1, 1:] + p[1:, 1:]) / 4)[::2, ::2]
 
 
@@ -131,6 +134,17 @@ def ms_ssim(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> float:
     return float(out)
 
 
+def ms_ssim_loose(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> float | None:
+    """The other common form of MS_SSIM: without a least size (null below one window), halved with the pixel before, other guards."""
+    weights, out = np.array([0.0448, 0.2856, 0.3001]), 1.0
+    for w in weights / weights.sum():
+        if min(a.shape) < 11:
+            return None
+        out *= max(_exposure_quality(a, b, f, loose=True), 0.0) ** w
+        a, b, f = (_half(x, before=True) for x in (a, b, f))
+    return float(out)
+
+
 def _share(va: np.ndarray, vb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = (va + vb) == 0
     va, vb = va + 0.5 * none, vb + 0.5 * none
@@ -180,10 +194,14 @@ def cvejic(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> float:
 
 
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], float]] = {
-    "SSIM": ssim, "MS_SSIM": ms_ssim, "VIF": vif, "VIFF": viff, "Q": piella, "Qw": lambda a, b, f: piella(a, b, f, 2), "Qe": lambda a, b, f: piella(a, b, f, 3), "QY": yang, "QC": cvejic, **perceptual.METRICS,
+    "SSIM": ssim, "MS_SSIM": ms_ssim, "MS_SSIM_loose": ms_ssim_loose, "VIF": vif, "VIFF": viff, "Q": piella, "Qw": lambda a, b, f: piella(a, b, f, 2), "Qe": lambda a, b, f: piella(a, b, f, 3), "QY": yang, "QC": cvejic, **perceptual.METRICS,
 }
 
 
+#: Shortest side that a metric's windows fit into, where it has no answer of its own for smaller images.
+MIN_SIDE = {"VIF": 41, "VIFF": 41, "QY": 7, "QC": 7, "FMI": 3, "FMI_none": 3, "FMI_gradient": 3, "FMI_dct": 3}
+
+
 def score(images: DataFrame, *names: str) -> DataFrame:
     """(img, names...) for image rows (img, h, w, a, b, f); a metric that an image is too small for is null."""
     if unknown := set(names) - set(METRICS):
@@ -191,14 +209,8 @@ def score(images: DataFrame, *names: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b, f = (np.array(r[k], float).reshape(r["h"], r["w"]) for k in "abf")
-                out: list[float | None] = []
-                for n in names:
-                    try:
-                        out.append(METRICS[n](a, b, f))
-                    except ValueError:  # the window does not fit
-                        out.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array([r["img"]], batch.schema.field("img").type), *[pa.array([x], pa.float64()) for x in out]], names=["img", *names])
+            out = [[METRICS[n](a, b, f) if min(a.shape) >= MIN_SIDE.get(n, 1) else None for n in names] for a, b, f in arrays.images(batch, "a", "b", "f")]
+            scores = zip(*out) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("img")), *[pa.array(x, pa.float64()) for x in scores]], names=["img", *names])
 
     return images.select("img", "h", "w", "a", "b", "f").mapInArrow(run, f"img {images.schema['img'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfuse.functions import color, synth
-from lumenfuse.operators import cohort, fusion, perceptual, pyramid, report, stats, steerable, wavelet, windowed
+from lumenfuse.operators import cohort, convolve, fusion, perceptual, points, pyramid, report, stats, steerable, wavelet, windowed
 from lumenfuse.operators import metrics as M
+from lumenfuse.plans import evaluate
 from lumenfuse.sources import raster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,11 +112,10 @@ select img, {_r('sum(sqrt((x * x + y * y) / 2)) / (max(r) * max(c))', '"AG"')} f
 
 def _stencil(channels: str, row: Callable[[str], str], col: Callable[[str], str]) -> str:
     """Sobel sums by joins on shifted coordinates, with the border rule as an expression of the coordinate."""
-    cells = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
-    joins = " ".join(f"join t n{i + 1}{j + 1} on n{i + 1}{j + 1}.img = t.img and n{i + 1}{j + 1}.r = {row(f't.r + {i}')} and n{i + 1}{j + 1}.c = {col(f't.c + {j}')}" for i, j in cells)
-    gx = lambda x: f"(n02.{x} - n00.{x} + 2 * (n12.{x} - n10.{x}) + n22.{x} - n20.{x})"
-    gy = lambda x: f"(n20.{x} - n00.{x} + 2 * (n21.{x} - n01.{x}) + n22.{x} - n02.{x})"
-    return f"s as (select t.img, t.r, t.c, {', '.join(f'{gx(x)} as x_{x}, {gy(x)} as y_{x}' for x in channels)} from t {joins})"
+    weight = {-1: 1, 0: 2, 1: 1}
+    cells = ", ".join(f"({i}, {j}, {j * weight[i]}, {i * weight[j]})" for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0))
+    sums = ", ".join(f"sum(k.x * n.{x}) as x_{x}, sum(k.y * n.{x}) as y_{x}" for x in channels)
+    return f"s as (select t.img, t.r, t.c, {sums} from t cross join (values {cells}) k(i, j, x, y) join t n on n.img = t.img and n.r = {row('t.r + k.i')} and n.c = {col('t.c + k.j')} group by t.img, t.r, t.c)"
 
 
 _edge = lambda v: f"least(7, greatest(0, {v}))"
@@ -140,6 +142,22 @@ def _qabf() -> str:
 
 
 _add("metric_qabf", lambda s, d: rounded(M.edge_transfer(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf())
+_add("metric_fusion_gain", lambda s, d: rounded(M.fusion_gain(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf().split(" select img, round(sum(q_a")[0] + f"""
+select img, {_r('sum((q_a - least(q_a, q_b)) * w_a + (q_b - least(q_a, q_b)) * w_b) / sum(w_a + w_b)', '"QDELTA"')}, {_r('sum(least(q_a, q_b) * (w_a + w_b)) / sum(w_a + w_b)', '"QCOMMON"')} from q group by img""")
+
+
+def _qabf_first() -> str:
+    """Sobel sums over a border of zeros, by left joins."""
+    cells = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
+    joins = " ".join(f"left join t n{i + 1}{j + 1} on n{i + 1}{j + 1}.img = t.img and n{i + 1}{j + 1}.r = t.r + {i} and n{i + 1}{j + 1}.c = t.c + {j}" for i, j in cells)
+    z = lambda i, j, x: f"coalesce(n{i}{j}.{x}, 0)"
+    sums = ", ".join(f"{z(0, 2, x)} - {z(0, 0, x)} + 2 * ({z(1, 2, x)} - {z(1, 0, x)}) + {z(2, 2, x)} - {z(2, 0, x)} as x_{x}, {z(2, 0, x)} - {z(0, 0, x)} + 2 * ({z(2, 1, x)} - {z(0, 1, x)}) + {z(2, 2, x)} - {z(0, 2, x)} as y_{x}" for x in "abf")
+    g = ", ".join(f"sqrt(x_{x} * x_{x} + y_{x} * y_{x}) as g_{x}, case when x_{x} = 0 then pi() / 2 else atan(-y_{x} / x_{x}) end as o_{x}" for x in "abf")
+    q = ", ".join(f"{M.TG} / (1 + exp({M.KG1} * (case when g_{x} > g_f then g_f / g_{x} when g_{x} = g_f then g_f else g_{x} / g_f end - {M.DG}))) * {M.TA} / (1 + exp({M.KA1} * (1 - abs(o_{x} - o_f) / (pi() / 2) - {M.DA}))) as q_{x}" for x in "ab")
+    return f"with {_T}, s as (select t.img, {sums} from t {joins}), g as (select img, {g} from s), q as (select *, {q} from g) select img, {_r('sum(q_a * g_a + q_b * g_b) / nullif(sum(g_a + g_b), 0)', '\"QABF_first\"')} from q group by img"
+
+
+_add("metric_qabf_first", lambda s, d: rounded(M.edge_transfer_first(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf_first())
 _add("metric_windowed", lambda s, d: rounded(windowed.score(_mosaics(s, d), *(n for n in windowed.METRICS if n not in perceptual.METRICS))))
 _add("metric_fmi", lambda s, d: rounded(windowed.score(_mosaics(s, d), "FMI", "FMI_none", "FMI_gradient", "FMI_dct")))
 _add("metric_contrast", lambda s, d: rounded(windowed.score(_mosaics(s, d), "QCB", "QCV")))
@@ -158,24 +176,25 @@ _add("metric_loe", lambda s, d: rounded(windowed.score(_tiles(s, d), "LOE_A", "L
 # ------------------------------------------------------------ fusion
 
 _add("fuse_fuzzy", lambda s, d: fusion.fuse(raster.pixels(_tiles(s, d), "a", "b"), "fuzzy"), f"with {_T} select img, r, c, f::int as fused from t")
-_add("fuse_pca", lambda s, d: fusion.fuse(raster.pixels(_tiles(s, d), "a", "b"), "pca"), f"""
-with {_T}, m as (select img, var_samp(a) as p, var_samp(b) as q, covar_samp(a, b) as k from t group by img),
-e as (select img, case when k <> 0 then (p - q) / 2 + sqrt((p - q) * (p - q) / 4 + k * k) when p >= q then 1 else 0 end as x, case when k <> 0 then k when p >= q then 0 else 1 end as y from m)
-select img, r, c, trunc(greatest(0, least(255, round(x / nullif(x + y, 0) * a + y / nullif(x + y, 0) * b, 9))))::int as fused from t join e using (img)""")
+_PCA = ("""m as (select img, var_samp(a) as p, var_samp(b) as q, covar_samp(a, b) as k from t group by img),
+e as (select img, case when k <> 0 then (p - q) / 2 + sqrt((p - q) * (p - q) / 4 + k * k) when p >= q then 1 else 0 end as x, case when k <> 0 then k when p >= q then 0 else 1 end as y from m)""",
+    "select img, r, c, trunc(greatest(0, least(255, round(x / nullif(x + y, 0) * a + y / nullif(x + y, 0) * b, 9))))::int as fused from t join e using (img)")
+_add("fuse_pca", lambda s, d: fusion.fuse(raster.pixels(_tiles(s, d), "a", "b"), "pca"), f"with {_T}, {' '.join(_PCA)}")
 
 
-def _haar() -> str:
+def _haar() -> tuple[str, str]:
     four = ", ".join(f"max({x}) filter (r % 2 = {i} and c % 2 = {j}) as {x}{i}{j}" for x in "ab" for i in (0, 1) for j in (0, 1))
     band = lambda x, s: "(" + " ".join(f"{'+' if k > 0 else '-'} {x}{i}{j}" for k, (i, j) in zip(s, ((0, 0), (0, 1), (1, 0), (1, 1)))) + ") / 2"
     signs = {"lh": (1, 1, -1, -1), "hl": (1, -1, 1, -1), "hh": (1, -1, -1, 1)}
     bands = f"({band('a', (1, 1, 1, 1))} + {band('b', (1, 1, 1, 1))}) / 2 as ll, " + ", ".join(f"case when abs({band('a', s)}) >= abs({band('b', s)}) then {band('a', s)} else {band('b', s)} end as {k}" for k, s in signs.items())
     back = " union all ".join(f"select img, (2 * i + {i})::int as r, (2 * j + {j})::int as c, trunc(greatest(0, least(255, (ll {'+' if signs['lh'][2 * i + j] > 0 else '-'} lh {'+' if signs['hl'][2 * i + j] > 0 else '-'} hl {'+' if signs['hh'][2 * i + j] > 0 else '-'} hh) / 2)))::int as fused from x" for i in (0, 1) for j in (0, 1))
-    return f"with {_T}, q as (select img, r // 2 as i, c // 2 as j, {four} from t group by all), x as (select img, i, j, {bands} from q) {back}"
+    return f"q as (select img, r // 2 as i, c // 2 as j, {four} from t group by all), x as (select img, i, j, {bands} from q)", back
 
 
-_add("fuse_haar", lambda s, d: fusion.fuse(raster.pixels(_tiles(s, d), "a", "b"), "haar"), _haar())
+_HAAR = f"with {_T}, {' '.join(_haar())}"
+_add("fuse_haar", lambda s, d: fusion.fuse(raster.pixels(_tiles(s, d), "a", "b"), "haar"), _HAAR)
 _add("fuse_laplacian", lambda s, d: pyramid.fuse_laplacian(raster.tile_pairs(_embeddings(s, d)), 2))
-_add("fuse_wavelet_db1", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.tile_pairs(_embeddings(s, d)), 1, 1), "fused").withColumn("fused", F.col("fused").cast("int")), _haar())
+_add("fuse_wavelet_db1", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.tile_pairs(_embeddings(s, d)), 1, 1), "fused").withColumn("fused", F.col("fused").cast("int")), _HAAR)
 _add("fuse_wavelet_db4", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.mosaic_pairs(_embeddings(s, d))), "fused"))
 _add("pyramid_steerable", lambda s, d: rounded(_band_energy(steerable.steerable_pyramid(raster.mosaic_pairs(_embeddings(s, d))))))
 _add("pyramid_steered", lambda s, d: rounded(_band_energy(steerable.steer(steerable.steerable_pyramid(raster.mosaic_pairs(_embeddings(s, d))), math.pi / 5).withColumn("band", F.lit(None).cast("int")))))
@@ -241,36 +260,51 @@ def _grey_and_rgb(spark: SparkSession, d: str) -> DataFrame:
     return raster.pixels(_color_images(spark, d), "grey", "red", "green", "blue")
 
 
-_GREY_RGB = f"{_PX}, k as (select g.vec_id // 4 as img, (g.p // 8)::int as r, (g.p % 8)::int as c, g.v as a, x.v as r0, y.v as g0, z.v as b0 from px g join px x on x.vec_id = g.vec_id + 1 and x.p = g.p join px y on y.vec_id = g.vec_id + 2 and y.p = g.p join px z on z.vec_id = g.vec_id + 3 and z.p = g.p where g.vec_id % 4 = 0)"
+_GREY_RGB = f"{_PX}, k as (select vec_id // 4 as img, (p // 8)::int as r, (p % 8)::int as c, max(v) filter (vec_id % 4 = 0) as a, max(v) filter (vec_id % 4 = 1) as r0, max(v) filter (vec_id % 4 = 2) as g0, max(v) filter (vec_id % 4 = 3) as b0 from px group by vec_id // 4, p having count(*) = 4)"
+
+
+_HAAR_SIGNS = {"lh": (1, 1, -1, -1), "hl": (1, -1, 1, -1), "hh": (1, -1, -1, 1)}
+
+
+def _light(space: str) -> str:
+    """k with the brightness y (0..255) and the two other channels u and v, which are rounded to 9 places."""
+    if space == "ycbcr":
+        return "n as (select img, r, c, (r % 2) * 2 + c % 2 + 1 as o, a, 0.299 * r0 + 0.587 * g0 + 0.114 * b0 as y, round(-0.168736 * r0 - 0.331264 * g0 + 0.5 * b0 + 128, 9) - 128 as u, round(0.5 * r0 - 0.418688 * g0 - 0.081312 * b0 + 128, 9) - 128 as v from k)"
+    return """z as (select img, r as rr, c as cc, a, r0 / 255 as r, g0 / 255 as g, b0 / 255 as b from k), z2 as (select *, 0.5 * ((r - g) + (r - b)) as num, sqrt((r - g) * (r - g) + (r - b) * (g - b)) + 1e-10 as den, (r + g + b) / 3 as i from z),
+n as (select img, rr as r, cc as c, (rr % 2) * 2 + cc % 2 + 1 as o, a, i * 255 as y, round(case when b <= g then acos(greatest(-1, least(1, num / den))) else 2 * pi() - acos(greatest(-1, least(1, num / den))) end, 9) as u, round(case when i > 0 then 1 - least(r, g, b) / (i + 1e-10) else 0 end, 9) as v from z2)"""
+
 
+def _recolour(space: str) -> str:
+    """Red, green and blue from f: brightness l and the channels u and v."""
+    if space == "ycbcr":
+        return f"select img, r, c, {_byte('l + 1.402 * v')} as red, {_byte('l - 0.344136 * u - 0.714136 * v')} as green, {_byte('l + 1.772 * u')} as blue from f"
+    third = 2 * math.pi / 3
+    sector = lambda *x: " ".join(f"when u >= {k * third} and u < {(k + 1) * third} then {v}" for k, v in enumerate(x))
+    pick = lambda *x: _byte(f"255 * (case {sector(*x)} else 0 end)")
+    return f"""select img, r, c, {pick('main', 'low', 'rest')} as red, {pick('rest', 'main', 'low')} as green, {pick('low', 'rest', 'main')} as blue
+from (select *, 3 * i - (low + main) as rest from (select *, i * (1 - v) as low, i * (1 + v * cos(turn) / cos({math.pi / 3} - turn)) as main from (select *, l / 255 as i, u - (case {sector(0, third, 2 * third)} end) as turn from f)))"""
 
-def _ycbcr_fusion() -> str:
+
+def _colour_haar(space: str) -> str:
     """Bands of each 2 x 2 block by signed sums over its places, joined back to the pixels."""
-    signs = {"lh": (1, 1, -1, -1), "hl": (1, -1, 1, -1), "hh": (1, -1, -1, 1)}
     band = lambda x, s: "sum(" + x + " * [" + ", ".join(map(str, s)) + "][o]) / 2"
-    bands = ", ".join(f"case when abs({band('a', s)}) >= abs({band('y', s)}) then {band('a', s)} else {band('y', s)} end as {k}" for k, s in signs.items())
-    back = " + ".join(["ll"] + [f"{k} * [{', '.join(map(str, s))}][o]" for k, s in signs.items()])
-    return f"""with {_GREY_RGB},
-n as (select img, r, c, (r % 2) * 2 + c % 2 + 1 as o, a, 0.299 * r0 + 0.587 * g0 + 0.114 * b0 as y, round(-0.168736 * r0 - 0.331264 * g0 + 0.5 * b0 + 128, 9) - 128 as u, round(0.5 * r0 - 0.418688 * g0 - 0.081312 * b0 + 128, 9) - 128 as v from k),
+    bands = ", ".join(f"case when abs(round({band('a', s)}, 9)) >= abs(round({band('y', s)}, 9)) then {band('a', s)} else {band('y', s)} end as {k}" for k, s in _HAAR_SIGNS.items())
+    back = " + ".join(["ll"] + [f"{k} * [{', '.join(map(str, s))}][o]" for k, s in _HAAR_SIGNS.items()])
+    return f"""with {_GREY_RGB}, {_light(space)},
 b as (select img, r // 2 as i, c // 2 as j, (sum(a) / 2 + sum(y) / 2) / 2 as ll, {bands} from n group by all),
-f as (select n.*, round(greatest(0, least(255, ({back}) / 2)), 9) as l from n join b on b.img = n.img and b.i = n.r // 2 and b.j = n.c // 2)
-select img, r, c, {_byte('l + 1.402 * v')} as red, {_byte('l - 0.344136 * u - 0.714136 * v')} as green, {_byte('l + 1.772 * u')} as blue from f"""
-
+f as (select n.*, round(greatest(0, least(255, ({back}) / 2)), 9) as l from n join b on b.img = n.img and b.i = n.r // 2 and b.j = n.c // 2) {_recolour(space)}"""
 
-_add("fuse_color_ycbcr", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "ycbcr"), _ycbcr_fusion())
-_add("fuse_color_hsi", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "hsi"))
 
+def _colour_maximum(space: str) -> str:
+    return f"with {_GREY_RGB}, {_light(space)}, f as (select *, round(greatest(a, y), 9) as l from n) {_recolour(space)}"
 
 
-def _ycbcr_maximum() -> str:
-    return f"""with {_GREY_RGB},
-n as (select img, r, c, round(greatest(a, 0.299 * r0 + 0.587 * g0 + 0.114 * b0), 9) as l, round(-0.168736 * r0 - 0.331264 * g0 + 0.5 * b0 + 128, 9) - 128 as u, round(0.5 * r0 - 0.418688 * g0 - 0.081312 * b0 + 128, 9) - 128 as v from k)
-select img, r, c, {_byte('l + 1.402 * v')} as red, {_byte('l - 0.344136 * u - 0.714136 * v')} as green, {_byte('l + 1.772 * u')} as blue from n"""
-
+_add("fuse_color_ycbcr", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "ycbcr"), _colour_haar("ycbcr"))
+_add("fuse_color_hsi", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "hsi"), _colour_haar("hsi"))
 
 for _space in fusion.SPACES:
     for _method in ("laplacian", "wavelet", "fuzzy"):
-        _add(f"fuse_color_{_space}_{_method}", lambda s, d, x=_space, m=_method: raster.pixels(fusion.fuse_color_images(_color_images(s, d), x, m), "red", "green", "blue"), _ycbcr_maximum() if (_space, _method) == ("ycbcr", "fuzzy") else None)
+        _add(f"fuse_color_{_space}_{_method}", lambda s, d, x=_space, m=_method: raster.pixels(fusion.fuse_color_images(_color_images(s, d), x, m), "red", "green", "blue"), _colour_maximum(_space) if _method == "fuzzy" else None)
 
 # ------------------------------------------------------------ cohort and reports
 
@@ -291,20 +325,96 @@ _add("cohort_band_join", _cohort, _COHORT + "select * from j")
 _add("cohort_distribution", lambda s, d: cohort.distribution(_cohort(s, d).withColumn("days", F.col("date_diff_days")), "days"), _COHORT + "select date_diff_days as days, count(*) as n from j group by all")
 
 
-def _method_scores(spark: SparkSession, d: str) -> DataFrame:
-    pix = raster.pixels(_tiles(spark, d), "a", "b")
-    rows = None
-    for mode in fusion.FUSIONS:
-        f = pix.join(fusion.fuse(pix, mode), ["img", "r", "c"]).select("img", "r", "c", "a", "b", F.col("fused").cast("double").alias("f"))
-        one = M.moments(f).select(F.lit(mode).alias("Model"), F.format_string("%d.png", "img").alias("ImageName"), "SD", "MLI", "PSNR")
-        rows = one if rows is None else rows.union(one)
-    return rows
-
-
-_add("report_average", lambda s, d: rounded(report.with_average(_method_scores(s, d), ["SD", "MLI", "PSNR"])))
-_add("report_summary", lambda s, d: rounded(report.summary(M.moments(raster.pixels(_tiles(s, d), "a", "b", "f")).withColumn("Model", F.lit("fuzzy")), ["SD", "MLI", "PSNR"])), f"""
-with {_T}, m as (select img, stddev_pop(f) as sd, avg(f) as mf, (avg(a) + avg(b)) / 2 as h, (avg((f - a) * (f - a)) + avg((f - b) * (f - b))) / 2 / 65025 as mse from t group by img)
-select 'fuzzy' as "Model", {_r('avg(sd)', '"SD"')}, {_r('avg(abs(mf - h) / nullif(h, 0))', '"MLI"')}, {_r('avg(20 * log10(255 / nullif(sqrt(mse), 0)))', '"PSNR"')} from m""")
+def _fused_by_method(pairs: DataFrame, laplacian: bool = False) -> DataFrame:
+    """(Model, ImageName, h, w, a, b, f): the pairs fused by every method."""
+    pca = raster.image_rows(fusion.pca(raster.pixels(pairs, "a", "b")), "fused").select("img", F.col("fused").alias("f"))
+    by = {
+        "fuzzy": raster.with_fused(pairs),
+        "haar": pairs.join(wavelet.fuse_wavelet(pairs, 1, 1).select("img", F.col("fused").alias("f")), "img"),
+        "pca": pairs.join(pca, "img"),
+    }
+    if laplacian:
+        by["laplacian"] = pairs.join(pyramid.fuse_laplacian(pairs).select("img", F.col("fused").alias("f")), "img")
+    return reduce(DataFrame.union, [x.select(F.lit(k).alias("Model"), F.format_string("%d.png", "img").alias("ImageName"), "h", "w", "a", "b", "f") for k, x in by.items()])
+
+
+def _tile_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.evaluate(_fused_by_method(raster.tile_pairs(_embeddings(spark, d))), windows=()))
+
+
+def _scores_sql() -> str:
+    """scores: the SQL of each metric over the pixels of every method, as one table."""
+    on_t0 = lambda sql: re.sub(r"\bfrom t\b", "from t0", sql)
+    base = _T.replace(" t as (", " t0 as materialized (")
+    models = {"fuzzy": "select img, r, c, f as fused from t0", "haar": on_t0(_haar()[1]), "pca": on_t0(_PCA[1])}
+    union = " union all ".join(f"select '{k}' as model, * from ({v})" for k, v in models.items())
+    metrics = [ORACLES[f"metric_{k}"].strip().removeprefix(f"with {_T}") for k in ("information", "moments", "correlation", "sf", "ag", "qabf")]
+    parts = ", ".join(f"m{i} as (with one as (select 1) {sql})" for i, sql in enumerate(metrics))
+    joins = "m0 " + " ".join(f"join m{i} using (img)" for i in range(1, len(metrics)))
+    t = f"t as materialized (select u.model || '/' || u.img as img, u.r, u.c, t0.a, t0.b, u.fused::double as f from ({union}) u join t0 on u.img = t0.img and u.r = t0.r and u.c = t0.c)"
+    columns = ", ".join(f'"{c}"' for c in evaluate.COLUMNS if c not in evaluate.WINDOWED)
+    return f"with {base}, {on_t0(_haar()[0])}, {on_t0(_PCA[0])}, {t}, {parts}, scores as (select split_part(img, '/', 1) as \"Model\", split_part(img, '/', 2) || '.png' as \"ImageName\", {columns} from {joins})"
+
+
+_SCORES = _scores_sql()
+_SCORED = [c for c in evaluate.COLUMNS if c not in evaluate.WINDOWED]
+_means = ", ".join(f'round(avg("{c}"), 7) + 0.0 as "{c}"' for c in _SCORED)
+_add("evaluate_tiles", _tile_scores, f"{_SCORES} select * from scores")
+_add("evaluate_mosaics", lambda s, d: rounded(evaluate.report_rows(_fused_by_method(raster.mosaic_pairs(_embeddings(s, d)), laplacian=True))))
+_add("report_average", lambda s, d: rounded(report.with_average(_tile_scores(s, d), _SCORED), 7), f"{_SCORES} select * from scores union all select \"Model\", 'AVERAGE', {_means} from scores group by \"Model\"")
+_add("report_summary", lambda s, d: rounded(report.summary(_tile_scores(s, d), _SCORED), 7), f"{_SCORES} select \"Model\", {_means} from scores group by \"Model\"")
+
+# ------------------------------------------------------------ filters and point operations
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    return raster.pixels(_tiles(spark, d), "f").withColumnRenamed("f", "v")
+
+
+_KERNEL = [[1.0, 2.0, -1.0, 3.0], [0.5, -2.0, 4.0, 1.0], [2.0, 0.0, 1.0, -1.0]]
+_SMALL = [[0.25, 0.5, 0.25], [0.5, 1.0, 0.5], [0.25, 0.5, 0.25]]
+_FOLD = {
+    "reflect1": lambda i: f"(7 - abs(7 - ((({i}) % 14 + 14) % 14)))",
+    "reflect2": lambda i: f"least((({i}) % 16 + 16) % 16, 15 - (({i}) % 16 + 16) % 16)",
+    "circular": lambda i: f"((({i}) % 8 + 8) % 8)",
+    "repeat": lambda i: f"least(7, greatest(0, {i}))",
+    "zero": lambda i: f"({i})",
+}
+
+
+def _corr_sql(edges: str) -> str:
+    taps = ", ".join(f"({i - 1}, {j - 2}, {w})" for i, row in enumerate(_KERNEL) for j, w in enumerate(row))
+    fold = _FOLD[edges]
+    return f"""select '{edges}' as edges, o.img, (o.r - 1) // 2 as r, o.c, round(coalesce(sum(k.w * t.v), 0), 6) + 0.0 as v from (select img, r, c from p where r % 2 = 1) o
+cross join (values {taps}) k(i, j, w) left join p t on t.img = o.img and t.r = {fold('o.r + k.i')} and t.c = {fold('o.c + k.j')} group by o.img, o.r, o.c"""
+
+
+_P = f"{_T}, p as (select img, r, c, f as v from t)"
+_add(
+    "filter_corr_down",
+    lambda s, d: rounded(reduce(DataFrame.union, [convolve.corr_down(_values(s, d), _KERNEL, e, (2, 1), (1, 0)).select(F.lit(e).alias("edges"), "img", "r", "c", "v") for e in _FOLD])),
+    f"with {_P} " + " union all ".join(map(_corr_sql, _FOLD)),
+)
+_add("filter_up_conv", lambda s, d: rounded(convolve.up_conv(_values(s, d), _SMALL, "reflect1", (2, 2))), f"""
+with {_P}, o as (select img, gr.range::int as r, gc.range::int as c from (select distinct img from p) cross join range(16) gr cross join range(16) gc),
+k as (select * from (values {', '.join(f'({1 - i}, {1 - j}, {w})' for i, row in enumerate(_SMALL) for j, w in enumerate(row))}) k(i, j, w))
+select o.img, o.r, o.c, round(coalesce(sum(k.w * p.v), 0), 6) + 0.0 as v from o cross join k left join p on p.img = o.img and 2 * p.r = 15 - abs(15 - abs(o.r + k.i)) and 2 * p.c = 15 - abs(15 - abs(o.c + k.j)) group by o.img, o.r, o.c""")
+_add("filter_gradient", lambda s, d: rounded(convolve.gradient(_values(s, d))), f"""
+with {_P}, k as (select i - 2 as i, j - 2 as j, {list(convolve.SMOOTH)}[i + 1] * {list(convolve.SLOPE)}[j + 1] as x, {list(convolve.SLOPE)}[i + 1] * {list(convolve.SMOOTH)}[j + 1] as y from (select unnest(range(5)) as i) cross join (select unnest(range(5)) as j))
+select o.img, o.r, o.c, case when o.r between 2 and 5 and o.c between 2 and 5 then round(sum(k.x * p.v), 6) + 0.0 else 0 end as dx, case when o.r between 2 and 5 and o.c between 2 and 5 then round(sum(k.y * p.v), 6) + 0.0 else 0 end as dy
+from p o cross join k left join p on p.img = o.img and p.r = o.r + k.i and p.c = o.c + k.j group by o.img, o.r, o.c""")
+_add("filter_box", lambda s, d: rounded(convolve.box(_values(s, d), 3)), f"""
+with {_P} select o.img, o.r, o.c, round(sum(p.v) / 9, 6) + 0.0 as v from p o cross join range(-1, 2) i cross join range(-1, 2) j join p on p.img = o.img and p.r = {_FOLD['repeat']('o.r + i.range')} and p.c = {_FOLD['repeat']('o.c + j.range')} group by o.img, o.r, o.c""")
+_TABLE = [0.0, 40.0, 45.0, 200.0, 250.0]
+_add("point_look_up", lambda s, d: rounded(points.point_op(_values(s, d), _TABLE, 20.0, 50.0)), f"""
+with {_P}, x as (select img, r, c, (v - 20) / 50 as u, greatest(0, least(3, floor((v - 20) / 50)))::int as i from p) select img, r, c, round({_TABLE}[i + 1] + (u - i) * ({_TABLE}[i + 2] - {_TABLE}[i + 1]), 6) + 0.0 as v from x""")
+_add("stats_entropy", lambda s, d: rounded(points.entropy(_values(s, d), bins=16)), f"""
+with {_P}, m as (select img, (max(v) - min(v)) / 16 as width, avg(v) as mean from p group by img), h as (select img, round((v - mean) / nullif(width, 0)) as k, count(*)::double as n from p join m using (img) group by all)
+select img, {_r(_H, 'entropy')} from h group by img""")
+_add("stats_difference", lambda s, d: rounded(points.difference_stats(raster.pixels(_tiles(s, d), "a", "f"), "a", "f")), f"""
+with {_T}, m as (select img, min(a - f) as lo, max(a - f) as hi, avg(a - f) as mean, var_samp(a - f) as v, var_samp(a) as w from t group by img)
+select img, lo, hi, {_r('mean', 'mean')}, {_r('sqrt(v)', 'sd')}, case when v < 2.3e-308 then 'inf'::double when w > 0 then round(10 * log10(w / v), 6) + 0.0 else '-inf'::double end as snr from m""")
+_add("stats_median", lambda s, d: points.median(_values(s, d)), f"with {_P} select img, median(v) as median from p group by img")
 
 # ------------------------------------------------------------ statistics and synthetic images
 
@@ -312,16 +422,33 @@ _add("stats_image", lambda s, d: rounded(stats.image_stats(raster.pixels(_tiles(
 with {_T}, m as (select img, min(f) as lo, max(f) as hi, avg(f) as mean, var_samp(f) as var from t group by img), k as (select img, avg(pow(f - mean, 3)) as m3, avg(pow(f - mean, 4)) as m4 from t join m using (img) group by img)
 select img, lo, hi, {_r('mean', 'mean')}, {_r('var', 'var')}, {_r('m3 / pow(nullif(var, 0), 1.5)', 'skew')}, {_r('m4 / pow(nullif(var, 0), 2)', 'kurt')} from m join k using (img)""")
 _add("stats_histogram", lambda s, d: stats.histogram(raster.pixels(_tiles(s, d), "a", "b", "f"), "f", 4.0), f"with {_T} select img, floor(f / 4.0 + 0.5) * 4.0 as centre, count(*) as n from t group by all")
-_add("stats_blocks", lambda s, d: rounded(stats.block_mean(raster.pixels(_mosaics(s, d), "f"), "f")))
+_MOSAIC = f"""{_PX}, m as (select vec_id // 64 as m, (vec_id % 64 // 8 * 8 + p // 8)::int as r, (vec_id % 8 * 8 + p % 8)::int as c, v from px), ok as (select m from m group by m having count(*) = 4096),
+t as (select x.m // 2 as img, x.r, x.c, x.v as a, y.v as b, greatest(x.v, y.v) as f from m x join m y on x.m // 2 = y.m // 2 and x.r = y.r and x.c = y.c and x.m % 2 = 0 and y.m % 2 = 1 where x.m in (from ok) and y.m in (from ok))"""
+_add("stats_blocks", lambda s, d: rounded(stats.block_mean(raster.pixels(_mosaics(s, d), "f"), "f")), f"with {_MOSAIC} select img, r // 16 as \"R\", c // 16 as \"C\", {_r('sum(f) / 256', 'mean')} from t group by all")
 _add("stats_channels", lambda s, d: rounded(stats.channel_stats(raster.pixels(_tiles(s, d), "a", "b"), "a", "b")), f"""
 with {_T} select img, {', '.join(f'min({x}) as min_{x}, max({x}) as max_{x}, ' + _r(f'avg({x})', f'mean_{x}') + ', ' + _r(f'stddev_pop({x})', f'sd_{x}') for x in 'ab')} from t group by img""")
 
 _GRID = "with g as (select (range // 48)::int as r, (range % 48)::int as c, range % 48 + 1 - 24.5 as x, range // 48 + 1 - 16.5 as y from range(32 * 48))"
+
+
+def _soft(x: str, width: float, position: float, left: float, right: float) -> str:
+    """A raised-cosine step, linear between the samples of its table."""
+    at = f"(129 + 256 * ({x} - {position}) / {width})"
+    i = f"greatest(0, least(257, floor({at})))"
+    y = lambda k: f"({left} + {right - left} * pow(cos(pi() / 512 * (greatest(1, least({k}, 257)) - 257)), 2))"
+    return f"{y(i)} + greatest(0, least(1, {at} - {i})) * ({y(f'({i} + 1)')} - {y(i)})"
+
+
+_WAVE = f"(x * {2 * math.pi / 7 * math.cos(0.4)} + y * {2 * math.pi / 7 * math.sin(0.4)} + 0.1 + pi() / 2)"
 for _name, _run, _sql in (
     ("ramp", lambda s: synth.ramp(s, 32, 48, 0.5, 2.0, 3.0), f"x * {2 * math.cos(0.5)} + y * {2 * math.sin(0.5)} + 3.0"),
     ("radius", lambda s: synth.radius(s, 32, 48, 1.5), "pow(x * x + y * y, 0.75)"),
     ("angle", lambda s: synth.angle(s, 32, 48, 0.3), "((atan2(y, x) + pi() - 0.3) - 2 * pi() * floor((atan2(y, x) + pi() - 0.3) / (2 * pi()))) - pi()"),
     ("disc", lambda s: synth.disc(s, 32, 48, 9.0), "case when x * x + y * y <= 81 then 1.0::double else 0.0::double end"),
+    ("disc_soft", lambda s: synth.disc(s, 32, 48, 9.0, 2.0, 3.0, -1.0), _soft("sqrt(x * x + y * y)", 2.0, 9.0, 3.0, -1.0)),
+    ("gaussian_covariance", lambda s: synth.gaussian(s, 32, 48, ((30.0, 5.0), (5.0, 12.0))), f"exp((30.0 * x * x - 10.0 * x * y + 12.0 * y * y) / -670.0) / (2 * pi() * {math.sqrt(335.0)})"),
+    ("square", lambda s: synth.square(s, 32, 48, 7.0, 0.4, 2.0, 0.1), _soft(f"abs({_WAVE} - 2 * pi() * floor({_WAVE} / (2 * pi())) - pi())", 4 * math.pi / 7, math.pi / 2, -2.0, 2.0)),
+    ("angular_sine", lambda s: synth.angular_sine(s, 32, 48, 3.0, 2.0, 0.3), "2.0 * sin(3.0 * (((atan2(y, x) + pi() - 0.3) - 2 * pi() * floor((atan2(y, x) + pi() - 0.3) / (2 * pi()))) - pi()) + 0.3)"),
     ("gaussian", lambda s: synth.gaussian(s, 32, 48, 30.0), "exp(-(x * x + y * y) / 60.0) / (60.0 * pi())"),
     ("zone_plate", lambda s: synth.zone_plate(s, 32, 48), "cos(pi() / 48 * (x * x + y * y))"),
     ("sine", lambda s: synth.sine(s, 32, 48, 7.0, 0.4), f"sin(2 * pi() / 7 * ({math.cos(0.4)} * c + {math.sin(0.4)} * r))"),

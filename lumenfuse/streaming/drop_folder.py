@@ -9,9 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def score_stream(spark: SparkSession, path: str, schema: str, metric: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
-    """Image rows from Parquet files that appear in ``path``; every micro-batch's scores are appended to ``sink``."""
+    """Image rows from Parquet files that appear in ``path``; every micro-batch's scores go to a folder of ``sink`` named by its id.
 
-    def batch(df: DataFrame, _: int) -> None:
-        metric(df).write.mode("append").parquet(sink)
+    A batch that runs again writes its own folder again.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        metric(df).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
