@@ -193,12 +193,82 @@ def _haar() -> tuple[str, str]:
 
 _HAAR = f"with {_T}, {' '.join(_haar())}"
 _add("fuse_haar", lambda s, d: fusion.fuse(raster.pixels(_tiles(s, d), "a", "b"), "haar"), _HAAR)
-_add("fuse_laplacian", lambda s, d: pyramid.fuse_laplacian(raster.tile_pairs(_embeddings(s, d)), 2))
 _add("fuse_wavelet_db1", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.tile_pairs(_embeddings(s, d)), 1, 1), "fused").withColumn("fused", F.col("fused").cast("int")), _HAAR)
-_add("fuse_wavelet_db4", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.mosaic_pairs(_embeddings(s, d))), "fused"))
 _add("pyramid_steerable", lambda s, d: rounded(_band_energy(steerable.steerable_pyramid(raster.mosaic_pairs(_embeddings(s, d))))))
 _add("pyramid_steered", lambda s, d: rounded(_band_energy(steerable.steer(steerable.steerable_pyramid(raster.mosaic_pairs(_embeddings(s, d))), math.pi / 5).withColumn("band", F.lit(None).cast("int")))))
-_add("pyramid_laplacian", lambda s, d: pyramid.laplacian_pyramid(raster.mosaic_pairs(_embeddings(s, d))))
+
+
+
+def _steps_sql(sizes: list[int]) -> str:
+    """down and up: what halving a line of n pixels, and bringing it back to n, takes from each pixel."""
+    ns = ", ".join(f"({n})" for n in sizes)
+    return f"""down as (select n, i, case when n = 2 then greatest(0, least(1, q)) else n - 1 - abs(n - 1 - abs(q)) end as p, sum(w) as w
+  from (select n, i, 2 * i + t as q, w from (select n, unnest(range(n // 2)) as i from (values {ns}) s(n)) cross join (values (-2, 0.0625::double), (-1, 0.25), (0, 0.375), (1, 0.25), (2, 0.0625)) k(t, w)) group by all),
+up as (select n, o, case when q < 0 then least(1, n // 2 - 1) else least(q, n // 2 - 1) end as i, sum(w) as w
+  from (select n, o, o // 2 + t as q, w from (select n, unnest(range(n)) as o from (values {ns}) s(n)) join (values (0, -1, 0.125::double), (0, 0, 0.75), (0, 1, 0.125), (1, 0, 0.5), (1, 1, 0.5)) k(odd, t, w) on odd = o % 2) group by all)"""
+
+
+def _pyramid_sql(sizes: list[int]) -> str:
+    """b0, b1, ...: Laplacian bands of x (img, src, r, c, v), and the last low-pass image."""
+    parts, g = [_steps_sql(sizes)], "x"
+    for k, n in enumerate(sizes):
+        low = f"g{k + 1}"
+        parts.append(f"{low} as materialized (select img, src, y.i as r, z.i as c, sum(y.w * z.w * v) as v from {g} join down y on y.n = {n} and y.p = r join down z on z.n = {n} and z.p = c group by all)")
+        parts.append(f"b{k} as materialized (select {g}.img, {g}.src, {g}.r, {g}.c, {g}.v - u.v as v from {g} join ({_up_sql(low, n)}) u using (img, src, r, c))")
+        g = low
+    return ", ".join(parts) + f", b{len(sizes)} as (select * from {g})"
+
+
+def _up_sql(table: str, n: int) -> str:
+    return f"select img, src, y.o as r, z.o as c, sum(y.w * z.w * v) as v from {table} join up y on y.n = {n} and y.i = r join up z on z.n = {n} and z.i = c group by all"
+
+
+def _pyramid_fusion_sql(sizes: list[int]) -> str:
+    """fused (img, r, c, v) from the bands of the sources 'a' and 'b'."""
+    k = len(sizes)
+    parts = [f"f{k} as materialized (select img, 'f' as src, r, c, sum(v) / 2 as v from b{k} group by all)"]
+    for i in range(k - 1, -1, -1):
+        pick = f"select p.img, p.r, p.c, case when abs(p.v) >= abs(q.v) then p.v else q.v end as v from b{i} p join b{i} q on p.img = q.img and p.r = q.r and p.c = q.c and p.src = 'a' and q.src = 'b'"
+        parts.append(f"f{i} as materialized (select u.img, 'f' as src, u.r, u.c, u.v + d.v as v from ({_up_sql(f'f{i + 1}', sizes[i])}) u join ({pick}) d on d.img = u.img and d.r = u.r and d.c = u.c)")
+    return ", ".join(parts) + ", fused as (select img, r, c, greatest(0, least(255, v)) as v from f0)"
+
+
+def _wavelet_sql(n: int, order: int, levels: int) -> str:
+    """fused (img, r, c, v) from the sources 'a' and 'b' of x (img, src, r, c, v), images of n x n pixels."""
+    taps = [float(t) for t in wavelet.daubechies(order)]
+    m = len(taps)
+    high = [t * (-1) ** j for j, t in enumerate(taps[::-1])]
+    sizes, parts, g = [n], [], "x"
+    for _ in range(levels):
+        sizes.append((sizes[-1] + m - 1) // 2)
+    k = ", ".join(f"({j}, {lo!r}::double, {hi!r}::double)" for j, (lo, hi) in enumerate(zip(taps, high)))
+    parts.append(f"k as (select * from (values {k}) k(j, lo, hi))")
+    for level, (big, small) in enumerate(zip(sizes, sizes[1:]), 1):
+        q = f"1 + j + 2 * i - {m - 1}"
+        fold = f"least((({q}) % {2 * big} + {2 * big}) % {2 * big}, {2 * big - 1} - (({q}) % {2 * big} + {2 * big}) % {2 * big})"
+        parts.append(f"s{level} as (select i, {fold} as p, sum(lo) as lo, sum(hi) as hi from (select unnest(range({small})) as i) cross join k group by all)")
+        parts.append(f"w{level} as materialized (select img, src, y.i as r, z.i as c, sum(y.lo * z.lo * v) as ll, sum(y.lo * z.hi * v) as lh, sum(y.hi * z.lo * v) as hl, sum(y.hi * z.hi * v) as hh from {g} join s{level} y on y.p = r join s{level} z on z.p = c group by all)")
+        parts.append(f"l{level} as (select img, src, r, c, ll as v from w{level})")
+        g = f"l{level}"
+    both = lambda t: f"{t} p join {t} q on p.img = q.img and p.r = q.r and p.c = q.c and p.src = 'a' and q.src = 'b'"
+    parts.append(f"f{levels} as (select p.img, p.r, p.c, (p.v + q.v) / 2 as v from {both(f'l{levels}')})")
+    for level in range(levels, 0, -1):
+        big, small = sizes[level - 1], sizes[level]
+        pick = ", ".join(f"case when abs(round(p.{b}, 9)) >= abs(round(q.{b}, 9)) then p.{b} else q.{b} end as {b}" for b in ("lh", "hl", "hh"))
+        parts.append(f"t{level} as (select i, 2 * i + j - {m - 2} as o, lo, hi from (select unnest(range({small})) as i) cross join k where 2 * i + j - {m - 2} between 0 and {2 * small - m + 1})")
+        # synthesis turns the high-pass taps as analysis has them
+        parts.append(f"d{level} as materialized (select p.img, p.r, p.c, f.v as ll, {pick} from {both(f'w{level}')} join f{level} f on f.img = p.img and f.r = p.r and f.c = p.c)")
+        parts.append(f"f{level - 1} as materialized (select img, y.o as r, z.o as c, sum(y.lo * z.lo * ll + y.lo * z.hi * lh + y.hi * z.lo * hl + y.hi * z.hi * hh) as v from d{level} join t{level} y on y.i = r join t{level} z on z.i = c where y.o < {big} and z.o < {big} group by all)")
+    return ", ".join(parts) + ", fused as (select img, r, c, greatest(0, least(255, v)) as v from f0)"
+
+
+_TWO = "x as (select img, 'a' as src, r, c, a as v from t union all select img, 'b', r, c, b from t)"
+_add("fuse_laplacian", lambda s, d: raster.pixels(pyramid.fuse_laplacian(raster.tile_pairs(_embeddings(s, d)), 2), "fused").withColumn("fused", F.col("fused").cast("int")), f"with {_T}, {_TWO}, {_pyramid_sql([8, 4])}, {_pyramid_fusion_sql([8, 4])} select img, r, c, trunc(v)::int as fused from fused")
+_MOSAIC = f"""{_PX}, m as (select vec_id // 64 as m, (vec_id % 64 // 8 * 8 + p // 8)::int as r, (vec_id % 8 * 8 + p % 8)::int as c, v from px), ok as (select m from m group by m having count(*) = 4096),
+t as (select x.m // 2 as img, x.r, x.c, x.v as a, y.v as b, greatest(x.v, y.v) as f from m x join m y on x.m // 2 = y.m // 2 and x.r = y.r and x.c = y.c and x.m % 2 = 0 and y.m % 2 = 1 where x.m in (from ok) and y.m in (from ok))"""
+_add("fuse_wavelet_db4", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.mosaic_pairs(_embeddings(s, d))), "fused"), f"with {_MOSAIC}, {_TWO}, {_wavelet_sql(64, 4, 2)} select img, r, c, trunc(round(v, 9)) as fused from fused")
+_ENERGIES = " union all ".join(f"select img, {k} as level, max(r)::int + 1 as h, max(c)::int + 1 as w, {_r('sum(v * v)', 'energy')} from b{k} where src = 'a' group by img" for k in range(5))
+_add("pyramid_laplacian", lambda s, d: rounded(_band_energy(pyramid.laplacian_pyramid(raster.mosaic_pairs(_embeddings(s, d))).withColumn("band", F.lit(0))).drop("band")), f"with {_MOSAIC}, {_TWO}, {_pyramid_sql([64, 32, 16, 8])} {_ENERGIES}")
 
 # ------------------------------------------------------------ colour
 
@@ -302,9 +372,20 @@ def _colour_maximum(space: str) -> str:
 _add("fuse_color_ycbcr", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "ycbcr"), _colour_haar("ycbcr"))
 _add("fuse_color_hsi", lambda s, d: fusion.fuse_color(_grey_and_rgb(s, d), "hsi"), _colour_haar("hsi"))
 
+def _colour_whole(space: str, method: str) -> str:
+    """A fusion of whole tiles, grey as source a and brightness as b."""
+    if method == "fuzzy":
+        return _colour_maximum(space)
+    two = "x as (select img, 'a' as src, r, c, a as v from n union all select img, 'b', r, c, y from n)"
+    fused = f"{_pyramid_sql([8, 4, 2])}, {_pyramid_fusion_sql([8, 4, 2])}" if method == "laplacian" else _wavelet_sql(8, 4, 2)
+    light = _light(space).replace("n as (select", "n as materialized (select")
+    fused = re.sub(r"\bf(\d)\b", r"y\1", re.sub(r"\bk as \(", "taps as (", re.sub(r"cross join k\b", "cross join taps", fused)) if method == "wavelet" else fused)
+    return f"with {_GREY_RGB}, {light}, {two}, {fused}, f as (select n.*, round(z.v, 9) as l from n join fused z on z.img = n.img and z.r = n.r and z.c = n.c) {_recolour(space)}"
+
+
 for _space in fusion.SPACES:
     for _method in ("laplacian", "wavelet", "fuzzy"):
-        _add(f"fuse_color_{_space}_{_method}", lambda s, d, x=_space, m=_method: raster.pixels(fusion.fuse_color_images(_color_images(s, d), x, m), "red", "green", "blue"), _colour_maximum(_space) if _method == "fuzzy" else None)
+        _add(f"fuse_color_{_space}_{_method}", lambda s, d, x=_space, m=_method: raster.pixels(fusion.fuse_color_images(_color_images(s, d), x, m), "red", "green", "blue"), _colour_whole(_space, _method))
 
 # ------------------------------------------------------------ cohort and reports
 
@@ -422,8 +503,6 @@ _add("stats_image", lambda s, d: rounded(stats.image_stats(raster.pixels(_tiles(
 with {_T}, m as (select img, min(f) as lo, max(f) as hi, avg(f) as mean, var_samp(f) as var from t group by img), k as (select img, avg(pow(f - mean, 3)) as m3, avg(pow(f - mean, 4)) as m4 from t join m using (img) group by img)
 select img, lo, hi, {_r('mean', 'mean')}, {_r('var', 'var')}, {_r('m3 / pow(nullif(var, 0), 1.5)', 'skew')}, {_r('m4 / pow(nullif(var, 0), 2)', 'kurt')} from m join k using (img)""")
 _add("stats_histogram", lambda s, d: stats.histogram(raster.pixels(_tiles(s, d), "a", "b", "f"), "f", 4.0), f"with {_T} select img, floor(f / 4.0 + 0.5) * 4.0 as centre, count(*) as n from t group by all")
-_MOSAIC = f"""{_PX}, m as (select vec_id // 64 as m, (vec_id % 64 // 8 * 8 + p // 8)::int as r, (vec_id % 8 * 8 + p % 8)::int as c, v from px), ok as (select m from m group by m having count(*) = 4096),
-t as (select x.m // 2 as img, x.r, x.c, x.v as a, y.v as b, greatest(x.v, y.v) as f from m x join m y on x.m // 2 = y.m // 2 and x.r = y.r and x.c = y.c and x.m % 2 = 0 and y.m % 2 = 1 where x.m in (from ok) and y.m in (from ok))"""
 _add("stats_blocks", lambda s, d: rounded(stats.block_mean(raster.pixels(_mosaics(s, d), "f"), "f")), f"with {_MOSAIC} select img, r // 16 as \"R\", c // 16 as \"C\", {_r('sum(f) / 256', 'mean')} from t group by all")
 _add("stats_channels", lambda s, d: rounded(stats.channel_stats(raster.pixels(_tiles(s, d), "a", "b"), "a", "b")), f"""
 with {_T} select img, {', '.join(f'min({x}) as min_{x}, max({x}) as max_{x}, ' + _r(f'avg({x})', f'mean_{x}') + ', ' + _r(f'stddev_pop({x})', f'sd_{x}') for x in 'ab')} from t group by img""")
