@@ -40,7 +40,7 @@ from lumenfuse.llm.common import checked_broadcast, materialize
 from lumenfuse.llm.vectors import hilbert_index, matrix, valid_vectors
 
 CURVES, DIMS, BITS, PROBES, NEAR_PROBES = 32, 12, 4, 32, 4
-FACTOR, POWER, SLACK, SEED = 0.0025, 0.75, 2.5, 20240
+FACTOR, POWER, SLACK, SEED = 0.013, 0.6, 2.5, 20240
 #: Halving planes of which sets are mirrored; 64-bit words of a sketch.
 PLANES, WORDS = 8, 8
 
