@@ -161,7 +161,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, lines: int =
     edges = found.where("kind = 1").select(F.col("row").alias("src"), F.col("other").alias("dst"))
     comp = materialize(connected_components(edges).withColumnRenamed("node", "row"))
     members = points.select("row", "point").join(comp, "row").groupBy("component").agg(F.min("point").alias("component_id"))
-    about = points.join(links, "row", "left").join(comp, "row", "left").join(members, "component", "left").select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component_id", "point").alias("_component"))
+    about = points.join(links, "row", "left").join(comp, "row", "left").join(checked_broadcast(materialize(members)), "component", "left").select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component_id", "point").alias("_component"))
     all_rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     out = all_rows.join(about, (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v")) & F.col("vec_id").isNotNull(), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_component", "vec_id"))
