@@ -126,4 +126,4 @@ def chroma_colour(a: Column, b: Column, base_hue: float = 0.0, full: float = 100
 
 def stretched(x: Column, low: Column, high: Column) -> Column:
     """0..255 between two values, cut off; a constant becomes 0.  What colour tables are applied to."""
-    return F.coalesce(to_byte((x - low) / F.nullif(high - low, F.lit(0.0)) * 255), F.lit(0))
+    return F.when(high > low, to_byte((x - low) / F.nullif(high - low, F.lit(0.0)) * 255)).otherwise(0)

@@ -78,7 +78,7 @@ def angular_sine(spark: SparkSession, h: int, w: int, harmonic: float = 1.0, amp
 def triangle(spark: SparkSession, steps: int) -> DataFrame:
     """(red, green, blue) of the plane red + green + blue = 1, on a grid of shares."""
     g = grid(spark, steps + 1, steps + 1).select((F.col("r") / steps).alias("red"), (F.col("c") / steps).alias("green"))
-    return g.withColumn("blue", 1 - F.col("red") - F.col("green")).where(F.col("blue") >= 0)
+    return g.withColumn("blue", F.round(1 - F.col("red") - F.col("green"), 12)).where(F.col("blue") >= 0)
 
 
 def zone_plate(spark: SparkSession, h: int, w: int, amplitude: float = 1.0, phase: float = 0.0) -> DataFrame:

@@ -45,9 +45,9 @@ def match_histogram(pix: DataFrame, counts: Sequence[float], centres: Sequence[f
     share = [sum(full[:k]) / sum(full) for k in range(n + 1)]
     edges = [centres[0] - width / 2, *[c + width / 2 for c in centres]]
     about = pix.groupBy("img").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("size"))
-    step = (F.col("hi") - F.col("lo")) / n
-    bin_ = F.least(F.floor((F.col(v) - F.col("lo")) / F.nullif(step, F.lit(0.0))), F.lit(n - 1)).cast("int")
-    placed = pix.join(about, "img").withColumn("bin", bin_)
+    step = F.nullif((F.col("hi") - F.col("lo")) / n, F.lit(0.0))
+    at = (F.col(v) - F.col("lo")) / step
+    placed = pix.join(about, "img").withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor(at), F.lit(n - 1))).cast("int"))
     have = placed.groupBy("img", "bin").agg(F.count(F.lit(1)).alias("k"), F.any_value("size").alias("size"))
     upto = F.sum("k").over(W.partitionBy("img").orderBy("bin"))
     ends = have.where("bin is not null").select("img", "bin", ((upto - F.col("k")) / F.col("size")).alias("below"), (upto / F.col("size")).alias("above"))
