@@ -186,9 +186,10 @@ def jaccard_components(documents: DataFrame, n: int = SHINGLE, percent: int = PE
         for m in measured:
             pairs = pairs.join(m.select("a", "b"), ["a", "b"], "left_anti")
         measured.append(_overlaps(C.materialize(pairs), rows, classes, n, percent))
-        links = links.union(linked(measured[-1]))
-        comp = C.materialize(C.connected_components(links))
-        links = comp.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        new = linked(measured[-1])
+        if i == 0 or not new.isEmpty():
+            comp = C.materialize(C.connected_components(links.union(new)))
+            links = comp.select(F.col("node").alias("src"), F.col("component").alias("dst"))
         # columns whose rows are not in one component yet, and how far from the pivot each row is
         named = columns.drop("component", "p_component", "parts").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         open_ = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
@@ -209,8 +210,10 @@ def jaccard_components(documents: DataFrame, n: int = SHINGLE, percent: int = PE
     more = more.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"), F.col("size_x").alias("na"), F.col("size_y").alias("nb")).distinct()
     for m in measured:
         more = more.join(m.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(linked(_overlaps(C.materialize(more), rows, classes, n, percent)))
-    comp = C.materialize(C.connected_components(links).withColumnRenamed("node", "cls"))
+    more = C.materialize(more)
+    if not more.isEmpty() and not (new := linked(_overlaps(more, rows, classes, n, percent))).isEmpty():
+        comp = C.materialize(C.connected_components(links.union(new)))
+    comp = comp.withColumnRenamed("node", "cls")
     small = classes.select("cls", "rep").join(comp, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(comp, "cls", "left").join(small, "component", "left").select("s1", "s2", "n", "n_copies", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
