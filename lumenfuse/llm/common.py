@@ -25,7 +25,7 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes up to which the strings and arrays (16 bytes an entry) of such a table may be broadcast.
 BROADCAST_BYTES = 32_000_000
 #: Words hashed at once in a task.
-CHUNK_WORDS = 300_000
+CHUNK_WORDS = 200_000
 #: Bytes of a text that are split into words at once; longer texts go piece by piece.
 PIECE_BYTES = 2_000_000
 #: ASCII white space: words are runs of anything else.
@@ -164,7 +164,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> bytes:
         h = xxhash.xxh3_128_digest(word)
         if len(word) <= 48:
-            if len(self) >= 200_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = h
         return h

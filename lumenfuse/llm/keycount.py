@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfuse.llm.common import lean, materialize
+from lumenfuse.llm.common import give_back, lean, materialize
 
 FLUSH = 2_000_000
 #: Counts above this may enter the list of frequent keys, which holds at most MAX_FREQUENT keys.
@@ -123,6 +123,8 @@ def count_keys(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]],
             maps.append(np.packbits(bitmap, bitorder="little").tobytes())
         top = counts > FREQUENT_FROM
         level = np.minimum(4 * np.log2(counts[top] / FREQUENT_FROM), 255).astype(np.int64)
+        del t, by_kind
+        give_back()
         return pa.table({"part": pa.array([part], pa.int32()), "maps": pa.array([maps], pa.list_(pa.binary())), "keys": pa.array([keys[top].tobytes()], pa.binary()), "counts": pa.array([counts[top].tobytes()], pa.binary()), "levels": pa.array([np.bincount(level, minlength=256)], pa.list_(pa.int64()))})
 
     sent = rows.mapInArrow(lean(send), "part int, kind int, near binary, far binary, many_at binary, many binary")

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfuse.llm.common import lean, materialize
+from lumenfuse.llm.common import give_back, lean, materialize
 
 LIMIT, END_ID, SHARD = 2048, 0, 50_000
 
 
 #: Where an ASCII letter meets punctuation, the tokenizer parts them.  Words kept by a worker.
-_EDGE, MAX_WORDS = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?%#$&*])"), 500_000
+_EDGE, MAX_WORDS = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?%#$&*])"), 250_000
 #: Letters below this code point are their own NFC form.
 _PLAIN = chr(0x250)
 
@@ -208,6 +208,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, shard: int = SHARD) -> DataFrame
         order = np.argsort(t.column("_row").to_numpy())  # the same packing whatever the order of arrival
         t = t.take(pa.array(order))
         bins, offsets, _ = best_two_fit(t.column("length").to_numpy().astype(np.int64), limit)
+        give_back()
         return pa.table({"_row": t.column("_row"), "sequence_id": pa.array(bins + (s << 32)), "offset": pa.array(offsets)})
 
     placed = keyed.groupBy("_shard").applyInArrow(run, "_row long, sequence_id long, offset long")
