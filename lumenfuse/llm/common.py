@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a one- or two-column table of numbers may be broadcast (at most 32 MB); above it a shuffle join runs.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a one- or two-column table of numbers may be broadcast (a few MB in every executor for as long as its plan lives); above it a shuffle join runs.
+BROADCAST_ROWS = 100_000
 #: Bytes up to which the strings and arrays (16 bytes an entry) of such a table may be broadcast.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 4_000_000
 #: Words hashed at once in a task.
 CHUNK_WORDS = 200_000
 #: Bytes of a text that are split into words at once; longer texts go piece by piece.

@@ -157,6 +157,7 @@ def jaccard_components(documents: DataFrame, n: int = SHINGLE, percent: int = PE
 
     known = spark.sparkContext.broadcast(count_keys(rows.select("text"), hashes))
     signed = C.materialize(_signed_rows(rows, n, percent, known))
+    known.destroy()
     # classes of equal sets; those with nothing to probe are alone
     members = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = members.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))

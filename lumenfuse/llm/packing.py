@@ -32,7 +32,7 @@ LIMIT, END_ID, SHARD = 2048, 0, 50_000
 
 
 #: Where an ASCII letter meets punctuation, the tokenizer parts them.  Words kept by a worker.
-_EDGE, MAX_WORDS = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?%#$&*])"), 250_000
+_EDGE, MAX_WORDS = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?%#$&*])"), 150_000
 #: Letters below this code point are their own NFC form.
 _PLAIN = chr(0x250)
 

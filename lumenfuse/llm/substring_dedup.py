@@ -38,6 +38,8 @@ WINDOW = 50
 _NO_ID = -(2**63)
 #: Run texts that a task remembers to have sent already.
 _SENT = 100_000
+#: Rows and bytes up to which spans are broadcast, larger than elsewhere: it spares a shuffle of all texts.
+SPARED = 1_000_000, 32_000_000
 
 
 def _places(lens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,9 @@ def repeated_runs(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(zip(*out))], names=["doc_id", "k1", "k2", "start", "n", "r1", "r2", "words"])
 
-    return C.materialize(rows.mapInArrow(C.lean(runs), "doc_id long, k1 long, k2 long, start long, n long, r1 long, r2 long, words binary"))
+    out = C.materialize(rows.mapInArrow(C.lean(runs), "doc_id long, k1 long, k2 long, start long, n long, r1 long, r2 long, words binary"))
+    known.destroy()
+    return out
 
 
 def removed_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -141,7 +145,7 @@ def removed_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
     cuts = lost.groupBy("run").agg(F.collect_list("start").alias("places")).mapInArrow(C.lean(intervals), "run long, cuts array<struct<start: long, end: long>>")
     about = C.materialize(classes.select("r1", "r2", "low", "run").join(cuts, "run", "left").select("r1", "r2", "low", "cuts"))
-    of_runs = runs.select("doc_id", "k1", "k2", "start", "n", "r1", "r2").join(C.checked_broadcast(about), ["r1", "r2"])
+    of_runs = runs.select("doc_id", "k1", "k2", "start", "n", "r1", "r2").join(C.checked_broadcast(about, *SPARED), ["r1", "r2"])
     whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n")).alias("end")))
     moved = F.transform("cuts", lambda x: F.struct((x["start"] + F.col("start")).alias("start"), (x["end"] + F.col("start")).alias("end")))
     spans = of_runs.select("doc_id", "k1", "k2", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(moved)).alias("span"))
@@ -154,7 +158,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     kept_text: the words that stay, joined by one space.
     """
     spans = removed_spans(documents, window)
-    joined = _keyed(documents).join(C.checked_broadcast(spans), ["doc_id", "k1", "k2"], "left").select("own_id", "text", "spans")
+    joined = _keyed(documents).join(C.checked_broadcast(spans, *SPARED), ["doc_id", "k1", "k2"], "left").select("own_id", "text", "spans")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
