@@ -84,4 +84,56 @@ y as (select doc_id, count(*) filter (not stays) as gone, coalesce(string_agg(li
 select d.doc_id, coalesce(gone, 0)::bigint as n_lines_removed, length(t)::bigint as kept_chars, md5(t) as kept_md5 from documents d left join y using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD, "op2_mix_sources": _MIX, "op3_chat_format": _CHAT, "op6_url_filter": _URL, "op8_substring_dedup": _REPEATS, "op10_line_dedup": _LINES}
+# CRC-32 of a string of ASCII characters: a table by its rule, then one step a character.
+_CRC_TABLE = "crc as (select list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, x::bigint)) as t)"
+_CRC = "xor(list_reduce(list_transform(string_split({}, ''), lambda s: ord(s)::bigint), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::bigint), 4294967295)"
+
+_REPAIR = rf"""
+with recursive {_CRC_TABLE},
+c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format("concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' '))")} % 20 as hit from conversations cross join crc),
+d as (select conv_id, turn, case when hit = 4 then 'user' else role end as role, case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from c, lateral (select unnest(range(case when hit = 3 then 2 else 1 end)) as time) where hit <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+n as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+  substr(role, 1, 1) as x, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as z from o),
+f as (select *, case when z = '' then 'b' when again then 'd' when z not in ('.', '!', '?') then 't' else '' end as fault, lead(x) over (partition by conv_id order by i) as y from n),
+told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+  count(*) filter (fault = 't') as truncated, count(*) filter (y is not null and x || y not in ('su', 'ua', 'au')) as illegal, max(i) as rows from f group by conv_id),
+ins(a, pre, b) as (values (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2), (2, 'I', 3), (2, 'II', 2), (3, '', 3), (3, 'I', 2), (3, 'II', 3)),
+op(b, e, need, z) as (values (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (3, 'K', 'u', 2), (2, 'K', 'a', 3), (0, 'R', '', 2), (1, 'R', '', 2), (3, 'R', '', 2), (2, 'R', '', 3),
+  (0, 'D', '', 0), (1, 'D', '', 1), (2, 'D', '', 2), (3, 'D', '', 3)),
+dp as (select conv_id, 0::bigint as i, 0 as state, {{'cost': 0::bigint, 'audit': ''}} as best from told
+  union all
+  select p.conv_id, p.i + 1, op.z, min({{'cost': p.best.cost + 3 * length(pre) + case e when 'D' then 4 when 'R' then 3 else 0 end + case when fault = 't' and e <> 'D' then 3 else 0 end, 'audit': p.best.audit || pre || e}})
+  from dp p join f on f.conv_id is not distinct from p.conv_id and f.i = p.i + 1 join ins on ins.a = p.state join op on op.b = ins.b and (e = 'D' or fault not in ('b', 'd') and (e = 'R' or need = f.x))
+  group by p.conv_id, p.i, op.z),
+done as (select told.conv_id, min({{'cost': best.cost + 3 * length(pre), 'audit': best.audit || pre}}) as best from told join dp on dp.conv_id is not distinct from told.conv_id and dp.i = told.rows join ins on ins.a = dp.state and ins.b in (0, 3) group by told.conv_id),
+l as (select conv_id, p, substr(best.audit, p, 1) as e, length(replace(substr(best.audit, 1, p), 'I', '')) as i, length(replace(substr(best.audit, 1, p), 'D', '')) as o
+  from done, lateral (select unnest(range(1, length(best.audit) + 1)) as p)),
+k as (select l.*, f.role, f.text, max(case when e = 'K' and f.x = 's' then 1 else 0 end) over (partition by l.conv_id) as sys from l left join f on f.conv_id is not distinct from l.conv_id and f.i = l.i and l.e <> 'I'),
+h as (select conv_id, sha256(string_agg(case when e = 'K' then role when (o - sys) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by p)) as h from k where e <> 'D' group by conv_id)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(done.best.cost, 0) as cost, coalesce(done.best.audit, '') as audit, coalesce(h.h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join told on told.conv_id is not distinct from a.conv_id left join done on done.conv_id is not distinct from a.conv_id left join h on h.conv_id is not distinct from a.conv_id
+"""
+
+_TRIE = rf"""
+with {_CRC_TABLE},
+t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+ids as (select c, c - c % 100 as base, {_CRC.format("c::varchar")} % 6 as h from (select distinct c from t) cross join crc),
+lent as (select ids.c, p, role, text from ids join t on t.c = ids.base and p <= h),
+b as (select * from lent union all select t.c, p - h + coalesce(n, 0), role, text from t join ids using (c) left join (select c, count(*) as n from lent group by c) using (c) where p > h),
+pre as (select c, p as d, string_agg(md5(role || chr(0) || text), '') over (partition by c order by p) as x, length(text) as chars from b union all select c, 0, '', 0 from ids),
+m as (select c, d, chars, min(c) over (partition by d, x) as node, max(d) over (partition by c) = d as ends from pre),
+n as (select node, d, count(*) as n_convs, any_value(chars) as chars, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256 from m group by node, d),
+up as (select n.node, n.d, m.node as parent from n left join m on m.c = n.node and m.d = n.d - 1),
+kids as (select parent as node, d - 1 as d, count(*) as n_children from up where d > 0 group by all),
+w as (select n.*, up.parent, coalesce(n_children, 0) as n_children from n join up using (node, d) left join kids using (node, d)),
+sums as (select m.node, m.d, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * w.chars)::bigint as saved_tokens from w join m on m.c = w.node and m.d <= w.d group by m.node, m.d)
+select node as conv_id, d::bigint as depth, parent as parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from w join sums using (node, d)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": _JACCARD, "op2_mix_sources": _MIX, "op3_chat_format": _CHAT, "op6_url_filter": _URL, "op8_substring_dedup": _REPEATS, "op10_line_dedup": _LINES,
+    "op12_conversation_repair": _REPAIR, "op13_prefix_trie": _TRIE,
+}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfuse.llm import ann_hilbert, chat_format, embed_dedup, language_id, line_dedup, mixing, ngram_join, packing, substring_dedup, url_filter
+from lumenfuse.llm import ann_hilbert, chat_format, conversation_repair, embed_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, substring_dedup, token_counts, url_filter
+from lumenfuse.llm.common import materialize
+from lumenfuse.llm.digest import ordered_sha256
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,7 +87,60 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+#: Tokens above which a document is over the limit.
+TOKEN_LIMIT = 512
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) after damage that a CRC of conversation and turn decides; a null role or text is one blank."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), hit.alias("hit")).where("hit <> 0")
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("hit") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("hit") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    told, turns = conversation_repair.repair(damaged(conversations))
+    line = F.concat("role", F.lit(":"), "text")
+    hashes = ordered_sha256(turns.withColumn("line", line), "conv_id", "place", F.col("line"), "\n", "repaired_sha256")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    parts = [conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct(), told, hashes]
+    every = parts[0].unionByName(parts[1], True).unionByName(parts[2], True).groupBy("conv_id").agg(*[F.max(c).alias(c) for c in (*counts, "audit", "repaired_sha256")])
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conversations, their turns): each begins with the first h turns of the conversation at the hundred below it, h from a CRC of its id, and goes on with its own after its first h."""
+    ids = turns.select("conv_id").distinct().select("conv_id", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int").alias("h"), (F.col("conv_id") - F.col("conv_id") % 100).alias("base"))
+    first = turns.where("conv_id % 100 = 0 and pos <= 5").withColumnRenamed("conv_id", "base")
+    lent = ids.join(first, "base").where(F.col("pos") <= F.col("h")).select("conv_id", "pos", "key", "chars")
+    own = turns.join(ids, "conv_id").where(F.col("pos") > F.col("h")).select("conv_id", "pos", "key", "chars")
+    lent_n = lent.groupBy("conv_id").agg(F.max("pos").alias("n"))
+    own = own.join(ids.select("conv_id", "h"), "conv_id").join(lent_n, "conv_id", "left")
+    own = own.select("conv_id", (F.col("pos") - F.col("h") + F.coalesce("n", F.lit(0))).cast("int").alias("pos"), "key", "chars")
+    return ids.select("conv_id"), lent.union(own)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, turns = rebuilt(materialize(prefix_trie.turn_keys(_read(spark, sf_dir, "conversations"))))
+    nodes = prefix_trie.build(ids, materialize(turns))
+    return nodes.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_mix_sources, op3_chat_format, op4_best_fit_packing, op5_nearest_neighbours,
     op6_url_filter, op7_embedding_near_dedup, op8_substring_dedup, op9_language_id, op10_line_dedup,
+    op11_token_counts, op12_conversation_repair, op13_prefix_trie,
 )}
