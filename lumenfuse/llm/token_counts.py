@@ -3,11 +3,12 @@ r"""Token counts without ids: pieces once per distinct pre-token, joined to each
 A byte-level BPE tokenizer parts a text into pre-tokens by a fixed pattern and merges inside a pre-token only, so a
 text has as many tokens as its pre-tokens have pieces.  Three steps:
 
-1. every document's distinct pre-tokens with their frequencies (written once; long texts go piece by piece);
+1. every document's distinct pre-tokens with their frequencies, written once (long texts go piece by piece).  They are turned
+   round within a run of rows, so a pre-token stands there once for all of them;
 2. the distinct pre-tokens of the whole corpus, encoded once each: the number of pieces is kept, ids are not;
 3. frequencies joined to pieces and summed per document.  A pre-token that holds at least 1 in HEAVY of all
-   frequency rows is heavy: there are at most HEAVY of them, so their table may be broadcast.  All others are
-   joined by a shuffle, in which no key has more than that share of the rows.
+   (document, pre-token) pairs is heavy: there are at most HEAVY of them, and their table is broadcast if it is as small as
+   it should be.  All others are joined by a shuffle, in which no key has more than that share of the pairs.
 
 Strings of special tokens inside a text are one token, as the tokenizer takes them by default.
 
@@ -22,18 +23,19 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfuse.llm.common import BROADCAST_ROWS, checked_broadcast, lean, materialize
+from lumenfuse.llm.common import checked_broadcast, lean, materialize
 
-#: A pre-token is heavy if it holds at least 1 in HEAVY of all (document, pre-token) rows.
-HEAVY = BROADCAST_ROWS
-#: Characters of a text that are parted at once; distinct pre-tokens in a row of frequencies.
-PIECE_CHARS, ROW_TOKENS = 1_000_000, 20_000
+#: A pre-token is heavy if it holds at least 1 in HEAVY of all (document, pre-token) pairs; bytes up to which the table of heavy ones is broadcast.
+HEAVY, HEAVY_BYTES = 1_000_000, 16_000_000
+#: Characters of a text that are parted at once; (document, pre-token) pairs that a task holds; pre-tokens it gives out at once.
+PIECE_CHARS, CHUNK_TOKENS, ROW_TOKENS = 1_000_000, 1_000_000, 50_000
 #: Below this code point the pattern's classes are written out here; a text with a character above goes through the library.
 PLAIN = 0x250
 
@@ -97,37 +99,74 @@ def _pre_tokens(path: str) -> PreTokens:
     return PreTokens(path)
 
 
+class _Index(dict):
+    """Numbers in order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class _Chunk:
+    """Frequencies of some rows in a run, turned round: each distinct pre-token with the rows that hold it."""
+
+    def __init__(self, first: int):
+        self.first, self.index = first, _Index()
+        self.rows, self.docs, self.sizes = [], [], []  # one entry a row
+        self.ids, self.counts, self.lens = [], [], []  # pre-tokens, row by row
+
+    def add(self, row: int, doc: int | None, text: bytes | None, own: PreTokens) -> None:
+        n = own.count(text.decode(errors="replace")) if text else {}
+        self.rows.append(row - self.first)
+        self.docs.append(doc)
+        self.sizes.append(len(text or b""))
+        self.ids.extend(map(self.index.__getitem__, n))
+        self.counts.extend(n.values())
+        self.lens.append(len(n))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        one = lambda x: pa.array([x], pa.list_(pa.int32()))
+        yield _record(pa.nulls(1, pa.string()), self.first, one(self.rows), one(self.sizes), pa.array([self.docs], pa.list_(pa.int64())))
+        ids = np.array(self.ids, np.int64)
+        order = np.argsort(ids, kind="stable")
+        row, count = np.repeat(np.array(self.rows, np.int32), self.lens)[order], np.array(self.counts, np.int32)[order]
+        ends, tokens = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=len(self.index))))), list(self.index)
+        for at in range(0, len(tokens), ROW_TOKENS):
+            cut = ends[at : at + ROW_TOKENS + 1]
+            lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(x[cut[0] : cut[-1]])) for x in (row, count)]
+            yield _record(pa.array(tokens[at : at + ROW_TOKENS], pa.string()), self.first, *lists, pa.nulls(len(cut) - 1, pa.list_(pa.int64())))
+
+
+def _record(token: pa.Array, first: int, *lists: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([token, pa.array([first] * len(token), pa.int64()), *lists], names=["token", "first", "rows", "counts", "doc_ids"])
+
+
 def frequencies(documents: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(row, doc_id, n_bytes, tokens, counts): the distinct pre-tokens of each text and how often each is there.
+    """(token, first, rows, counts, doc_ids): how often a pre-token is in each text, turned round within some rows that follow each other.
 
-    ``row`` names a row of ``documents`` within this table; a text of very many pre-tokens has several rows, of which the first has n_bytes, the others 0.
+    Row ``first + rows[i]`` of ``documents`` holds the pre-token ``counts[i]`` times.  A null token stands for the rows themselves: ``counts`` are their
+    bytes, ``doc_ids`` their ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _pre_tokens(tokenizer_path)
+        own, chunk = _pre_tokens(tokenizer_path), None
         for b in batches:
             row, doc, text = (b.column(b.schema.get_field_index(c)) for c in ("row", "doc_id", "text"))
-            out, held = ([], [], [], [], []), 0
             for i in range(b.num_rows):
-                t = text[i].as_py()
-                n = own.count(t.decode(errors="replace")) if t else {}
-                keys, values = list(n), list(n.values())
-                for at in range(0, max(len(keys), 1), ROW_TOKENS):
-                    some = keys[at : at + ROW_TOKENS]
-                    for c, x in zip(out, (row[i].as_py(), doc[i].as_py(), 0 if at or not t else len(t), some, values[at : at + ROW_TOKENS])):
-                        c.append(x)
-                    held += len(some)
-                if held >= 5 * ROW_TOKENS or i + 1 == b.num_rows:
-                    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["row", "doc_id", "n_bytes", "tokens", "counts"])
-                    out, held = ([], [], [], [], []), 0
+                chunk = chunk or _Chunk(row[i].as_py())
+                chunk.add(row[i].as_py(), doc[i].as_py(), text[i].as_py(), own)
+                if len(chunk.ids) >= CHUNK_TOKENS or len(chunk.rows) >= CHUNK_TOKENS:
+                    yield from chunk.batches()
+                    chunk = None
+        if chunk:
+            yield from chunk.batches()
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(lean(run), "row long, doc_id long, n_bytes long, tokens array<string>, counts array<long>")
+    return rows.mapInArrow(lean(run), "token string, first long, rows array<int>, counts array<int>, doc_ids array<long>")
 
 
 def piece_table(freq: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(token, rows, pieces): each distinct pre-token of ``freq``, in how many of its rows it is, and its number of pieces."""
+    """(token, rows, pieces): each distinct pre-token of ``freq``, in how many documents it is, and its number of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _pre_tokens(tokenizer_path)
@@ -135,7 +174,7 @@ def piece_table(freq: DataFrame, tokenizer_path: str) -> DataFrame:
             n = own.pieces(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["token", "rows", "pieces"])
 
-    distinct = freq.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    distinct = freq.where("token is not null").groupBy("token").agg(F.sum(F.size("rows")).alias("rows"))
     return distinct.mapInArrow(lean(run), "token string, rows long, pieces long")
 
 
@@ -145,15 +184,17 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, heavy: int = HEAVY)
     table = materialize(piece_table(freq, tokenizer_path))
     least = -(-(table.agg(F.sum("rows")).first()[0] or 0) // heavy)
     some, rest = (table.where(F.col("rows") >= least), table.where(F.col("rows") < least)) if least > 1 else (table, None)
-    known = checked_broadcast(some.select("token", "pieces"), heavy)
-    each = freq.select("row", F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select("row", F.col("x.tokens").alias("token"), F.col("x.counts").alias("n"))
-    joined = each.join(known, "token", "left")
-    parts = [freq.select("row", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_tokens"))]
-    summed = lambda df: df.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_bytes"), (F.col("n") * F.col("pieces")).alias("n_tokens"))
+    known = checked_broadcast(some.select("token", "pieces"), heavy, HEAVY_BYTES)
+    joined = freq.where("token is not null").select("token", "first", "rows", "counts").join(known, "token", "left")
+    rows = freq.where("token is null").select("first", F.explode(F.arrays_zip("rows", "counts", "doc_ids")).alias("x"))
+    parts = [rows.select((F.col("first") + F.col("x.rows")).alias("row"), F.col("x.doc_ids").alias("doc_id"), F.col("x.counts").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens"))]
+
+    def summed(df: DataFrame) -> DataFrame:
+        each = df.select("first", "pieces", F.explode(F.arrays_zip("rows", "counts")).alias("x"))
+        return each.select((F.col("first") + F.col("x.rows")).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_bytes"), (F.col("x.counts") * F.col("pieces")).alias("n_tokens"))
+
     parts.append(summed(joined.where("pieces is not null")))
     if rest is not None:
         parts.append(summed(joined.where("pieces is null").drop("pieces").join(rest.select("token", "pieces"), "token")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    out = reduce(DataFrame.union, parts)
     return out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("row")

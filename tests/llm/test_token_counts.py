@@ -20,6 +20,7 @@ def test_counts_equal_the_tokenizer(spark, monkeypatch, heavy):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_counts, "PIECE_CHARS", 40)
+    monkeypatch.setattr(token_counts, "CHUNK_TOKENS", 60)
     monkeypatch.setattr(token_counts, "ROW_TOKENS", 7)
     path, many = P.path("byte_bpe_50k.json"), texts(120, 4)
     whole = Tokenizer.from_file(path)
