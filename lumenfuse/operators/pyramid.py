@@ -1,97 +1,38 @@
-"""Gaussian and Laplacian pyramids as relations (img, level, h, w, px), and fusion by Laplacian pyramid."""
+"""Fusion by Laplacian pyramid on pixel relations, and the bands of such pyramids."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from lumenfuse.operators import bands
+from lumenfuse.sources import raster
 
-from lumenfuse.operators import arrays
+#: Blur before halving, and filter after doubling, of sum 1 and 2; their sums are exact for whole grey levels.
+DOWN, UP = [t / 16 for t in (1.0, 4.0, 6.0, 4.0, 1.0)], [t / 8 for t in (1.0, 4.0, 6.0, 4.0, 1.0)]
 
-TAPS = np.array([1, 4, 6, 4, 1]) / 16
 
+def laplacian_pyramid(images: DataFrame, *channels: str, levels: int = 4) -> DataFrame:
+    """Bands (img, h, w, level, band, r, c, channels...) of image rows, fine to coarse; an image that is one pixel wide or high is not halved further."""
+    rows = bands.from_images(images, *(channels or ("a",)))
+    return bands.laplacian_pyramid(rows, levels, DOWN, UP, "mirror", "reflect1", whole_grid=True, least=2)
 
-def _blur(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    mode = lambda n: "reflect" if n > 2 else "edge"
-    y = np.pad(x, ((2, 2), (0, 0)), mode=mode(x.shape[0]))
-    y = sum(t * y[i : i + x.shape[0]] for i, t in enumerate(taps))
-    z = np.pad(y, ((0, 0), (2, 2)), mode=mode(x.shape[1]))
-    return sum(t * z[:, i : i + x.shape[1]] for i, t in enumerate(taps))
 
-
-def down(x: np.ndarray) -> np.ndarray:
-    return _blur(x, TAPS)[::2, ::2]
-
-
-def up(x: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Twice the size: even places take 1-6-1 of the small image, odd places its mean."""
-    p = np.pad(x, 1, mode="edge")
-    p[0], p[:, 0] = p[min(2, p.shape[0] - 1)], p[:, min(2, p.shape[1] - 1)]
-    even = (p[:-2] + 6 * p[1:-1] + p[2:]) / 8
-    odd = (p[1:-1] + p[2:]) / 2
-    rows = np.stack([even, odd], 1).reshape(-1, p.shape[1])
-    even, odd = (rows[:, :-2] + 6 * rows[:, 1:-1] + rows[:, 2:]) / 8, (rows[:, 1:-1] + rows[:, 2:]) / 2
-    return np.stack([even, odd], 2).reshape(rows.shape[0], -1)[: shape[0], : shape[1]]
-
-
-def build(x: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Laplacian bands, fine to coarse, and the last low-pass image."""
-    out = []
-    for _ in range(levels):
-        if min(x.shape) < 2:
-            break
-        low = down(x)
-        out.append(x - up(low, x.shape))
-        x = low
-    return [*out, x]
-
-
-def collapse(bands: list[np.ndarray]) -> np.ndarray:
-    x = bands[-1]
-    for band in bands[-2::-1]:
-        x = up(x, band.shape) + band
-    return x
-
-
-def laplacian_pyramid(images: DataFrame, channel: str = "a", levels: int = 4) -> DataFrame:
-    """One row per band; the access functions of a pyramid are filters on ``level``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            many = [build(x, levels) for (x,) in arrays.images(batch, channel)]
-            bands = [v for image in many for v in image]
-            img = batch.column(batch.schema.get_field_index("img")).take(pa.array(np.repeat(np.arange(len(many)), [len(x) for x in many])))
-            size = [pa.array([v.shape[k] for v in bands], pa.int32()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([img, pa.array([k for x in many for k in range(len(x))], pa.int32()), *size, arrays.list_column(bands)], names=["img", "level", "h", "w", "px"])
-
-    return images.select("img", "h", "w", channel).mapInArrow(run, f"img {images.schema['img'].dataType.simpleString()}, level int, h int, w int, px array<double>")
-
-
-def map_pairs(images: DataFrame, fuse: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Image rows (img, h, w, fused, keep...) with ``fuse`` of channels a and b, one image at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = lambda k: batch.column(batch.schema.get_field_index(k))  # noqa: B023, E731
-            fused = arrays.list_column([fuse(a, b) for a, b in arrays.images(batch, "a", "b")])
-            yield pa.RecordBatch.from_arrays([*(col(k) for k in ("img", "h", "w")), fused, *(col(k) for k in keep)], names=["img", "h", "w", "fused", *keep])
-
-    some = images.select("img", "h", "w", "a", "b", *keep)
-    types = ", ".join(f"{k} {some.schema[k].dataType.simpleString()}" for k in ("img", "h", "w"))
-    return some.mapInArrow(run, types + ", fused array<double>" + "".join(f", {k} {some.schema[k].dataType.simpleString()}" for k in keep))
+def halvings(levels: int) -> Column:
+    """How often an image of sides h and w is halved: until a side is 1, at most ``levels`` times."""
+    side = F.least("h", "w")
+    return F.when(side < 2, 0).otherwise(F.least(F.lit(levels), F.length(F.bin(side - 1))))
 
 
 def fuse_laplacian(images: DataFrame, levels: int = 4, cut: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Image rows with ``fused``: mean of the low-pass images, the larger detail of each band (first on ties), clipped to 0..255.
 
-    ``cut`` cuts off to whole levels; columns to ``keep`` travel with their row.
+    Both sources are two values of one pyramid, so nothing is joined but the columns to ``keep``.  ``cut`` cuts off to whole levels.
     """
-
-    def one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x, y = build(a, levels), build(b, levels)
-        f = np.clip(collapse([*(np.where(np.abs(p) >= np.abs(q), p, q) for p, q in zip(x[:-1], y[:-1])), (x[-1] + y[-1]) / 2]), 0, 255)
-        return np.trunc(f) if cut else f
-
-    return map_pairs(images, one, keep)
+    larger = F.when(F.abs("a") >= F.abs("b"), F.col("a")).otherwise(F.col("b"))
+    chosen = F.when(F.col("level") == halvings(levels), (F.col("a") + F.col("b")) / 2).otherwise(larger)
+    pyr = laplacian_pyramid(images, "a", "b", levels=levels).withColumn("fused", chosen).drop("a", "b")
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("fused")))
+    out = bands.laplacian_image(pyr, levels, UP, whole_grid=True).select("img", "r", "c", (F.floor(clipped).cast("double") if cut else clipped).alias("fused"))
+    rows = raster.image_rows(out, "fused")
+    return rows.join(images.select("img", *keep), "img") if keep else rows

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfuse.functions import color, synth
-from lumenfuse.operators import cohort, convolve, fusion, perceptual, points, pyramid, report, stats, steerable, wavelet, windowed
+from lumenfuse.operators import bands, cohort, convolve, fusion, perceptual, points, pyramid, report, stats, steerable, wavelet, windowed
 from lumenfuse.operators import metrics as M
+from lumenfuse.operators.filter_banks import SP1, named
 from lumenfuse.plans import evaluate
 from lumenfuse.sources import raster
 
@@ -267,8 +268,107 @@ _add("fuse_laplacian", lambda s, d: raster.pixels(pyramid.fuse_laplacian(raster.
 _MOSAIC = f"""{_PX}, m as (select vec_id // 64 as m, (vec_id % 64 // 8 * 8 + p // 8)::int as r, (vec_id % 8 * 8 + p % 8)::int as c, v from px), ok as (select m from m group by m having count(*) = 4096),
 t as (select x.m // 2 as img, x.r, x.c, x.v as a, y.v as b, greatest(x.v, y.v) as f from m x join m y on x.m // 2 = y.m // 2 and x.r = y.r and x.c = y.c and x.m % 2 = 0 and y.m % 2 = 1 where x.m in (from ok) and y.m in (from ok))"""
 _add("fuse_wavelet_db4", lambda s, d: raster.pixels(wavelet.fuse_wavelet(raster.mosaic_pairs(_embeddings(s, d))), "fused"), f"with {_MOSAIC}, {_TWO}, {_wavelet_sql(64, 4, 2)} select img, r, c, trunc(round(v, 9)) as fused from fused")
-_ENERGIES = " union all ".join(f"select img, {k} as level, max(r)::int + 1 as h, max(c)::int + 1 as w, {_r('sum(v * v)', 'energy')} from b{k} where src = 'a' group by img" for k in range(5))
-_add("pyramid_laplacian", lambda s, d: rounded(_band_energy(pyramid.laplacian_pyramid(raster.mosaic_pairs(_embeddings(s, d))).withColumn("band", F.lit(0))).drop("band")), f"with {_MOSAIC}, {_TWO}, {_pyramid_sql([64, 32, 16, 8])} {_ENERGIES}")
+
+
+def _energies(pyr: DataFrame) -> DataFrame:
+    """Sides and energy of each band of both sources, from coefficients."""
+    return rounded(pyr.groupBy("img", "level", "band").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), *[F.sum(F.col(x) * F.col(x)).alias(f"energy_{x}") for x in "ab"]), 3)
+
+
+def _energies_sql(parts: dict[tuple[int, int], str]) -> str:
+    """The same from one relation (img, src, r, c, v) a band."""
+    energy = lambda x: f"round(sum(v * v) filter (src = '{x}'), 3) + 0.0 as energy_{x}"
+    return " union all ".join(f"select img, {level} as level, {band} as band, max(r)::int + 1 as h, max(c)::int + 1 as w, {energy('a')}, {energy('b')} from {name} group by img" for (level, band), name in parts.items())
+
+
+def _image_sql(table: str) -> str:
+    """Both sources of (img, src, r, c, v) beside each other."""
+    value = lambda x: f"round(sum(v) filter (src = '{x}'), 4) + 0.0 as {x}"
+    return f"select img, r, c, {value('a')}, {value('b')} from {table} group by all"
+
+
+def _image(pyr: DataFrame) -> DataFrame:
+    return rounded(pyr.select("img", "r", "c", "a", "b"), 4)
+
+
+def _two_mosaics(s: SparkSession, d: str) -> DataFrame:
+    return bands.from_images(raster.mosaic_pairs(_embeddings(s, d)), "a", "b")
+
+
+def _laplacian(s: SparkSession, d: str) -> DataFrame:
+    return pyramid.laplacian_pyramid(raster.mosaic_pairs(_embeddings(s, d)), "a", "b", levels=4)
+
+
+def _replaced(s: SparkSession, d: str) -> DataFrame:
+    """The images whose second band is half as strong again and whose first is left out."""
+    pyr = _laplacian(s, d)
+    new = pyr.where("level = 1").select("img", "r", "c", *[(1.5 * F.col(x)).alias(x) for x in "ab"])
+    return _image(bands.laplacian_image(bands.set_band(pyr, 1, 0, new), 4, pyramid.UP, levels={1, 2, 3, 4}, whole_grid=True))
+
+
+_SIZES = [64, 32, 16, 8]
+_LAPLACIAN = f"{_MOSAIC}, {_TWO}, {_pyramid_sql(_SIZES)}"
+_add("pyramid_laplacian", lambda s, d: _energies(_laplacian(s, d)), f"with {_LAPLACIAN} {_energies_sql({(k, 0): f'b{k}' for k in range(5)})}")
+_add("pyramid_rebuilt", lambda s, d: _image(bands.laplacian_image(_laplacian(s, d), 4, pyramid.UP, whole_grid=True)), f"with {_MOSAIC}, {_TWO} {_image_sql('x')}")
+_BACK = ", ".join(f"f{k} as materialized (select img, src, r, c, u.v + {('0', '1.5', '1', '1')[k]} * b.v as v from ({_up_sql('b4' if k == 3 else f'f{k + 1}', _SIZES[k])}) u join b{k} b using (img, src, r, c))" for k in (3, 2, 1, 0))
+_add("pyramid_band_replaced", _replaced, f"with {_LAPLACIAN}, {_BACK} {_image_sql('f0')}")
+
+
+def _filters_sql(name: str, filters: list[tuple[list[float], int]], n: int) -> str:
+    """Place o of a line halved by filter k takes w of pixel p of a line of n pixels, mirrored at its borders."""
+    taps = ", ".join(f"({k}, {i - len(f) // 2 + first}, {tap!r}::double)" for k, (f, first) in enumerate(filters) for i, tap in enumerate(f))
+    return f"{name} as materialized (select k, o, {n - 1} - abs({n - 1} - abs(2 * o + d)) as p, sum(w) as w from (select unnest(range({n // 2})) as o) cross join (values {taps}) t(k, d, w) group by all)"
+
+
+_QMF = named("qmf9")
+
+
+def _qmf_sql(sizes: list[int]) -> tuple[str, dict[tuple[int, int], str]]:
+    parts, names, low = [], {}, "x"
+    for i, n in enumerate(sizes):
+        parts.append(_filters_sql(f"h{i}", [(_QMF, 0), (convolve.high_from_low(_QMF), 1)], n))
+        for band in range(4):
+            name = f"q{i + 1}{band}"
+            parts.append(f"{name} as materialized (select img, src, y.o as r, z.o as c, sum(y.w * z.w * v) as v from {low} join h{i} y on y.k = {band & 1} and y.p = r join h{i} z on z.k = {band >> 1} and z.p = c group by all)")
+            if band or i + 1 == len(sizes):
+                names[i + 1, band] = name
+        low = f"q{i + 1}0"
+    return ", ".join(parts), names
+
+
+_QMF_PARTS, _QMF_NAMES = _qmf_sql([64, 32, 16])
+_add("pyramid_qmf", lambda s, d: _energies(bands.qmf_pyramid(_two_mosaics(s, d), 3, _QMF)), f"with {_MOSAIC}, {_TWO}, {_QMF_PARTS} {_energies_sql(_QMF_NAMES)}")
+_DAUB = named("daub4")
+_add("pyramid_qmf_rebuilt", lambda s, d: _image(bands.qmf_image(bands.qmf_pyramid(_two_mosaics(s, d), 3, _DAUB, "circular"), 3, _DAUB, "circular")), f"with {_MOSAIC}, {_TWO} {_image_sql('x')}")
+
+
+def _kernels_sql(kernels: dict[int, list[list[float]]]) -> str:
+    rows = ", ".join(f"({b}, {i - len(k) // 2}, {j - len(k[0]) // 2}, {tap!r}::double)" for b, k in kernels.items() for i, line in enumerate(k) for j, tap in enumerate(line))
+    return f"(values {rows}) k(band, dr, dc, tap)"
+
+
+def _sp1_sql() -> tuple[str, dict[tuple[int, int], str]]:
+    """Bands of two levels: every pixel of an image drawn out beyond its borders, times a kernel."""
+    out = [f"k0 as materialized (select * from {_kernels_sql({0: SP1.low0, 1: SP1.high0})})", f"k1 as materialized (select * from {_kernels_sql({0: SP1.low, **{b + 1: k for b, k in enumerate(SP1.bands)}})})"]
+
+    def filtered(name: str, table: str, kernels: str, n: int, step: int, band: str) -> None:
+        out.append(f"drawn_{name} as materialized (select img, src, y.q as r, z.q as c, v from {table} join m{n} y on y.p = r join m{n} z on z.p = c)")
+        there = " and ".join(f"({x} - d{x}) % {step} = 0 and {x} - d{x} between 0 and {n - 1}" for x in "rc")
+        out.append(f"{name} as materialized (select img, src, band, (r - dr) // {step} as r, (c - dc) // {step} as c, sum(tap * v) as v from drawn_{name} cross join {kernels} where {band} and {there} group by all)")
+
+    out += [f"m{n} as materialized (select q, {n - 1} - abs({n - 1} - abs(q)) as p from (select unnest(range(-8, {n + 8})) as q))" for n in (64, 32)]
+    filtered("first", "x", "k0", 64, 1, "true")
+    out.append("l0 as (select * from first where band = 0)")
+    names = {(0, 1): "(select * from first where band = 1)"}
+    for level, n in ((1, 64), (2, 32)):
+        filtered(f"e{level}", f"l{level - 1}", "k1", n, 1, "band > 0")
+        filtered(f"l{level}", f"l{level - 1}", "k1", n, 2, "band = 0")
+        names |= {(level, b): f"(select * from e{level} where band = {b})" for b in (1, 2)}
+    return ", ".join(out), names | {(2, 0): "l2"}
+
+
+_SP1_PARTS, _SP1_NAMES = _sp1_sql()
+_add("pyramid_steerable_spatial", lambda s, d: _energies(bands.steerable_bands(_two_mosaics(s, d), 2, SP1)), f"with {_MOSAIC}, {_TWO}, {_SP1_PARTS} {_energies_sql(_SP1_NAMES)}")
 
 # ------------------------------------------------------------ colour
 

@@ -5,7 +5,7 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from lumenfuse.operators import fusion, metrics, pyramid, report, windowed
+from lumenfuse.operators import fusion, metrics, report, windowed
 
 M3 = {"a": [80, 20, 85, 75, 25, 78, 80, 22, 88], "b": [30, 110, 35, 28, 120, 32, 26, 115, 30], "f": [58, 70, 60, 55, 78, 57, 62, 75, 61]}
 WANT = {  # worked by hand for the 3 x 3 matrices
@@ -41,8 +41,6 @@ def test_identities():
     assert windowed.vif(x, x, x) == pytest.approx(2)
     assert windowed.viff(x, x, x) == pytest.approx(1, abs=1e-6)
     assert windowed.ms_ssim(x[:20, :20], x[:20, :20], x[:20, :20]) == float("-inf")
-    for n in (7, 8, 33):
-        assert np.allclose(pyramid.collapse(pyramid.build(x[:n, :n], 3)), x[:n, :n])
 
 
 def test_fusions(spark):
