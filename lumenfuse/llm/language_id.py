@@ -5,9 +5,10 @@ order.  A document's own list is compared with each profile by out-of-place dist
 MISSING if the profile lacks it.  The nearest profile names the language; the score is
 1 - distance / largest distance.
 
-Profiles are learned from labelled rows only: every such row, up to about TRAIN_DOCS a language, beyond
-which a hash of the text picks that share of them (a bounded sample, the only one here).  Counts are
-combined map-side and the profiles (languages times PROFILE n-grams) are broadcast.
+Profiles are learned from labelled rows only: every distinct text of a language once, up to about TRAIN_DOCS of them, beyond
+which a hash of the text picks that share of the distinct texts (a bounded sample, the only one here).  So copies have no weight, and
+a language with a labelled text that has a letter always has a profile.  Counts are combined map-side and the profiles (languages times
+PROFILE n-grams) are broadcast.
 
 Edge cases: null text or text without a letter is ``und`` with score 0; without any profile every row is
 ``und``; equal distances go to the language first by code point; n-grams of equal count are ordered by
@@ -71,12 +72,13 @@ def top_grams(grams: np.ndarray, size: int) -> np.ndarray:
 
 def learn_profiles(labelled: DataFrame, size: int = PROFILE, train_docs: int = TRAIN_DOCS) -> list[tuple[str, list[int]]]:
     """Profiles of each language of ``labelled(text, lang)``, in code point order of the language."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}  # one row a language
     if not counts:
         return []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, train_docs / n)))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    some = rows.where(F.pmod("h", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    picked = some.groupBy("lang", "h").agg(F.any_value("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,6 +8,8 @@ Pieces are dealt to shards of bounded size by a hash, each packed by one task: a
 copies is spread like any other rows.  Shards are large (SHARD pieces), so the last, partly filled bin of
 each is all that sharding costs.  Pieces of the full length are bins of their own and are not dealt at all.
 
+Texts are tokenized in batches of bounded bytes, a longer one piece by piece; a task then holds one text's ids besides.
+
 Edge cases: null or empty text is its end mark alone (one token); texts longer than the limit are cut into
 pieces of the limit; repeated rows are packed each; an empty table gives no rows; other columns are not read.
 """
@@ -23,13 +25,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfuse.llm.common import give_back, lean, materialize
+from lumenfuse.llm.common import give_back, lean, materialize, pieces_of
 
 LIMIT, END_ID, SHARD = 2048, 0, 50_000
-
+#: Rows and bytes of texts that are tokenized at once.
+BATCH_ROWS, BATCH_BYTES = 500, 1_000_000
 
 #: Where an ASCII letter meets punctuation, the tokenizer parts them.  Words kept by a worker.
 _EDGE, MAX_WORDS = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?%#$&*])"), 150_000
@@ -76,11 +80,29 @@ class WordIds(dict):
         self.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(other, found))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; a text of more than BATCH_BYTES goes piece by piece."""
+        if len(texts) == 1 and len(texts[0]) > BATCH_BYTES:
+            return [b"".join(self._ids([piece])[0] for piece in pieces_of(texts[0], BATCH_BYTES // 2))]
+        return self._ids(texts)
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
         parted = [self.parts(t) for t in texts]
         self.learn(set(chain.from_iterable(parted)))
         return [b"".join(map(self.__getitem__, t)) for t in parted]
 
 
+def _batches(text: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows (first, end) of at most BATCH_ROWS texts and, unless one alone is longer, BATCH_BYTES."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+        if i > first and (held + n > BATCH_BYTES or i - first >= BATCH_ROWS):
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(text):
+        yield first, len(text)
+
+
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
     from tokenizers import Tokenizer
@@ -99,15 +121,15 @@ def tokenize(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_
         words, end = _word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc, text = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text"))
-            for first in range(0, b.num_rows, 500):
+            for first, end_row in _batches(text):
                 out: list[tuple] = []
                 ids_out: list = []
-                texts = [t or b"" for t in text.slice(first, 500).to_pylist()]
+                texts = [t or b"" for t in text.slice(first, end_row - first).to_pylist()]
                 if by_word:
                     all_ids = words.ids(texts)
                 else:
                     all_ids = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch([t.decode(errors="replace") for t in texts], add_special_tokens=False)]
-                for d, ids in zip(doc.slice(first, 500).to_pylist(), all_ids):
+                for d, ids in zip(doc.slice(first, end_row - first).to_pylist(), all_ids):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * limit)):
                         part = ids[start : start + 4 * limit]

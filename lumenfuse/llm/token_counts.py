@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -35,7 +36,7 @@ from lumenfuse.llm.common import checked_broadcast, lean, materialize
 #: A pre-token is heavy if it holds at least 1 in HEAVY of all (document, pre-token) pairs; bytes up to which the table of heavy ones is broadcast.
 HEAVY, HEAVY_BYTES = 1_000_000, 16_000_000
 #: Characters of a text that are parted at once; (document, pre-token) pairs that a task holds; pre-tokens it gives out at once.
-PIECE_CHARS, CHUNK_TOKENS, ROW_TOKENS = 1_000_000, 1_000_000, 50_000
+PIECE_CHARS, CHUNK_TOKENS, ROW_TOKENS = 1_000_000, 2_000_000, 50_000
 #: Below this code point the pattern's classes are written out here; a text with a character above goes through the library.
 PLAIN = 0x250
 
@@ -113,7 +114,7 @@ class _Chunk:
     def __init__(self, first: int):
         self.first, self.index = first, _Index()
         self.rows, self.docs, self.sizes = [], [], []  # one entry a row
-        self.ids, self.counts, self.lens = [], [], []  # pre-tokens, row by row
+        self.ids, self.counts, self.lens = array("i"), array("i"), array("i")  # pre-tokens, row by row
 
     def add(self, row: int, doc: int | None, text: bytes | None, own: PreTokens) -> None:
         n = own.count(text.decode(errors="replace")) if text else {}

@@ -645,3 +645,62 @@ def test_chats_null_tied_and_empty(spark):
     got = {r["conv_id"]: r for r in chat_format.read_chats(chat_format.format_chats(d)).collect()}
     assert [t["text"] for t in got[None]["turns"]] == ["c", "a", "b"] and got[1]["loss_text"] == "xx"
     assert chat_format.read_chats(chat_format.format_chats(d.limit(0))).count() == 0
+
+
+def test_a_language_of_copies_keeps_its_profile(spark):
+    texts = [f"der hund und die katze sind im haus nummer {'n' * k}" for k in range(3)]
+    for german in texts:  # one text, far more often than rows are learned from
+        rows = [("der hund und die katze" if german is None else german, "de")] * 400 + [(f"the dog and the cat are in house {i} of the town", "en") for i in range(60)]
+        names = [k for k, _ in language_id.learn_profiles(spark.createDataFrame(rows, "text string, lang string"), train_docs=20)]
+        assert names == ["de", "en"]
+
+
+def test_the_pipeline_keeps_languages_of_copies(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    german = "der hund und die katze sind in dem alten haus an der strasse und schlafen"
+    d = docs(spark, [german] * 6000 + [f"the dog and the cat number {i} are in the old house of the town" for i in range(50)] + ["the cat is here again", "123"], langs=["de"] * 6000 + ["en"] * 50 + [None, "xx"])
+    kept = corpus_pipeline.keep_known_languages(spark, d, "")
+    assert kept.groupBy("lang").count().collect() and {r["lang"]: r["count"] for r in kept.groupBy("lang").count().collect()} == {"de": 6000, "en": 50, None: 1}
+
+
+def plain_best_two_fit(lengths, limit):
+    """Best-two-fit written out: every pair is tried; bins as sorted lists of lengths."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        held, gap = [], limit
+        for x in list(left):
+            if x <= gap:
+                held.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and len(held) > 1:
+            small = held[-1]
+            best = max(((a + b, -min(a, b), a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= gap + small), default=None)
+            if best and best[0] > small:
+                held.pop()
+                for x in best[2:]:
+                    held.append(x)
+                    left.remove(x)
+                left = sorted([*left, small], reverse=True)
+        bins.append(sorted(held))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_two_fit_equals_the_plain_version(seed):
+    rnd = random.Random(seed)
+    lengths = np.array([rnd.randint(1, 60) if seed % 2 else rnd.choice([7, 13, 22, 31, 45, 60]) for _ in range(150)])
+    bins, offsets, n = packing.best_two_fit(lengths, 60)
+    got = [sorted(lengths[bins == b].tolist()) for b in range(n)]
+    assert got == plain_best_two_fit(lengths.tolist(), 60)
+
+
+def test_packing_goes_by_bytes(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    texts = ["some words of a text " * n for n in (1, 400, 3, 0, 900)] + [None]
+    want = sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packing.tokenize(docs(spark, texts), path).collect())
+    monkeypatch.setattr(packing, "BATCH_BYTES", 500)
+    monkeypatch.setattr(packing, "BATCH_ROWS", 2)
+    assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packing.tokenize(docs(spark, texts), path).collect()) == want
+    assert list(packing._batches(pa.array([b"x" * 300, None, b"x" * 300, b"x" * 5000, b""]))) == [(0, 2), (2, 3), (3, 4), (4, 5)]
