@@ -24,7 +24,7 @@ WANTED: tuple[str, ...] | None = None
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: tuple[str, ...] | None = WANTED) -> DataFrame:
     """Documents stay whose text is nearest to the profile of the language they are labelled with, or that have no label, if that language is wanted.
 
-    Texts without a letter, which no profile can name, go.  With no profile at all (no row has a language), documents with a letter stay.
+    Texts without a letter, which no profile can name, go.  Where a label has no profile (or no row has a language at all), documents with a letter stay.
     """
     profiles = language_id.learn_profiles(docs.select("text", "lang"))
     if not profiles:
@@ -33,7 +33,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, want
     score = fresh_name("lang_score", [*docs.columns, pred])
     named = language_id.identify(docs, profiles, names=(pred, score))
     label = F.coalesce(F.nullif(F.col("lang").cast("string"), F.lit(language_id.UNKNOWN)), F.col(pred))
-    stays = F.col("text").rlike(r"\p{L}") & (F.col(pred) == label)
+    known = label.isin(*[name for name, _ in profiles])
+    stays = F.col("text").rlike(r"\p{L}") & ((F.col(pred) == label) | ~known)
     stays = stays if wanted is None else stays & F.col(pred).isin(*wanted)
     return named.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
 
