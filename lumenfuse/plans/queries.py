@@ -34,8 +34,8 @@ def _mosaics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to a fixed number of places, as sums run in another order in each engine."""
-    return df.select(*[(F.round(F.col(c), places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to a fixed number of places, as sums run in another order in each engine; first to 12 places, so that a tie is one in both."""
+    return df.select(*[(F.round(F.round(F.col(c), 12), places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -61,7 +61,7 @@ def _hist(*cols: str, table: str = "t") -> str:
 
 
 def _r(x: str, alias: str) -> str:
-    return f"round({x}, 6) + 0.0 as {alias}"
+    return f"round(round({x}, 12), 6) + 0.0 as {alias}"
 
 
 _ALL_H = " ".join(f"join {_hist(*k)} h_{k} using (img)" for k in ("a", "b", "f", "af", "bf", "ab"))
@@ -143,7 +143,7 @@ def _qabf() -> str:
 
 
 _add("metric_qabf", lambda s, d: rounded(M.edge_transfer(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf())
-_add("metric_fusion_gain", lambda s, d: rounded(M.fusion_gain(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf().split(" select img, round(sum(q_a")[0] + f"""
+_add("metric_fusion_gain", lambda s, d: rounded(M.fusion_gain(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf().split(" select img, round(round(sum(q_a")[0] + f"""
 select img, {_r('sum((q_a - least(q_a, q_b)) * w_a + (q_b - least(q_a, q_b)) * w_b) / sum(w_a + w_b)', '"QDELTA"')}, {_r('sum(least(q_a, q_b) * (w_a + w_b)) / sum(w_a + w_b)', '"QCOMMON"')} from q group by img""")
 
 
@@ -393,7 +393,7 @@ def _color(to: Callable, names: str, back: Callable | None = None) -> Callable[[
     return run
 
 
-_r5 = lambda x, n: f"round({x}, 5) + 0.0 as {n}"
+_r5 = lambda x, n: f"round(round({x}, 12), 5) + 0.0 as {n}"
 _hue = "case when b <= g then acos(greatest(-1, least(1, num / den))) else 2 * pi() - acos(greatest(-1, least(1, num / den))) end"
 _nd = "0.5 * ((r - g) + (r - b)) as num, sqrt((r - g) * (r - g) + (r - b) * (g - b)) + 1e-10 as den"
 _byte = lambda x: f"trunc(greatest(0, least(255, {x})))::int"
@@ -539,7 +539,7 @@ def _scores_sql() -> str:
 
 _SCORES = _scores_sql()
 _SCORED = [c for c in evaluate.COLUMNS if c not in evaluate.WINDOWED]
-_means = ", ".join(f'round(avg("{c}"), 7) + 0.0 as "{c}"' for c in _SCORED)
+_means = ", ".join(f'round(round(avg("{c}"), 12), 7) + 0.0 as "{c}"' for c in _SCORED)
 _add("evaluate_tiles", _tile_scores, f"{_SCORES} select * from scores")
 _add("evaluate_mosaics", lambda s, d: rounded(evaluate.report_rows(_fused_by_method(raster.mosaic_pairs(_embeddings(s, d)), laplacian=True))))
 _add("report_average", lambda s, d: rounded(report.with_average(_tile_scores(s, d), _SCORED), 7), f"{_SCORES} select * from scores union all select \"Model\", 'AVERAGE', {_means} from scores group by \"Model\"")
