@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfuse.functions import color
 from lumenfuse.functions.color import to_byte
 from lumenfuse.operators import pyramid, wavelet
+from lumenfuse.sources import raster
 
 
 def fuzzy(trip: DataFrame) -> DataFrame:
@@ -85,8 +86,7 @@ def fuse_color(pix: DataFrame, space: str) -> DataFrame:
 def fuse_color_images(images: DataFrame, space: str, method: str = "laplacian", levels: int | None = None, order: int = 4) -> DataFrame:
     """``fuse_color`` on image rows (img, h, w, grey, red, green, blue), for methods that need the whole image.
 
-    Methods: ``laplacian`` (4 levels), ``wavelet`` (Daubechies of ``order``, 2 levels), ``fuzzy``.  Colours travel
-    with their row, so nothing is joined back.
+    Methods: ``laplacian`` (4 levels), ``wavelet`` (Daubechies of ``order``, 2 levels), ``pca`` (brightness cut off to whole levels), ``fuzzy``.
     """
     if space not in SPACES:
         raise ValueError(f"unknown colour space {space!r}; one of {sorted(SPACES)}")
@@ -99,6 +99,9 @@ def fuse_color_images(images: DataFrame, space: str, method: str = "laplacian",
         fused = pyramid.fuse_laplacian(rows, levels or 4, cut=False, keep=("p", "q"))
     elif method == "wavelet":
         fused = wavelet.fuse_wavelet(rows, order, levels or 2, cut=False, keep=("p", "q"))
+    elif method == "pca":
+        mixed = raster.image_rows(pca(raster.pixels(rows, "a", "b")), "fused").select("img", "fused")
+        fused = mixed.join(rows.select("img", "h", "w", "p", "q"), "img")
     elif method == "fuzzy":
         fused = rows.select("img", "h", "w", F.zip_with("a", "b", lambda p, q: F.greatest(p, q)).alias("fused"), "p", "q")
     else:

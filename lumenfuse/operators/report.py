@@ -19,7 +19,11 @@ def summary(rows: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("Model
 
 def write_reports(rows: DataFrame, metrics: list[str], path: str, name: str = "ImageName") -> None:
     """A CSV folder per method (AVERAGE last) and, for more than one method, a summary."""
-    full = with_average(rows, metrics, name=name)
-    full.repartition("Model").sortWithinPartitions("Model", F.col(name) == "AVERAGE", name).write.partitionBy("Model").option("header", True).csv(f"{path}/methods")
-    if rows.select("Model").distinct().limit(2).count() > 1:
-        summary(rows, metrics).orderBy("Model").coalesce(1).write.option("header", True).csv(f"{path}/summary")  # one row a method
+    rows = rows.persist()  # scored once for all tables; what a lost executor held is scored again
+    try:
+        full = with_average(rows, metrics, name=name)
+        full.repartition("Model").sortWithinPartitions("Model", F.col(name) == "AVERAGE", name).write.partitionBy("Model").option("header", True).csv(f"{path}/methods")
+        if rows.select("Model").distinct().limit(2).count() > 1:
+            summary(rows, metrics).orderBy("Model").coalesce(1).write.option("header", True).csv(f"{path}/summary")  # one row a method
+    finally:
+        rows.unpersist()

@@ -13,7 +13,7 @@ from lumenfuse.operators import fusion, pyramid, report, wavelet
 from lumenfuse.plans import evaluate as E
 from lumenfuse.sources import files, raster
 
-METHODS = ("wavelet", "laplacian", "fuzzy")
+METHODS = ("wavelet", "laplacian", "pca", "fuzzy")
 
 
 def pair_by_name(grey: DataFrame, colour: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +40,8 @@ def fuse_pairs(pairs: DataFrame, mode: str = "ycbcr", method: str = "wavelet", o
             return wavelet.fuse_wavelet(rows, order, levels or 1)
         if method == "laplacian":
             return pyramid.fuse_laplacian(rows, levels or 4)
+        if method == "pca":
+            return raster.image_rows(fusion.pca(raster.pixels(rows, "a", "b")), "fused")
         return rows.select("img", "h", "w", F.zip_with("a", "b", lambda x, y: F.floor(F.greatest(x, y)).cast("double")).alias("fused"))
     return fusion.fuse_color_images(pairs, mode, method, levels or (1 if method == "wavelet" else None), order)
 
@@ -69,7 +71,10 @@ def evaluation_rows(spark: SparkSession, root: str, fused_root: str) -> tuple[Da
     images = raster.read_images(spark, root)
     one, two = raster.source_roles(images)
     side = lambda role, name: raster.grey_images(images.where(F.col("role") == role)).select("img", "h", "w", F.col("px").alias(name))
-    fused = raster.grey_images(raster.read_images(spark, fused_root)).where(~F.col("role").startswith(".")).select(F.col("role").alias("Model"), "img", "h", "w", F.col("px").alias("f"))
+    found = raster.read_images(spark, fused_root).where(~F.col("role").startswith("."))
+    if found.isEmpty():
+        raise ValueError(f"no folder of a method with images is in {fused_root!r}")
+    fused = raster.grey_images(found).select(F.col("role").alias("Model"), "img", "h", "w", F.col("px").alias("f"))
     sources = side(one, "a").join(side(two, "b"), ["img", "h", "w"])
     rows = fused.join(sources, ["img", "h", "w"]).select("Model", F.col("img").alias("ImageName"), "h", "w", "a", "b", "f")
     return rows, fused.join(sources, ["img", "h", "w"], "left_anti").select("Model", F.col("img").alias("ImageName"))

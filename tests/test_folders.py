@@ -75,8 +75,13 @@ def test_a_folder_is_fused(spark, folders, tmp_path):
             assert {r["img"]: len(r["red"]) for r in rows.collect()} == {n: 48 * 52 for n in grey}
     batch.fuse_folder(spark, f"{top}/set", f"{tmp_path}/colour", "ycbcr", "wavelet")
     assert raster.read_images(spark, f"{tmp_path}/colour").where("channels = 3").count() == 3
+    rows, _ = batch.fuse_folder(spark, f"{top}/set", None, "grayscale", "pca", "MRI", "PET")
+    assert {r["img"]: len(r["fused"]) for r in rows.collect()} == {n: 48 * 52 for n in grey}
     with pytest.raises(ValueError):
         batch.fuse_folder(spark, f"{top}/set", None, "ycbcr", "none")
+    os.makedirs(f"{tmp_path}/nothing")
+    with pytest.raises(ValueError):
+        batch.evaluation_rows(spark, f"{top}/set", f"{tmp_path}/nothing")
 
 
 def test_folders_are_evaluated(spark, folders, tmp_path):
