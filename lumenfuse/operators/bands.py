@@ -213,7 +213,7 @@ def _qmf_sides(start: int) -> Callable[[Column, Column], tuple[Column, Column]]:
 def qmf_pyramid(rows: DataFrame, height: int, taps: Sequence[float], edges: str = "reflect1") -> DataFrame:
     """Low band and horizontal, vertical, diagonal bands; the low band of one level is parted again in the next.
 
-    Banks of an even number of taps need sides that can be halved ``height`` times.
+    Banks of an even number of taps need sides that can be halved ``height`` times, and fold back at the borders with circular ones only.
     """
     start, pair = _phases(taps)
     kernels = [k for band in range(4) for k in _kernel_rows(_outer(pair[band & 1], pair[band >> 1]), ((1 if band & 1 else start), (1 if band >> 1 else start)), False, 2, 0, band, 1)]

@@ -93,8 +93,8 @@ def test_a_band_is_replaced(spark):
     assert gone.where("level = 0").select("img").distinct().count() == 1
 
 
-@pytest.mark.parametrize("name, edges, tolerance", [("qmf9", "reflect1", 1.0), ("qmf13", "reflect1", 0.5), ("haar", "reflect2", 1e-9), ("daub3", "circular", 1e-6), ("qmf8", "circular", 1.0)])
-def test_qmf_bands_equal_loops_and_fold_back(spark, name, edges, tolerance):
+@pytest.mark.parametrize("name, edges, most", [("qmf9", "reflect1", 0.01), ("qmf13", "reflect1", 0.01), ("haar", "circular", 1e-9), ("daub3", "circular", 1e-9), ("qmf8", "circular", 0.02)])
+def test_qmf_bands_equal_loops_and_fold_back(spark, name, edges, most):
     x, taps, height = image((16, 24)), named(name), 2
     high, start = high_from_low(taps), 1 if len(taps) % 2 == 0 else 0
     down = lambda z, t, first, axis: correlate(z, [[v] for v in t] if axis == 0 else [t], edges)[first::2] if axis == 0 else correlate(z, [t], edges)[:, first::2]
@@ -108,7 +108,9 @@ def test_qmf_bands_equal_loops_and_fold_back(spark, name, edges, tolerance):
         low = down(lo, taps, start, 1)
     assert len(got) == 3 * height + 1
     back = matrices(bands.qmf_image(pyr, height, taps, edges))[0, 0, 0]
-    assert np.abs(back - x).max() < tolerance
+    # what the bank leaves out by itself: its two responses do not quite add up to 1 at every frequency
+    short = np.abs(sum(np.abs(np.fft.fft(t, 4096)) ** 2 for t in (taps, high)) / 2 - 1).max()
+    assert np.linalg.norm(back - x) <= ((1 + short) ** (2 * height) - 1) * np.linalg.norm(x) + 1e-9 and short < most
     part = [matrices(bands.qmf_image(pyr, height, taps, edges, levels={k}))[0, 0, 0] for k in (1, 2, 3)]
     close(sum(part), back)
     one = [matrices(bands.qmf_image(pyr, height, taps, edges, levels={1}, bands={b}))[0, 0, 0] for b in (1, 2, 3)]
