@@ -49,7 +49,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = ngram_join.jaccard_components(docs)
     ids = materialize(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
     stays = fresh_name("stays", docs.columns)
-    once, more = (checked_broadcast(ids.where(c).select(F.col("doc_id").alias(stays))) for c in ("rows = 1", "rows > 1"))
+    once, more = (ids.where(c).select(F.col("doc_id").alias(stays)) for c in ("rows = 1", "rows > 1"))
+    once, more = once.hint("merge"), checked_broadcast(more)  # the first grows with the documents: the same join at every size
     same = docs["doc_id"].cast("long") == F.col(stays)
     twice = docs.join(more, same, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     nth = F.row_number().over(W.partitionBy("doc.doc_id", F.xxhash64("doc.text"), F.xxhash64(F.lit(7), "doc.text")).orderBy("doc"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenfuse.llm.common import WHITE, checked_broadcast, materialize
+from lumenfuse.llm.common import WHITE, materialize
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Buckets of a source's order (three hex digits of the hash), ranges of finish time per unit, and latest range.
@@ -111,4 +111,5 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
     """The mix itself: documents as often as taken, with the columns of ``documents``, whatever their names."""
     rows = materialize(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
     often = materialize(_plan(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), weights, share, most).where("copies > 0").select("row", "copies"))
-    return rows.join(checked_broadcast(often), "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    # grows with the documents: the same join at every size
+    return rows.join(often.hint("merge"), "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
