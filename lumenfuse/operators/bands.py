@@ -65,6 +65,17 @@ def set_band(pyramid: DataFrame, level: int, band: int, new: DataFrame) -> DataF
     return pyramid.where(~here).unionByName(put.select(*pyramid.columns))
 
 
+def with_parents(pyramid: DataFrame) -> DataFrame:
+    """Coefficients with those above them in the tree: the same band one level up, at half the row and column, as ``parent_`` values (null at the top).
+
+    The tree is that of oriented bands; residual bands (band 0, and level 0) have no parents and are none.
+    """
+    values = values_of(pyramid)
+    up = pyramid.where("band > 0 and level > 0").select("img", (F.col("level") - 1).alias("level"), "band", F.col("r").alias("_r"), F.col("c").alias("_c"), *[F.col(v).alias(f"parent_{v}") for v in values])
+    place = {"_r": F.floor(F.col("r") / 2).cast("int"), "_c": F.floor(F.col("c") / 2).cast("int")}
+    return pyramid.where("band > 0 and level > 0").withColumns(place).join(up, ["img", "level", "band", "_r", "_c"], "left").select(*pyramid.columns, *[f"parent_{v}" for v in values])
+
+
 # ---------------------------------------------------------------- one step
 
 

@@ -66,6 +66,24 @@ def centred_histogram(pix: DataFrame, v: str = "v", bins: float = 101, centre: s
     return pix.join(about, "img").groupBy("img", (F.col("middle") + k * F.col("width")).alias("centre")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def percentile_range(pix: DataFrame, v: str = "v", share: float = 0.1, bins: int = 101) -> DataFrame:
+    """(img, lo, hi): the values with ``share`` of the pixels below and above, moved apart about their mean by 1 / (1 - 2 share).
+
+    They are read off the bins of ``centred_histogram``, linearly inside a bin (of several bins with the same count, the first); a constant image gets 0.5 on each side.
+    """
+    about = pix.groupBy("img").agg(((F.max(v) - F.min(v)) / bins).cast("double").alias("width"), F.avg(v).alias("middle"), F.count(v).alias("total"))
+    k = F.coalesce(F.round((F.col(v) - F.col("middle")) / F.nullif("width", F.lit(0.0))), F.lit(0.0))
+    counts = pix.where(F.col(v).isNotNull()).join(about, "img").groupBy("img", "width", "middle", "total", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("upto", F.sum("n").over(W.partitionBy("img").orderBy("k")))
+    want = lambda q: F.col("total") * q
+    holds = lambda q: (F.col("upto") - F.col("n") < want(q)) & (F.col("upto") >= want(q))
+    inside = lambda q: F.col("middle") + F.col("width") * (F.col("k") - 0.5 + (want(q) - F.col("upto") + F.col("n")) / F.col("n"))
+    ends = counts.groupBy("img").agg(*[F.max(F.when(holds(q), inside(q))).alias(x) for x, q in (("p", share), ("q", 1 - share))])
+    mid, half = (F.col("p") + F.col("q")) / 2, (F.col("q") - F.col("p")) / 2 / (1 - 2 * share)
+    half = F.when(2 * half > 2.220446049250313e-16, half).otherwise(0.5)
+    return ends.select("img", (mid - half).alias("lo"), (mid + half).alias("hi"))
+
+
 def entropy(pix: DataFrame, v: str = "v", bins: float = 256) -> DataFrame:
     """(img, entropy): bits of the histogram between least and largest value."""
     n = F.col("n").cast("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def image_stats(pix: DataFrame, v: str = "f") -> DataFrame:
@@ -32,7 +33,19 @@ def channel_stats(pix: DataFrame, *channels: str) -> DataFrame:
 
 
 def sample_pixels(pix: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """The same n pixels of each image on every run."""
-    from pyspark.sql import Window as W
-
-    return pix.withColumn("_k", F.row_number().over(W.partitionBy("img").orderBy(F.xxhash64(F.lit(seed), "r", "c")))).where(F.col("_k") <= n).drop("_k")
+    """The same n pixels (r, c) of each image on every run, all of a smaller image: those of the smallest hashes.
+
+    Hashes are counted in 4096 ranges first, so only the range at the n-th hash and those below it are numbered, each in a window of its own; no image is sorted whole.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in ("img", "r", "c")]))
+    keyed = pix.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3))
+    upto = W.partitionBy("img").orderBy("_range")
+    counts = keyed.groupBy("img", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).where(F.col("_before") < n)
+    nth = F.row_number().over(W.partitionBy("img", "_range").orderBy("_key", "r", "c"))
+    return keyed.join(counts.drop("_n"), ["img", "_range"]).withColumn("_k", nth + F.col("_before")).where(F.col("_k") <= n).select(*pix.columns)
+
+
+def sample_union(pix: DataFrame, total: int, seed: int = 42) -> DataFrame:
+    """A sample of all images together: ``total`` pixels shared out evenly, at least one an image."""
+    images = pix.select("img").distinct().count()
+    return sample_pixels(pix, max(1, total // max(images, 1)), seed)

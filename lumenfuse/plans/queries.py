@@ -338,6 +338,21 @@ def _qmf_sql(sizes: list[int]) -> tuple[str, dict[tuple[int, int], str]]:
 
 _QMF_PARTS, _QMF_NAMES = _qmf_sql([64, 32, 16])
 _add("pyramid_qmf", lambda s, d: _energies(bands.qmf_pyramid(_two_mosaics(s, d), 3, _QMF)), f"with {_MOSAIC}, {_TWO}, {_QMF_PARTS} {_energies_sql(_QMF_NAMES)}")
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """How much of a band's strength sits below strong coefficients of the next level."""
+    tree = bands.with_parents(bands.qmf_pyramid(_two_mosaics(s, d), 3, _QMF))
+    return rounded(tree.groupBy("img", "level", "band").agg(F.count("parent_a").alias("n"), *[F.sum(F.abs(F.col(x)) * F.abs(F.col(f"parent_{x}"))).alias(f"joint_{x}") for x in "ab"]), 3)
+
+
+def _tree_sql() -> str:
+    joint = lambda x: f"round(round(sum(abs(k.v) * abs(p.v)) filter (src = '{x}'), 12), 3) + 0.0 as joint_{x}"
+    top = "(select * from q31 where false)"
+    return " union all ".join(f"select img, {i} as level, {b} as band, count(p.v) filter (src = 'a') as n, {joint('a')}, {joint('b')} from q{i}{b} k left join (select img, src, r as pr, c as pc, v from {f'q{i + 1}{b}' if i < 3 else top}) p using (img, src) where p.pr is null or (p.pr = k.r // 2 and p.pc = k.c // 2) group by img" for i in (1, 2, 3) for b in (1, 2, 3))
+
+
+_add("pyramid_wavelet_tree", _tree, f"with {_MOSAIC}, {_TWO}, {_QMF_PARTS} {_tree_sql()}")
 _DAUB = named("daub4")
 _add("pyramid_qmf_rebuilt", lambda s, d: _image(bands.qmf_image(bands.qmf_pyramid(_two_mosaics(s, d), 3, _DAUB, "circular"), 3, _DAUB, "circular")), f"with {_MOSAIC}, {_TWO} {_image_sql('x')}")
 
@@ -607,6 +622,14 @@ _add("stats_blocks", lambda s, d: rounded(stats.block_mean(raster.pixels(_mosaic
 _add("stats_channels", lambda s, d: rounded(stats.channel_stats(raster.pixels(_tiles(s, d), "a", "b"), "a", "b")), f"""
 with {_T} select img, {', '.join(f'min({x}) as min_{x}, max({x}) as max_{x}, ' + _r(f'avg({x})', f'mean_{x}') + ', ' + _r(f'stddev_pop({x})', f'sd_{x}') for x in 'ab')} from t group by img""")
 
+_SAMPLED = 1000
+_add("stats_sample_union", lambda s, d: stats.sample_union(raster.pixels(_tiles(s, d), "a", "b", "f"), _SAMPLED), f"""
+with {_T} select img, r, c, a, b, f from t qualify row_number() over (partition by img order by md5('42:' || img || ':' || r || ':' || c), r, c) <= greatest(1, {_SAMPLED} // (select count(distinct img) from t))""")
+_add("stats_percentile_range", lambda s, d: rounded(points.percentile_range(raster.pixels(_tiles(s, d), "a", "b", "f"), "f")), f"""
+with {_T}, m as (select img, (max(f) - min(f)) / 101.0::double as width, avg(f) as middle from t group by img), k as (select img, width, middle, coalesce(round((f - middle) / nullif(width, 0)), 0) as k, count(*) as n from t join m using (img) group by all),
+u as (select *, sum(n) over (partition by img order by k) as upto from k), e as (select img, {', '.join(f"max(middle + width * (k - 0.5 + (64 * {q}::double - upto + n) / n)) filter (upto - n < 64 * {q}::double and upto >= 64 * {q}::double) as {x}" for x, q in (('p', 0.1), ('q', 0.9)))} from u group by img),
+h as (select img, (p + q) / 2 as mid, case when (q - p) / 0.8::double > 2.220446049250313e-16 then (q - p) / 2 / 0.8::double else 0.5 end as half from e) select img, {_r('mid - half', 'lo')}, {_r('mid + half', 'hi')} from h""")
+
 _GRID = "with g as (select (range // 48)::int as r, (range % 48)::int as c, range % 48 + 1 - 24.5 as x, range // 48 + 1 - 16.5 as y from range(32 * 48))"
 
 
