@@ -60,7 +60,7 @@ def image_rows(pix: DataFrame, *channels: str) -> DataFrame:
     return rows.select("img", "h", "w", *[F.col(f"x.{k}").cast("array<double>").alias(k) for k in channels])
 
 
-def read_images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg,bmp,tif,tiff}") -> DataFrame:
+def read_images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg,bmp,tif,tiff,PNG,JPG,JPEG,BMP,TIF,TIFF}") -> DataFrame:
     """Decoded images (dataset, role, img, h, w, channels, data), named by their last two folders; unreadable files are left out."""
     raw = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("dropInvalid", True).load(path)
     part = F.split(F.col("image.origin"), "/")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenfuse.operators import bands, points, stats
 from lumenfuse.operators.filter_banks import named
-from lumenfuse.sources import files, pgm_source
+from lumenfuse.sources import files, pgm_source, raster
 
 RNG = np.random.default_rng(9)
 
@@ -47,6 +47,7 @@ def test_percentile_range(spark):
     got = {r["img"]: (r["lo"], r["hi"]) for r in points.percentile_range(pixels(spark, images)).collect()}
     for i, x in images.items():
         assert np.allclose(got[i], by_hand(x), atol=1e-6), i
+        assert np.allclose(files.level_range(x, "auto3"), by_hand(x), atol=1e-6), i
     assert points.percentile_range(pixels(spark, images).limit(0)).count() == 0
 
 
@@ -87,3 +88,15 @@ def test_pgm_files_are_a_data_source(spark, tmp_path):
     assert spark.read.format("pgm").load(top).count() == 1
     with pytest.raises(Exception):
         rows(kept).drop("h").write.format("pgm").mode("append").save(top)
+
+
+def test_catalogue_and_upper_case_names(spark, tmp_path):
+    top = str(tmp_path)
+    os.makedirs(f"{top}/set/MRI")
+    for n in ("b.PNG", "a.png", "c.Jpg", "note.txt", "png"):
+        with open(f"{top}/set/MRI/{n}", "wb") as f:
+            f.write(files.encode_png(np.full((4, 4), 7, np.uint8)))
+    got = [(r["name"], r["kind"]) for r in files.catalogue(spark, f"{top}/set", f"{top}/set/MRI").collect()]
+    assert got == [("a.png", "png"), ("b.PNG", "png"), ("c.Jpg", "jpg")]
+    assert files.catalogue(spark, top).first()["bytes"] > 60
+    assert {r["img"] for r in raster.read_images(spark, f"{top}/set").select("img").collect()} == {"a.png", "b.PNG"}
