@@ -133,7 +133,15 @@ sums as (select m.node, m.d, count(*) filter (n_children = 0) as n_leaves, sum((
 select node as conv_id, d::bigint as depth, parent as parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from w join sums using (node, d)
 """
 
+_NEAR = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as x, vec_id as y from embeddings union select reach.x, l.y from reach join l on l.x = reach.y),
+c as (select x, min(y) as component_id from reach group by x), n as (select x, count(*) as n from l group by x)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join c on c.x = vec_id left join n on n.x = vec_id
+"""
+
 ORACLES: dict[str, str] = {
-    "op1_ngram_jaccard_join": _JACCARD, "op2_mix_sources": _MIX, "op3_chat_format": _CHAT, "op6_url_filter": _URL, "op8_substring_dedup": _REPEATS, "op10_line_dedup": _LINES,
+    "op1_ngram_jaccard_join": _JACCARD, "op2_mix_sources": _MIX, "op3_chat_format": _CHAT, "op6_url_filter": _URL, "op7_embedding_near_dedup": _NEAR, "op8_substring_dedup": _REPEATS, "op10_line_dedup": _LINES,
     "op12_conversation_repair": _REPAIR, "op13_prefix_trie": _TRIE,
 }
