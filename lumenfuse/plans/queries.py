@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfuse.functions import color, synth
-from lumenfuse.operators import bands, cohort, convolve, fusion, perceptual, points, pyramid, report, stats, steerable, wavelet, windowed
+from lumenfuse.operators import bands, cohort, convolve, fusion, points, pyramid, report, similarity, stats, steerable, wavelet, windowed
 from lumenfuse.operators import metrics as M
 from lumenfuse.operators.filter_banks import SP1, named
 from lumenfuse.plans import evaluate
@@ -159,7 +159,7 @@ def _qabf_first() -> str:
 
 
 _add("metric_qabf_first", lambda s, d: rounded(M.edge_transfer_first(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf_first())
-_add("metric_windowed", lambda s, d: rounded(windowed.score(_mosaics(s, d), *(n for n in windowed.METRICS if n not in perceptual.METRICS))))
+_add("metric_windowed", lambda s, d: rounded(similarity.score(_mosaics(s, d), *similarity.METRICS)))
 _add("metric_fmi", lambda s, d: rounded(windowed.score(_mosaics(s, d), "FMI", "FMI_none", "FMI_gradient", "FMI_dct")))
 _add("metric_contrast", lambda s, d: rounded(windowed.score(_mosaics(s, d), "QCB", "QCV")))
 
