@@ -35,7 +35,8 @@ Row = tuple[int, int, int, int, int, int, int, int, float]
 
 def from_images(images: DataFrame, *channels: str) -> DataFrame:
     """Level 0, band 0 of image rows (img, h, w, channels...); one shuffle of image rows, the last one of a pyramid."""
-    rows = images.select("img", "h", "w", *channels).repartition("img")
+    # the number of partitions is named, or adaptive execution would merge them by the bytes of image rows, which pixels exceed manyfold
+    rows = images.select("img", "h", "w", *channels).repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "img")
     z = rows.select("img", "h", "w", F.posexplode(F.arrays_zip(*channels)).alias("p", "z"))
     zero = F.lit(0)
     return z.select("img", "h", "w", zero.alias("level"), zero.alias("band"), F.floor(F.col("p") / F.col("w")).cast("int").alias("r"), (F.col("p") % F.col("w")).cast("int").alias("c"), *[F.col(f"z.{x}").cast("double").alias(x) for x in channels])

@@ -44,13 +44,11 @@ def _along(rows: DataFrame, axis: str, windows: Mapping[int, Sequence[float]], w
     Sums of the columns ``weighted`` use the taps, those of ``plain`` do not.
     """
     side = {"r": "h", "c": "w"}[axis]
-    entry = lambda i, t, n, s: F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("tap"), F.lit(n).alias("n"), F.lit(s).alias("step"))
-    taps = F.array(entry(0, 1, 1, 1))
-    for level, window in windows.items():
-        taps = F.when(F.col("level") == level, F.array(*[entry(i, t, len(window), step) for i, t in enumerate(window)])).otherwise(taps)
-    x = rows.select(*KEYS, *weighted, *plain, F.inline(taps))
-    at, last = F.col(axis) - F.col("i"), F.col(side) - F.col("n")
-    x = x.where((at >= 0) & (at <= last) & (at % F.col("step") == 0))
+    by_level = lambda value, other: "case level " + " ".join(f"when {k} then {value(v)}" for k, v in windows.items()) + f" else {other} end"
+    taps = by_level(lambda v: "array(" + ", ".join(f"{t!r}D" for t in v) + ")", "array(1.0D)")
+    n, stride = by_level(len, 1), by_level(lambda v: step, 1)
+    x = rows.select(*KEYS, *weighted, *plain, F.expr(f"posexplode({taps})").alias("i", "tap")).withColumns({"n": F.expr(n), "step": F.expr(stride)})
+    x = x.where(f"{axis} >= i and {axis} - i <= {side} - n and ({axis} - i) % step = 0")
     x = x.withColumns({axis: F.expr(f"cast(({axis} - i) div step as int)"), side: F.expr(f"cast(({side} - n) div step as int) + 1")})
     return x.groupBy(*KEYS).agg(*[F.sum(F.col(v) * F.col("tap")).alias(v) for v in weighted], *[F.sum(v).alias(v) for v in plain])
 

@@ -14,7 +14,7 @@ from lumenfuse.functions import color, synth
 from lumenfuse.operators import bands, cohort, convolve, fusion, points, pyramid, report, similarity, stats, steerable, wavelet, windowed
 from lumenfuse.operators import metrics as M
 from lumenfuse.operators.filter_banks import SP1, named
-from lumenfuse.plans import evaluate
+from lumenfuse.plans import evaluate, window_sql
 from lumenfuse.sources import raster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,7 +159,8 @@ def _qabf_first() -> str:
 
 
 _add("metric_qabf_first", lambda s, d: rounded(M.edge_transfer_first(raster.pixels(_tiles(s, d), "a", "b", "f"))), _qabf_first())
-_add("metric_windowed", lambda s, d: rounded(similarity.score(_mosaics(s, d), *similarity.METRICS)))
+_MOSAICS = f"{_PX}, m as (select vec_id // 64 as m, (vec_id % 64)::int as k, p::int as p, v from px), ok as (select m from m group by m having count(*) = 4096), t as materialized (select x.m // 2 as img, x.k // 8 * 8 + x.p // 8 as r, x.k % 8 * 8 + x.p % 8 as c, x.v as a, y.v as b, greatest(x.v, y.v) as f from m x join m y on x.m // 2 = y.m // 2 and x.k = y.k and x.p = y.p and x.m % 2 = 0 and y.m % 2 = 1 where x.m in (from ok) and y.m in (from ok))"
+_add("metric_windowed", lambda s, d: rounded(similarity.score(_mosaics(s, d), *similarity.METRICS)), f"with {_MOSAICS}, {window_sql.all_scores()} select img, " + ", ".join(_r(f'"{n}"', f'"{n}"') for n in similarity.METRICS) + " from scores")
 _add("metric_fmi", lambda s, d: rounded(windowed.score(_mosaics(s, d), "FMI", "FMI_none", "FMI_gradient", "FMI_dct")))
 _add("metric_contrast", lambda s, d: rounded(windowed.score(_mosaics(s, d), "QCB", "QCV")))
 
