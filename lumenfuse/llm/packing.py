@@ -19,9 +19,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,11 @@ LIMIT, END_ID, SHARD = 2048, 0, 50_000
 #: Rows and bytes of texts that are tokenized at once.
 BATCH_ROWS, BATCH_BYTES = 500, 1_000_000
 
-#: Where an ASCII letter meets punctuation, the tokenizer parts them.  Words kept by a worker.
-_EDGE, MAX_WORDS = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?%#$&*])"), 150_000
+#: Where an ASCII letter meets punctuation, the tokenizer parts them (the mark comes first: a search for it is quick).
+_MARKS = b".,;:!?%#$&*"
+_EDGE = re.compile(rb"[%s](?<=[A-Za-z].)" % _MARKS)
+#: Words kept by a worker, their greatest length in bytes, and how often one may be missing before it starts anew.
+MAX_WORDS, LONG_WORD, MAX_MISSES = 150_000, 64, 1_200_000
 #: Letters below this code point are their own NFC form.
 _PLAIN = chr(0x250)
 
@@ -45,15 +47,17 @@ class WordIds(dict):
     """Token ids, as little-endian uint32 bytes, of words (bytes without ASCII white space).
 
     The tokenizer drops white space and case, its merges never cross white space, and it parts letters from
-    punctuation, so a text's ids are those of its parts in a row (tests compare with whole texts).  Parts are
-    kept for later batches and tasks of the same Python worker.
+    punctuation, so a text's ids are those of its parts in a row (tests compare with whole texts).  The first
+    MAX_WORDS parts are kept for later batches and tasks of the same Python worker: as frequent words come
+    early, that misses less than to forget all whenever it is full.  After MAX_MISSES it does forget, as texts change.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         from tokenizers import pre_tokenizers
 
-        self.tokenizer = tokenizer
+        self.tokenizer, self.one_word, self.missed = tokenizer, tokenizer.model.tokenize, 0
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values(), default=-1) + 1)]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, ord(_PLAIN))}
 
@@ -61,34 +65,42 @@ class WordIds(dict):
     def parts(text: bytes) -> list[bytes]:
         if b"<|" in text:  # may hold a special token, whose case counts
             return text.split()
-        return _EDGE.sub(b" ", text.lower()).split()
-
-    def learn(self, parts: set[bytes]) -> None:
-        new = [w for w in parts if w not in self]
-        if len(self) + len(new) > MAX_WORDS:
+        return _EDGE.sub(rb" \g<0>", text.lower()).split()
+
+    def letters(self, word: bytes) -> bytes | None:
+        """Ids of one run of letters, straight from the merges; None if the word is something else."""
+        if word.isalpha():  # ASCII
+            low = word.lower().decode()
+        else:
+            low = word.decode(errors="replace").lower()
+            if not low.isalpha() or max(low) >= _PLAIN:
+                return None
+            low = low.translate(self.bytes_of)
+        return b"".join([self.as_bytes[t.id] for t in self.one_word(low)])
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.letters(word)
+        if ids is None and (run := word.rstrip(_MARKS)) and run != word and (ids := self.letters(run)) is not None:
+            ids += self[word[len(run) :]]
+        if ids is None:
+            found = self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids
+            ids = np.array(found, "<u4").tobytes()
+        self.missed += 1
+        if self.missed > MAX_MISSES:
             self.clear()
-            new = list(parts)
-        other, one_word = [], self.tokenizer.model.tokenize
-        for w in new:
-            s = w.decode(errors="replace")
-            low = s.lower()
-            if low.isalpha() and max(low) < _PLAIN:  # one run of letters: straight to the merges
-                self[w] = np.array([t.id for t in one_word(low if low.isascii() else low.translate(self.bytes_of))], "<u4").tobytes()
-            else:
-                other.append((w, s))
-        found = self.tokenizer.encode_batch([s for _, s in other], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(other, found))
+            self.missed = 0
+        if len(self) < MAX_WORDS and len(word) <= LONG_WORD:
+            self[word] = ids
+        return ids
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text; a text of more than BATCH_BYTES goes piece by piece."""
         if len(texts) == 1 and len(texts[0]) > BATCH_BYTES:
-            return [b"".join(self._ids([piece])[0] for piece in pieces_of(texts[0], BATCH_BYTES // 2))]
+            return [b"".join(self._ids(pieces_of(texts[0], BATCH_BYTES // 2)))]
         return self._ids(texts)
 
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        parted = [self.parts(t) for t in texts]
-        self.learn(set(chain.from_iterable(parted)))
-        return [b"".join(map(self.__getitem__, t)) for t in parted]
+    def _ids(self, texts: Iterable[bytes]) -> list[bytes]:
+        return [b"".join(map(self.__getitem__, self.parts(t))) for t in texts]
 
 
 def _batches(text: pa.Array) -> Iterator[tuple[int, int]]:
@@ -123,7 +135,7 @@ def tokenize(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_
             doc, text = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text"))
             for first, end_row in _batches(text):
                 out: list[tuple] = []
-                ids_out: list = []
+                ids_out: list[bytes] = []
                 texts = [t or b"" for t in text.slice(first, end_row - first).to_pylist()]
                 if by_word:
                     all_ids = words.ids(texts)
@@ -135,11 +147,12 @@ def tokenize(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_
                         part = ids[start : start + 4 * limit]
                         out.append((d, piece, start // 4, len(part) // 4, zlib.crc32(part)))
                         if with_ids:
-                            ids_out.append(np.frombuffer(part, "<i4"))
+                            ids_out.append(part)
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    arrays.append(pa.array(ids_out, pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(part) // 4 for part in ids_out)], dtype=np.int32)  # as many as texts of BATCH_BYTES, or one text, have
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids_out), "<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -239,6 +239,55 @@ def test_tokens_by_word_equal_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+class CountedTokenizer:
+    """A tokenizer that counts the words sent to its merges, or to itself."""
+
+    def __init__(self, tokenizer):
+        self.own, self.model, self.calls = tokenizer, self, Counter()
+
+    def tokenize(self, word):
+        self.calls[word] += 1
+        return self.own.model.tokenize(word)
+
+    def encode(self, text, **options):
+        self.calls[text] += 1
+        return self.own.encode(text, **options)
+
+    def encode_batch(self, texts, **options):
+        return [self.encode(t, **options) for t in texts]
+
+    def get_vocab(self):
+        return self.own.get_vocab()
+
+
+def test_a_full_word_table_keeps_its_words(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(packing, "MAX_WORDS", 8)
+    monkeypatch.setattr(packing, "MAX_MISSES", 60, raising=False)
+    own = packing._word_ids(P.path("word_bpe_49k.json")).tokenizer
+    counted = CountedTokenizer(own)
+    w = packing.WordIds(counted)
+    rare = ["".join("abcdefghij"[int(c)] for c in str(1000 + i)) for i in range(100)]
+    texts = ["the most frequent words"] + [f"the most frequent {x} words" for x in rare] + ["z" * 500, "the most frequent words"]
+    got = [w.ids([t.encode()])[0] for t in texts]
+    assert got == [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    # learned once, and once more when the table starts anew (after 60 misses); a table that is emptied when full learns them more often
+    assert max(counted.calls[x] for x in ("the", "most", "frequent", "words")) <= 3 and all(counted.calls[x] == 1 for x in rare)
+    assert len(w) <= 8 and max(map(len, w)) <= 64
+
+
+def test_marks_after_letters_are_parted():
+    P = pytest.importorskip("public_tokenizers")
+    own = packing._word_ids(P.path("word_bpe_49k.json")).tokenizer
+    counted = CountedTokenizer(own)
+    w = packing.WordIds(counted)
+    texts = ["caf\u00e9, ni\u00f1%%% \u00c9! o\u00f9?! x., \u00df...", "\u03b1\u03b2\u03b3, \u0130. e\u0301, \u01f0! <|x|>. \u00c9;", "<|endoftext|>. \u00c9t\u00e9... \u00ef\u00ff*", "...", "\u00e9\u00e9\u00e9's, \u00e9'll."]
+    for t in texts:
+        assert np.frombuffer(w.ids([t.encode()])[0], "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t
+    # letters and marks by themselves: not as one word through the whole tokenizer
+    assert not {"caf\u00e9,", "ni\u00f1%%%", "o\u00f9?!", "\u00df..."} & set(counted.calls)
+
+
 def test_packed_pieces(spark):
     P = pytest.importorskip("public_tokenizers")
     d = docs(spark, [None, "", "a", "word " * 5000, "a"])
