@@ -168,3 +168,17 @@ def test_colour_fusion_of_image_rows(spark, space):
         assert out["red"] == np.trunc(np.clip(np.round(y, 9) + 1.402 * cr, 0, 255)).ravel().tolist()
     with pytest.raises(ValueError):
         fusion.fuse_color_images(img, space, "none")
+
+
+@pytest.mark.parametrize("space, shift", [("hsi", (40, -10, -30)), ("ycbcr", (0, 0, 0))])
+def test_details_that_tie_but_for_rounding_come_from_the_first(spark, space, shift):
+    # the brightness is the negative of the grey image up to its rounding: every detail of one is minus the other's
+    rng = np.random.default_rng(4)
+    tiles = [rng.integers(100, 156, 64) for _ in range(8)]
+    rows = [(i, 8, 8, *(x.astype(float).tolist() for x in (t, *(255 - t + k for k in shift)))) for i, t in enumerate(tiles)]
+    img = spark.createDataFrame(rows, "img long, h int, w int, grey array<double>, red array<double>, green array<double>, blue array<double>")
+    out = fusion.fuse_color_images(img, space, "laplacian").collect()
+    assert len(out) == 8
+    for x in out:  # grey's details on one low-pass level: a constant apart, less what is cut off on the way back
+        light = np.mean([x["red"], x["green"], x["blue"]], 0)
+        assert np.ptp(light - tiles[x["img"]]) < 1 + 1e-6
